@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.language import fit_language, identify
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.runtime import table
+from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,3 +47,24 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+def _fold(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    labels = table(spark, sf_dir, "labels").where(_fold(5) != 0).select("doc_id", "toxic").distinct()
+    language = fit_language(docs.where(_fold(5) != 0))
+    model = fit_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"), language)
+    return score_toxicity(docs, model).select("doc_id", (F.coalesce(_fold(5), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = fit_language(docs.where(_fold(3) != 1))
+    return identify(docs, model).select("doc_id", (F.coalesce(_fold(3), F.lit(0)) == 1).alias("held_out"), "lang_pred", "score")
