@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.language import fit_language, identify
 from tidemark.llm.lines import dedup_lines
+from tidemark.llm.packing import pack, pieces
 from tidemark.llm.runtime import table
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -63,6 +65,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", (F.coalesce(_fold(5), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
