@@ -10,6 +10,7 @@ from tidemark.llm.language import fit_language, identify
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.packing import pack, pieces
 from tidemark.llm.runtime import table
+from tidemark.llm.sharding import shard
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict = {}
@@ -25,6 +26,12 @@ def _digest(text) -> object:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard(table(spark, sf_dir, "documents"), 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
