@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.language import fit_language, identify
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.packing import pack, pieces
+from tidemark.llm.pii import BASE, find_personal_data, joined
 from tidemark.llm.runtime import table
 from tidemark.llm.sharding import shard
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
@@ -58,6 +59,19 @@ FROM judged GROUP BY doc_id
 """
 
 
+def _count(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    counts = [_count("spans", k).alias(f"n_{k}") for k in BASE]
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores.alias("scores"))
+
+
 def _fold(n: int):
     """crc32 of doc_id as text, modulo n."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
