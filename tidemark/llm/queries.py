@@ -11,6 +11,7 @@ from tidemark.llm.lines import dedup_lines
 from tidemark.llm.packing import pack, pieces
 from tidemark.llm.pii import BASE, find_personal_data, joined
 from tidemark.llm.runtime import table
+from tidemark.llm.setjoin import near_duplicates
 from tidemark.llm.sharding import shard
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -97,3 +98,8 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     model = fit_language(docs.where(_fold(3) != 1))
     return identify(docs, model).select("doc_id", (F.coalesce(_fold(3), F.lit(0)) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
