@@ -10,6 +10,7 @@ from tidemark.llm.language import fit_language, identify
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.packing import pack, pieces
 from tidemark.llm.pii import BASE, find_personal_data, joined
+from tidemark.llm.repeats import remove_repeats
 from tidemark.llm.runtime import table
 from tidemark.llm.setjoin import near_duplicates
 from tidemark.llm.sharding import shard
@@ -34,6 +35,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), whole=False).withColumnRenamed("kept", "kept_sha256")
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))

@@ -62,8 +62,9 @@ class Workspace:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of a frame's bytes, from file sizes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimiser's estimate of a frame's bytes, from file sizes; 0 where it knows none."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
 
 
 def partitions(spark: SparkSession, n_bytes: int, each: int = 64 << 20) -> int:
