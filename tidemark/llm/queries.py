@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontamination import leaks
 from tidemark.llm.language import fit_language, identify
 from tidemark.llm.lines import dedup_lines
+from tidemark.llm.media import copies, render_vectors
 from tidemark.llm.packing import pack, pieces
 from tidemark.llm.pii import BASE, find_personal_data, joined
 from tidemark.llm.repeats import remove_repeats
@@ -115,3 +116,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies(render_vectors(table(spark, sf_dir, "embeddings"))).withColumnRenamed("image_id", "vec_id")

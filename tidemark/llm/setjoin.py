@@ -254,16 +254,26 @@ def _verify(width: int, percent: int):
 class SetJoin:
     """One run over a table of documents; ``labels`` and ``info`` hold its results."""
 
-    def __init__(self, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
+    def __init__(self, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, save: bool = False):
         self.spark, self.width, self.percent = docs.sparkSession, width, percent
         prepare(self.spark)
         self.work = Workspace(self.spark, "setjoin")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+        if save:  # what is costly to compute again
+            self.docs = self.work.save(self.docs, "rows")
         self._index()
 
+    def _scanner(self, shards: int):
+        """From rows to blocks of set hashes (kind 0) and index entries (kind 1)."""
+        return _scan(self.width, self.percent, shards)
+
+    def _verifier(self):
+        """From rows sorted by hub, the hub's first, to verified links."""
+        return _verify(self.width, self.percent)
+
     def _index(self) -> None:
         n = partitions(self.spark, 2 * input_bytes(self.docs), 32 << 20)
-        rows = self.docs.mapInArrow(_scan(self.width, self.percent, 8 * n), "kind int, shard long, payload binary")
+        rows = self.docs.mapInArrow(self._scanner(8 * n), "kind int, shard long, payload binary")
         found = self.work.save(rows.repartition(n, "shard").mapInArrow(_shard, _SHARD), "index")
         self.info = found.where("id is not null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "a", "b")
         full = self.info.where("n_shingles > 0")
@@ -295,7 +305,7 @@ class SetJoin:
         rows = rows.join(self.texts, rows["who"] == self.texts["doc_id"]).select("hub", "part", "who", (F.col("who") != F.col("hub")).alias("later"), "text")
         n = partitions(self.spark, input_bytes(self.texts), 64 << 20)
         ordered = rows.repartition(n, "hub", "part").sortWithinPartitions("hub", "part", "later", "who")
-        return self.work.save(ordered.select("hub", "part", "who", "text").mapInArrow(_verify(self.width, self.percent), "a long, b long"), name)
+        return self.work.save(ordered.select("hub", "part", "who", "text").mapInArrow(self._verifier(), "a long, b long"), name)
 
     def _grow(self, links: DataFrame, name: str) -> None:
         """Join components that links connect."""
