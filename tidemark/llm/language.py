@@ -28,7 +28,7 @@ from tidemark.llm.runtime import prepare
 from tidemark.llm.textkit import LOWER, blocks, raw
 
 BITS = 13
-PER_LANGUAGE = 750
+PER_LANGUAGE = 500
 #: The family of a language; one that isn't here is a family of its own.
 FAMILIES = {
     "de": "germanic", "en": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
@@ -52,17 +52,18 @@ def trigram_counts(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> n
 
 
 def unit(counts: np.ndarray) -> np.ndarray:
-    return np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+    """Square roots of relative frequencies, in place."""
+    counts /= np.maximum(counts.sum(1, keepdims=True), 1)
+    return np.sqrt(counts, out=counts)
 
 
 def svm(x: np.ndarray, sign: np.ndarray, l2: float = 1e-4, steps: int = 250) -> np.ndarray:
     """Weights and bias of a linear SVM with squared hinge loss, classes weighing the same."""
-    x = np.hstack([x, np.full((len(x), 1), 0.3, np.float32)])
     weight = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.5 / max((sign < 0).sum(), 1)).astype(np.float32)
-    w, velocity = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
+    w, velocity, gradient = (np.zeros(x.shape[1] + 1, np.float32) for _ in range(3))
     for _ in range(steps):
-        slack = np.maximum(0, 1 - sign * (x @ w))
-        gradient = l2 * w - 2 * ((weight * sign * slack) @ x)
+        pull = 2 * weight * sign * np.maximum(0, 1 - sign * (x @ w[:-1] + 0.3 * w[-1]))
+        gradient[:-1], gradient[-1] = l2 * w[:-1] - pull @ x, l2 * w[-1] - 0.3 * pull.sum()
         velocity = 0.9 * velocity - 0.25 * gradient
         w = w + velocity
     return w
@@ -91,11 +92,11 @@ class LanguageModel:
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         """Documents x languages: the family's probability times the votes of the SVMs in it."""
-        x = np.hstack([unit(counts), np.full((len(counts), 1), 0.3, np.float32)])
-        z = self.sharpness * (x @ self.family_weights.T)
+        x = unit(counts)
+        z = self.sharpness * (x @ self.family_weights[:, :-1].T + 0.3 * self.family_weights[:, -1])
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        votes = 1 / (1 + np.exp(-self.sharpness * (x @ self.pair_weights.T)))
+        votes = 1 / (1 + np.exp(-self.sharpness * (x @ self.pair_weights[:, :-1].T + 0.3 * self.pair_weights[:, -1])))
         out = np.zeros((len(x), len(self.languages)))
         for f, members in enumerate(self.families):
             share = np.ones((len(x), len(members)))

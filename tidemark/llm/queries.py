@@ -90,8 +90,8 @@ def _fold(n: int):
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     labels = table(spark, sf_dir, "labels").where(_fold(5) != 0).select("doc_id", "toxic").distinct()
-    language = fit_language(docs.where(_fold(5) != 0))
-    model = fit_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"), language)
+    language = fit_language(docs.where(_fold(5) != 0), per_language=300)
+    model = fit_toxicity(docs, labels, language)
     return score_toxicity(docs, model).select("doc_id", (F.coalesce(_fold(5), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
 
 

@@ -176,11 +176,16 @@ def best_threshold(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float((z[k] + (z[k + 1] if k + 1 < len(z) else z[k] - 1)) / 2), float(f1[k])
 
 
-def fit_toxicity(labelled: DataFrame, language: LanguageModel | None, per_class: int = PER_CLASS) -> ToxicityModel | None:
-    """Fit on a bounded sample of rows that have a text and ``toxic`` 0 or 1."""
-    prepare(labelled.sparkSession)
-    known = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic", "text")
-    sample = sample_per_class(known, "toxic", per_class).select("doc_id", "toxic", "text").toArrow().sort_by("doc_id")
+def fit_toxicity(docs: DataFrame, labels: DataFrame, language: LanguageModel | None, per_class: int = PER_CLASS) -> ToxicityModel | None:
+    """Fit on a bounded sample of ``labels`` (doc_id, toxic 0 or 1) and their documents' texts.
+
+    The sample is drawn from the labels before they meet the texts. It has ``per_class``
+    rows of a class in expectation, so it may be broadcast, and no text is shuffled.
+    """
+    prepare(docs.sparkSession)
+    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
+    drawn = F.broadcast(sample_per_class(known, "toxic", per_class))
+    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(drawn, "doc_id").toArrow().sort_by("doc_id")
     if not len(sample):
         return None
     data, offsets = raw(sample["text"])
