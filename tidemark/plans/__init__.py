@@ -1 +1 @@
-
+"""Commands composed of operators."""

@@ -1 +1 @@
-
+"""Readers and writers of recordings, sheets and caches."""
