@@ -20,7 +20,7 @@ def pad_peaks(peaks: DataFrame, at: str, before, after) -> DataFrame:
 
 def islands(df: DataFrame, keys: list[str], start: str, end: str, gap, order: list[str]) -> DataFrame:
     """Number runs of intervals whose start is at most ``gap`` past all ends before it."""
-    by = Window.partitionBy(*keys).orderBy(start, *order)
+    by = Window.partitionBy(*keys).orderBy(start, *order, end)
     reach = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col(start) - reach <= gap, 0).otherwise(1)
     return df.withColumn("__new", fresh).withColumn("island", F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
