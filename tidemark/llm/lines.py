@@ -55,7 +55,8 @@ def _unlearn(kept: pa.Table, gone: pa.Table) -> pa.Table:
     if len(gone):
         known.delete(gone["h1"].to_numpy().view(np.uint64))
     shard = (gone if len(gone) else kept)["shard"][0].as_py()
-    return _step(gone.slice(0, 0), np.zeros(0, bool), shard, known)
+    none = pa.table({c: pa.array([], pa.int64()) for c in ("h1", "h2", "n_docs", "keeper")})
+    return _step(none, np.zeros(0, bool), shard, known)
 
 
 def _step(rows: pa.Table, seen: np.ndarray, shard: int, known: CuckooFilter) -> pa.Table:
