@@ -1,0 +1,304 @@
+"""Operators whose results are exact, against brute force on small tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string"
+ODD = [(900, None), (901, ""), (902, "x"), (903, "\n\n"), (904, "tail"), (904, "tail"), (None, "no id"), (None, None)]
+
+
+def texts(n=120, seed=3):
+    """Documents with shared passages, near and exact copies, repeated lines and odd ones."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    line = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    passages = [line(rng.randint(8, 30)) for _ in range(8)]
+    out = []
+    for i in range(n):
+        if out and rng.random() < 0.3:
+            words = rng.choice(out)[1].split(" ")
+            for _ in range(rng.choice([0, 0, 1, 2, 9])):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            text = " ".join(words)
+        else:
+            text = "\n".join([line(rng.randint(1, 40)) for _ in range(rng.randint(1, 4))] + rng.sample(passages, rng.choice([0, 1, 2])))
+        out.append((i * 3 if i % 5 else -i, text))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = texts() + ODD
+    return rows, spark.createDataFrame(rows, SCHEMA).withColumn("n", F.lit(1)).withColumn("label", F.lit("x")).withColumn("bits", F.lit(2)).repartition(3)
+
+
+def words(text):
+    return re.findall("[^\x20\x09-\x0d]+", (text or "").translate(UPPER))
+
+
+def shingles(ws):
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def test_sharding(spark, docs):
+    from tidemark.llm.sharding import shard
+
+    rows, df = docs
+    big = spark.createDataFrame([(i, "same text" * 20) for i in range(3000)], SCHEMA).unionByName(df.select("doc_id", "text"))
+    out = shard(big, 7, rows_per_range=64).collect()
+    want = Counter([(i, len(("same text" * 20).encode()) + 1) for i in range(3000)] + [(d, len((t or "").encode()) + 1) for d, t in rows])
+    assert Counter((r["doc_id"], r["size"]) for r in out) == want
+    totals = Counter()
+    for r in out:
+        totals[r["shard"]] += r["size"]
+    assert sorted(totals) == list(range(7)) and max(totals.values()) - min(totals.values()) <= 2 * max(r["size"] for r in out)
+    for s in totals:
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    assert shard(big.limit(0), 7).count() == 0
+
+
+def brute_repeats(rows, length=50):
+    first, out = {}, Counter()
+    for d, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1) if d is not None else []:
+            first[b[p : p + length]] = min(d, first.get(b[p : p + length], d))
+    for d, t in rows:
+        b = (t or "").encode()
+        cut = np.zeros(len(b) + 1, bool)
+        for p in range(len(b) - length + 1) if d is not None else []:
+            if first[b[p : p + length]] < d:
+                cut[p : p + length] = True
+        kept = bytes(x for x, c in zip(b, cut) if not c)
+        spans = sum(1 for i in range(len(b)) if cut[i] and not (i and cut[i - 1]))
+        out[d, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()] += 1
+    return out
+
+
+def test_repeats(spark, docs):
+    from tidemark.llm.repeats import remove_repeats
+
+    rows, df = docs
+    rows = rows + [(5000, "a" * 300), (5001, "b" + "a" * 120), (5001, "z" * 60), (5002, "ab" * 100), (5003, "ba" * 70), (5004, "a" * 49)]
+    df = df.unionByName(spark.createDataFrame(rows[-6:], SCHEMA), allowMissingColumns=True)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in remove_repeats(df, whole=False).collect())
+    assert got == brute_repeats(rows) and sum(k[2] for k in got) > 1000
+    kept = remove_repeats(df).collect()
+    assert Counter(hashlib.sha256(r["kept"]).hexdigest() for r in kept) == Counter(k[4] for k in got.elements())
+    assert remove_repeats(df.limit(0)).count() == 0
+
+
+def brute_lines(rows):
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(UPPER)
+    held = {}
+    for d, t in rows:
+        for x in (t or "").split("\n") if d is not None else []:
+            if len(key(x)) >= 10:
+                held.setdefault(key(x), set()).add(d)
+    out = Counter()
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if d is None or len(key(x)) < 10 or min(held[key(x)]) == d]
+        out[d, len(lines), len(lines) - len(kept), "\n".join(kept)] += 1
+    return out
+
+
+def test_lines(docs):
+    from tidemark.llm.lines import dedup_lines
+
+    rows, df = docs
+    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in dedup_lines(df).collect())
+    assert got == brute_lines(rows) and sum(k[2] for k in got) > 10
+    assert set(df.columns) <= set(dedup_lines(df).columns) and dedup_lines(df.limit(0)).count() == 0
+
+
+def test_lines_are_reversible(spark):
+    from tidemark.llm.lines import LineIndex
+
+    rows = [(i, "\n".join(["a line that is common", f"a line of {i % 4} again", f"only in number {i}"])) for i in range(12)]
+    frame = lambda part: spark.createDataFrame(part, SCHEMA)
+    index = LineIndex(spark, 4)
+    index.insert(frame(rows[4:8]))
+    index.insert(frame(rows[:4]))
+    index.insert(frame(rows[8:]))
+    index.delete(frame([(0, ""), (5, ""), (11, "")]).select("doc_id"))
+    left = [r for r in rows if r[0] not in (0, 5, 11)]
+    once = LineIndex(spark, 4)
+    once.insert(frame(left))
+    table = lambda x: sorted((r["h1"], r["h2"], r["n_docs"], r["keeper"]) for r in x.counts.collect())
+    assert table(index) == table(once)
+    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in index.strike(frame(left)).collect())
+    assert got == brute_lines(left)
+
+
+def test_cuckoo_filter():
+    from tidemark.llm.cuckoo import CuckooFilter
+
+    keys = np.random.default_rng(1).integers(0, 2**63, 20000, dtype=np.uint64)
+    f = CuckooFilter()
+    f.insert(keys[:10000])
+    f.insert(keys[10000:15000])
+    f = CuckooFilter.load(f.dump())
+    assert f.contains(keys[:15000]).all() and f.contains(keys[15000:]).mean() < 0.01
+    f.delete(keys[:9000])
+    assert f.contains(keys[9000:15000]).all() and f.contains(keys[:9000]).mean() < 0.01
+
+
+def brute_components(rows):
+    sets = {}
+    for d, t in rows:
+        if d is not None:
+            sets.setdefault(d, []).append(shingles(words(t)))
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = list(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if any(x and y and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: find(d) for d in sets}, sets
+
+
+def test_jaccard_join(spark, docs):
+    from tidemark.llm.setjoin import near_duplicates
+
+    rows, df = docs
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = rows + [(7000 + i, base.replace(f"w{i} ", f"v{i} ")) for i in range(0, 40)] + [(7100, "one two three"), (7101, "One two\tthree"), (7102, "a b c d e f"), (7103, "a b c d e f g")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want, sets = brute_components(rows)
+    got = near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    assert all(r["component_id"] == want.get(r["doc_id"]) for r in got)
+    assert all(r["n_shingles"] in {len(s) for s in sets[r["doc_id"]]} for r in got if r["doc_id"] is not None)
+    assert len(set(want.values())) < len(want) - 40 and near_duplicates(df.limit(0)).count() == 0
+
+
+def test_bitmaps_never_rule_out_a_link():
+    from tidemark.llm.setjoin import bitmaps, may_link
+
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(60):
+        a = rng.integers(0, 2**63, rng.integers(1, 900), dtype=np.uint64)
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 2**63, 3, dtype=np.uint64)]))
+        sets += [np.unique(a), b]
+    words_, n = bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    edge = np.concatenate([[0], np.cumsum(n)])
+    maps = [words_[x:y] for x, y in zip(edge[:-1], edge[1:])]
+    i, j = np.triu_indices(len(sets), 1)
+    ok = may_link(np.array([len(s) for s in sets]), maps, i, j, 80)
+    for a, b, o in zip(i, j, ok):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert o or 100 * both < 80 * (len(sets[a]) + len(sets[b]) - both)
+
+
+def test_leaks(spark):
+    from tidemark.llm.decontamination import decontaminate, leaks
+
+    rng = random.Random(5)
+    vocabulary = [f"t{i}" for i in range(200)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(7, 40)))) for i in range(12)] + [(50, "Just three words"), (51, None), (52, " "), (None, "x y")]
+    rows = []
+    for i in range(80):
+        text = [rng.choice(vocabulary) for _ in range(rng.randint(0, 90))]
+        if i % 3 == 0:
+            passage = rng.choice(items[:13])[1].split(" ")
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                passage[rng.randrange(len(passage))] = "changed"
+            at = rng.randint(0, len(text))
+            text[at:at] = passage
+        rows.append((i, " ".join(text).upper() if i % 2 else " ".join(text)))
+    rows += ODD
+    bag = lambda ws: Counter(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else Counter()
+    want = {}
+    for d, t in rows:
+        for i, item in items:
+            w, v = words(t), words(item)
+            if d is None or i is None or not v or not w:
+                continue
+            for p in range(max(1, len(w) - len(v) + 1)):
+                x, y = bag(w[p : p + len(v)]), bag(v)
+                score = sum((x & y).values()) / sum((x | y).values())
+                if score >= 0.8:
+                    want[d, i] = max(score, want.get((d, i), 0))
+    docs, bench = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in leaks(docs, bench).collect()}
+    assert set(got) == set(want) and len(want) > 15 and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    clean = decontaminate(docs, bench)
+    assert Counter(r["doc_id"] for r in clean.collect()) == Counter(d for d, _ in rows if d not in {k for k, _ in want})
+    assert leaks(docs, bench.limit(0)).count() == 0 and leaks(docs.limit(0), bench).count() == 0
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def valid(kind, found):
+    digits = re.sub("[^0-9]", "", found)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in found.split("."))
+    if kind == "card":
+        twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+        return 12 <= len(digits) <= 19 and sum(x - 9 if x > 9 else x for x in twice) % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def test_personal_data(spark):
+    from tidemark.llm.pii import BASE as KINDS
+    from tidemark.llm.pii import find_personal_data, joined
+
+    rng = random.Random(1)
+    parts = ["1", "2", "255", ".", ".", "@", "a", "b.c", "-", " ", "+", "4111111111111111", "(", ")", "é", "😀", "_", "%", "x@y.z", "000", "+1 (743) 555-3824", "DE89 3704 0044 0532 0130 00", "iban "]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 50)))) for i in range(600)] + [(9000, None), (9001, "a@b" + ".c" * 3000), (9002, "1." * 3000), (9003, "ssn 123-45-6789 iban DE89370400440532013000 or DE89370400440532013001 and 123-45-6789")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("spans", F.lit("clash"))
+    out = {r["doc_id"]: r for r in find_personal_data(df).select("doc_id", joined(F.filter("spans", lambda s: s["kind"].isin(*KINDS))).alias("base"), joined(F.col("spans")).alias("all")).collect()}
+    for i, t in rows:
+        spans = sorted((m.start(), k, m.end(), kind) for k, kind in enumerate(BASE) for m in re.finditer(BASE[kind], t or "") if valid(kind, m.group()))
+        assert out[i]["base"] == ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in spans)
+    assert [x.split(":")[0] for x in out[9003]["all"].split(",")].count("iban") == 1 and "ssn:4:15" in out[9003]["all"]
+
+
+def test_packing(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.packing import Encoder, pack, pieces, plan
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    real = Tokenizer.from_file(path)
+    real.encode_special_tokens = True
+    rows, df = docs
+    odd = [" a", "a ", "a  b", "a \n b", "a\n b c", " ", "a<|endoftext|> b", "don't it's 'S", "a\x1c b", "日本 語 x", "a 　b c", "é\xa0 b", "long " * 2500]
+    for t in odd + [t or "" for _, t in rows[:40]]:
+        assert np.frombuffer(Encoder.of(path).ids(t), "<u4").tolist() == real.encode(t, add_special_tokens=False).ids
+    rows = rows + [(8000 + i, t) for i, t in enumerate(odd)]
+    got = pack(pieces(spark.createDataFrame(rows, SCHEMA), path)).toPandas()
+    for d, t in rows:
+        if d is None or d == 904:
+            continue
+        ids = [*real.encode(t or "", add_special_tokens=False).ids, 2]
+        own = got[got.doc_id == d].sort_values("piece")
+        assert own.length.sum() == len(ids) and (own.length.iloc[1:] == 1024).all()
+        for r in own.itertuples():
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 1024
+    assert got.sequence_id.nunique() <= -(-got.length.sum() // 1024) + 1
+    runs = plan({k: 7 for k in range(1, 1025)})
+    assert sum(hi - lo for _, lo, hi, _, _ in runs) == 7 * 1024
+    assert pack(pieces(spark.createDataFrame([], SCHEMA), path)).count() == 0
