@@ -19,11 +19,13 @@ the fewest members, empty ones first. Each document makes entries for its own sc
 the one below.
 
 Entries go to shards by hash as packed blocks. A shard sorts its entries into buckets,
-drops those with one document and buckets with the same documents as another. Links are
-then verified exactly, on whole sets, in rounds: in each bucket a hub is compared with
-the members of other components, components grow, and buckets that lie in one component
-are done with. Buckets left after these rounds give all their pairs across components.
-So every pair that shares a bucket is compared or known to be connected, and a group of
+drops those with one document and buckets with the same documents as another. Parity
+bitmaps of twice a set's size bound the difference of two sets from below; pairs that
+they rule out go no further. Links are then verified exactly, on whole sets, in rounds: each bucket has a
+hub, members of other components are compared with the hub with which they share most
+buckets, components grow, and buckets that lie in one component
+are done with. Buckets left after these rounds give all their pairs across components
+that no bitmap rules out. So every pair that shares a bucket is compared or known to be connected, and a group of
 many near copies costs a comparison with a hub each rather than all pairs.
 
 Nulls and odd input: a null text, and one without words, has no set and links with
@@ -41,17 +43,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import Workspace, input_bytes, partitions, prepare
-from tidemark.llm.textkit import U, blocks, distinct, mix, raw, shingles, words
+from tidemark.llm.runtime import Workspace, input_bytes, partitions, prepare, settle, shard_labels
+from tidemark.llm.textkit import U, blocks, distinct, mix, raw, shingles, unzipped, words, zipped
 
 WIDTH, PERCENT = 5, 80
 SPLIT = 256  # a bucket's documents are handed on in lists of this length
 FLUSH = 3_000_000  # entries a task gathers before it packs them
-HUB_ROUNDS = 4
+HUB_ROUNDS, FEW_PAIRS = 4, 8
+CHUNK = 4096  # rows of a bucket that are held against each other at once
 GROUP = 512  # comparisons with one hub that are made together
 
 _ENTRY = np.dtype([("sig", "<u8"), ("id", "<i8")])
-_INFO = np.dtype([("id", "<i8"), ("n", "<i8"), ("a", "<u8"), ("b", "<u8")])
+_INFO = np.dtype([("id", "<i8"), ("n", "<i8"), ("a", "<u8"), ("b", "<u8"), ("words", "<i4")])
 
 
 @dataclass(frozen=True)
@@ -140,17 +143,46 @@ def doc_sets(text, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
-def _packed(rows: np.ndarray, key: np.ndarray, kind: int, shards: int):
+def bitmaps(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's parities: bit i is whether an odd number of members fall to i.
+
+    Two sets differ in at least as many members as their bitmaps do in bits. A bitmap has
+    a power of two of bits, twice the set's size or more, and halves fold onto each other.
+    Returned are all 64-bit words, and how many each set has.
+    """
+    size = np.diff(at)
+    n = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(size, 1) / 32)).astype(np.int64).clip(0))
+    first = np.concatenate([[0], np.cumsum(n)])
+    doc = np.repeat(np.arange(len(size)), size)
+    spread = mix(values + U(991))
+    bit = (spread & (n[doc].astype(U) * U(64) - U(1))).astype(np.int64) + 64 * first[:-1][doc]
+    odd = (np.bincount(bit, minlength=64 * first[-1]) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8"), n
+
+
+def _packed(rows: np.ndarray, key: np.ndarray, kind: int, shards: np.ndarray):
     """Rows cut up by shard, a record batch of (kind, shard, payload)."""
-    to = (key >> U(33)) % U(shards)
+    to = (key >> U(33)) % U(len(shards))
     order = np.argsort(to, kind="stable")
     rows, to = rows[order], to[order]
     cut = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]]) if len(to) else np.zeros(1, int)
     parts = [rows[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(parts), pa.int32()), pa.array(to[cut[:-1]].astype(np.int64) if parts else [], pa.int64()), pa.array(parts, pa.binary())], ["kind", "shard", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(parts), pa.int32()), pa.array(shards[to[cut[:-1]].astype(int)] if parts else [], pa.int64()), pa.array(parts, pa.binary())], ["kind", "shard", "payload"])
+
 
+def _with_bitmaps(info: np.ndarray, bits: np.ndarray, shards: np.ndarray):
+    """Blocks of set hashes by shard (kind 0), their bitmaps behind them."""
+    first = np.concatenate([[0], np.cumsum(info["words"])])
+    to = ((info["a"] >> U(33)) % U(len(shards))).astype(np.int64)
+    found = []
+    for shard in np.unique(to):
+        own = np.flatnonzero(to == shard)
+        found.append((shard, info[own].tobytes() + b"".join(bits[first[i] : first[i + 1]].tobytes() for i in own), len(own)))
+    payload = [n.to_bytes(8, "little") + blob for _, blob, n in found]
+    return pa.RecordBatch.from_arrays([pa.array([0] * len(found), pa.int32()), pa.array([int(shards[x]) for x, _, _ in found], pa.int64()), pa.array(payload, pa.binary())], ["kind", "shard", "payload"])
 
-def _scan(width: int, percent: int, shards: int):
+
+def _scan(width: int, percent: int, shards: np.ndarray):
     def scan(batches):
         held, n = [], 0
         for batch in batches:
@@ -160,7 +192,8 @@ def _scan(width: int, percent: int, shards: int):
             info["id"], info["n"] = ids, np.diff(at)
             sums = np.concatenate([np.zeros((1, 2), U), np.cumsum(np.stack([mix(values), mix(values + U(77))], 1), axis=0)])
             info["a"], info["b"] = mix(sums[at[1:], 0] - sums[at[:-1], 0]), mix(sums[at[1:], 1] - sums[at[:-1], 1])
-            yield _packed(info, info["a"], 0, shards)
+            bits, info["words"] = bitmaps(values, at)
+            yield _with_bitmaps(info, bits, shards)
             _, first = np.unique(info[["a", "b"]], return_index=True)  # a set is entered once a batch
             first.sort()
             for lo in range(0, len(first), 256):
@@ -179,7 +212,7 @@ def _scan(width: int, percent: int, shards: int):
     return scan
 
 
-_SHARD = "id long, n long, a long, b long, bucket long, members array<long>"
+_SHARD = "id long, n long, a long, b long, bits binary, bucket long, members array<long>"
 
 
 def _shard(batches):
@@ -188,8 +221,9 @@ def _shard(batches):
     for batch in batches:
         kinds, payloads = batch.column("kind").to_numpy(), batch.column("payload")
         for i in np.flatnonzero(kinds == 0):
-            info = np.frombuffer(payloads[int(i)].as_buffer(), _INFO)
-            yield _shard_rows(info=info)
+            blob = payloads[int(i)].as_py()
+            info = np.frombuffer(blob, _INFO, int.from_bytes(blob[:8], "little"), 8)
+            yield _shard_rows(info=info, bits=blob[8 + info.nbytes :])
         parts += [payloads[int(i)].as_py() for i in np.flatnonzero(kinds == 1)]
     rows = np.frombuffer(b"".join(parts), _ENTRY)
     del parts
@@ -218,13 +252,134 @@ def _shard(batches):
     yield _shard_rows(lists=lists, names=names)
 
 
-def _shard_rows(info=None, lists=(), names=()):
+def _shard_rows(info=None, bits=b"", lists=(), names=()):
     n, m = 0 if info is None else len(info), len(lists)
     long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
     own = [long(info[c]) if n else pa.array([], pa.int64()) for c in ("id", "n", "a", "b")]
     own = [pa.concat_arrays([c, pa.nulls(m, pa.int64())]) for c in own]
+    edge = np.concatenate([[0], np.cumsum(info["words"].astype(int))]) * 8 if n else [0]
+    maps = pa.array([*(bits[x:y] for x, y in zip(edge[:-1], edge[1:])), *[None] * m], pa.binary())
     members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32()), pa.array(np.concatenate(lists) if m else [], pa.int64()))
-    return pa.RecordBatch.from_arrays([*own, pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(names, pa.int64())]), pa.concat_arrays([pa.nulls(n, members.type), members])], ["id", "n", "a", "b", "bucket", "members"])
+    return pa.RecordBatch.from_arrays([*own, maps, pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(names, pa.int64())]), pa.concat_arrays([pa.nulls(n, members.type), members])], ["id", "n", "a", "b", "bits", "bucket", "members"])
+
+
+def _fold(words: np.ndarray, n: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(words.reshape(-1, n), axis=0)
+
+
+def may_link(sizes: np.ndarray, maps: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """False only for pairs whose sizes or bitmaps rule out a link."""
+    p, q = sizes[i], sizes[j]
+    ok = 100 * np.minimum(p, q) >= percent * np.maximum(p, q)
+    width = np.array([len(m) for m in maps])
+    narrow = np.minimum(width[i], width[j])
+    for w in np.unique(narrow[ok]):
+        rows = np.unique(np.concatenate([i[ok & (narrow == w)], j[ok & (narrow == w)]]))
+        at = np.zeros(len(maps), np.int64)
+        at[rows] = np.arange(len(rows))
+        table = np.stack([_fold(maps[r], w) for r in rows])
+        own = np.flatnonzero(ok & (narrow == w))
+        for lo in range(0, len(own), max(1, (1 << 20) // int(w))):
+            k = own[lo : lo + max(1, (1 << 20) // int(w))]
+            apart = np.bitwise_count(table[at[i[k]]] ^ table[at[j[k]]]).sum(1, dtype=np.int64)
+            ok[k] = apart * (100 + percent) <= (p[k] + q[k]) * (100 - percent)
+    return ok
+
+
+def _bounded(percent: int, mode: str):
+    """Rows sorted by bucket part: "any", those with a partner; "hub" and "all", the pairs that may link.
+
+    A part is a bucket, or two chunks x and y of a large one.
+    """
+
+    def large(rows, lo, hi):
+        """Pairs of one large part that may link, one row against all others at a time; "any": who has a partner."""
+        x, y, label, sizes = (rows[c] for c in ("x", "y", "label", "n"))
+        width = min(len(m) for m in rows["bits"][lo:hi])
+        table = np.stack([_fold(m, width) for m in rows["bits"][lo:hi]])
+        size, same = sizes[lo:hi], x[lo] == y[lo]
+        left = np.ones(hi - lo, bool) if same else rows["chunk"][lo:hi] == x[lo]
+        right = left if same else ~left
+        seen, i, j = np.zeros(hi - lo, bool), [], []
+        for a in np.flatnonzero(left):
+            if mode == "any" and seen[a]:  # who is like an earlier one needs no comparison of its own
+                continue
+            to = right.copy()
+            to[a] = False
+            if mode == "all":
+                to &= label[lo:hi] != label[lo + a]
+                to[: a if same else 0] = False
+            to = np.flatnonzero(to & (100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a])))
+            apart = np.bitwise_count(table[to] ^ table[a]).sum(1, dtype=np.int64)
+            to = to[apart * (100 + percent) <= (size[to] + size[a]) * (100 - percent)]
+            if mode == "any":
+                seen[to] = True
+                seen[a] |= len(to) > 0
+            else:
+                i.append(np.full(len(to), lo + a))
+                j.append(lo + to)
+        return i, j, lo + np.flatnonzero(seen)
+
+    def bounded(batches):
+        names = ["bucket", "x", "y", "chunk", "class", "label", "n", "order", "bits"]
+
+        def work(rows):
+            new = np.ones(len(rows["x"]) + 1, bool)
+            new[1:-1] = (rows["bucket"][1:] != rows["bucket"][:-1]) | (rows["x"][1:] != rows["x"][:-1]) | (rows["y"][1:] != rows["y"][:-1])
+            edge, i, j, out = np.flatnonzero(new), [], [], []
+            first, size = edge[:-1], np.diff(edge)
+            if mode == "hub":  # the first row of a part
+                i.append(np.repeat(first, size - 1))
+                j.append(np.setdiff1d(np.arange(edge[-1]), first, assume_unique=True))
+            else:
+                small = (size <= 24) & (rows["x"][first] == rows["y"][first])
+                for n in np.unique(size[small]):
+                    u, v = np.triu_indices(n, 1)
+                    i.append((first[small & (size == n)][:, None] + u).ravel())
+                    j.append((first[small & (size == n)][:, None] + v).ravel())
+                for lo, n in zip(first[~small], size[~small]):
+                    a, b, seen = large(rows, lo, lo + n)
+                    i += a
+                    j += b
+                    out.append(seen)
+            i, j = (np.concatenate(v).astype(int) if v else np.zeros(0, int) for v in (i, j))
+            if mode == "all":
+                ok = rows["label"][i] != rows["label"][j]
+                i, j = i[ok], j[ok]
+            if mode == "hub":
+                ok = rows["label"][i] != rows["label"][j]
+                i, j = i[ok], j[ok]
+            ok = may_link(rows["n"], rows["bits"], i, j, percent)
+            i, j = i[ok], j[ok]
+            if mode == "any":
+                who = np.unique(np.concatenate([i, j, *out]).astype(int))
+                a, b = rows["bucket"][who], rows["class"][who]
+            else:
+                a, b = rows["class"][i], rows["class"][j]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n < 8000:
+                continue
+            all_ = pa.Table.from_batches(held)
+            keys = np.stack([all_[c].to_numpy() for c in ("bucket", "x", "y")])
+            last = np.flatnonzero((keys != keys[:, -1:]).any(0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield work(_columns(all_.slice(0, cut), names))
+            held, n = all_.slice(cut).to_batches(), len(all_) - cut
+        if held and n:
+            yield work(_columns(pa.Table.from_batches(held), names))
+
+    return bounded
+
+
+def _columns(rows: pa.Table, names: list[str]) -> dict:
+    out = {c: rows[c].to_numpy() for c in names[:-1]}
+    return out | {"bits": [np.frombuffer(b, "<u8") for b in rows["bits"].to_pylist()]}
 
 
 def _verify(width: int, percent: int):
@@ -233,7 +388,7 @@ def _verify(width: int, percent: int):
     def verify(batches):
         hub, own = None, None
         for batch in batches:
-            values, at = doc_sets(batch.column("text"), width)
+            values, at = doc_sets(unzipped(batch.column("text")), width)
             hubs, parts, who = (batch.column(c).to_numpy() for c in ("hub", "part", "who"))
             found = []
             for i in range(len(hubs)):
@@ -263,7 +418,7 @@ class SetJoin:
             self.docs = self.work.save(self.docs, "rows")
         self._index()
 
-    def _scanner(self, shards: int):
+    def _scanner(self, shards: np.ndarray):
         """From rows to blocks of set hashes (kind 0) and index entries (kind 1)."""
         return _scan(self.width, self.percent, shards)
 
@@ -273,7 +428,7 @@ class SetJoin:
 
     def _index(self) -> None:
         n = partitions(self.spark, 2 * input_bytes(self.docs), 32 << 20)
-        rows = self.docs.mapInArrow(self._scanner(8 * n), "kind int, shard long, payload binary")
+        rows = self.docs.mapInArrow(self._scanner(shard_labels(n)), "kind int, shard long, payload binary")
         found = self.work.save(rows.repartition(n, "shard").mapInArrow(_shard, _SHARD), "index")
         self.info = found.where("id is not null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "a", "b")
         full = self.info.where("n_shingles > 0")
@@ -285,11 +440,33 @@ class SetJoin:
         keyed = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"))
         chosen = keyed.where("n > 1").groupBy("n", "low", "sum").agg(F.min("bucket").alias("bucket")).select("bucket")
         self.buckets = self.work.save(members.join(chosen, "bucket", "left_semi"), "buckets")
-        ids = self.buckets.select(F.col("class").alias("id")).distinct()
-        one = self.docs.join(ids.hint("shuffle_hash"), self.docs["doc_id"] == ids["id"], "left_semi")
-        self.texts = self.work.save(one.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+        own = found.where("id is not null").join(self.classes, (F.col("id") == F.col("doc_id")) & (F.col("id") == F.col("class")), "left_semi")
+        self.maps = self.work.save(own.groupBy(F.col("id").alias("class")).agg(F.max(F.struct("n", "bits")).alias("m")).select("class", "m.n", "m.bits"), "maps")
         self.labels = self.spark.createDataFrame([], "id long, label long")
         self.tested = self.spark.createDataFrame([], "hub long, who long")
+        settle(self.spark)
+        # What no bitmap rules out: only of these are the texts fetched.
+        near = self._bounded(self._chunked(self.buckets.withColumn("label", F.col("class"))), "any")
+        self.buckets = self.work.save(near.select(F.col("a").alias("bucket"), F.col("b").alias("class")).distinct(), "near")
+        settle(self.spark)
+        ids = self.buckets.select(F.col("class").alias("id")).distinct()
+        packed = self.docs.mapInArrow(zipped, "doc_id long, text binary")
+        one = packed.join(ids, packed["doc_id"] == ids["id"], "left_semi")
+        self.texts = self.work.save(one.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+
+    def _chunked(self, rows: DataFrame, salt: int = 0) -> DataFrame:
+        """(bucket, class, label) with bitmaps; a bucket of over CHUNK rows as pairs of chunks."""
+        sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+        order = F.xxhash64("class", F.lit(salt))
+        one = rows.join(sizes, "bucket").join(self.maps, "class")
+        one = one.withColumns({"order": order, "chunk": F.pmod(order, F.col("chunks")).cast("int")})
+        one = one.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        return one.select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "class", "label", "n", "order", "bits")
+
+    def _bounded(self, rows: DataFrame, mode: str) -> DataFrame:
+        n = partitions(self.spark, 0)
+        parts = rows.where("x = y") if mode == "hub" else rows
+        return parts.repartition(n, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "order").mapInArrow(_bounded(self.percent, mode), "a long, b long")
 
     def _labelled(self) -> DataFrame:
         """(bucket, class, label) of buckets in more than one component."""
@@ -323,21 +500,26 @@ class SetJoin:
         self.labels = self.work.save(every.join(moved, every["label"] == moved["was"], "left").select("id", F.coalesce("now", "label").alias("label")), f"labels-{name}")
 
     def run(self) -> SetJoin:
-        for k in range(HUB_ROUNDS):
+        # Hubs save comparisons in large buckets alone; small ones give all their pairs at once.
+        n = F.col("count")
+        load = self.buckets.groupBy("bucket").count().agg(F.sum(n).alias("rows"), F.sum(n * (n - 1) / 2).alias("pairs")).first()
+        for k in range(HUB_ROUNDS if (load["pairs"] or 0) > FEW_PAIRS * (load["rows"] or 0) else 0):
             rows = self.work.save(self._labelled(), f"mixed-{k}")
             if rows.isEmpty():
                 return self
-            order = F.struct(F.xxhash64("class", F.lit(k)) if k else F.lit(0).cast("long"), "class")
-            hubs = rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "class", "label")).alias("h")).select("bucket", F.col("h.class").alias("hub"), F.col("h.label").alias("hub_label"))
-            pairs = rows.join(hubs, "bucket").where("label != hub_label").select("hub", F.col("class").alias("who")).distinct()
-            pairs = self.work.save(pairs.join(self.tested, ["hub", "who"], "left_anti"), f"pairs-{k}")
+            pairs = self._bounded(self._chunked(rows, k), "hub").groupBy(F.col("a").alias("hub"), F.col("b").alias("who")).count()
+            pairs = pairs.join(self.tested, ["hub", "who"], "left_anti")
+            # A document is held against the one hub with which it shares most buckets.
+            pairs = pairs.groupBy("who").agg(F.max(F.struct("count", (-F.col("hub")).alias("hub"))).alias("best")).select((-F.col("best.hub")).alias("hub"), "who")
+            pairs = self.work.save(pairs, f"pairs-{k}")
+            if pairs.isEmpty():
+                break
             self._grow(self._check(pairs, f"links-{k}"), str(k))
+            settle(self.spark)
             self.tested = self.tested.unionByName(pairs).unionByName(pairs.select(F.col("who").alias("hub"), F.col("hub").alias("who")))
         rows = self.work.save(self._labelled(), "mixed")
         if not rows.isEmpty():
-            x, y = rows.alias("x"), rows.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label")))
-            pairs = pairs.select(F.col("x.class").alias("hub"), F.col("y.class").alias("who")).distinct()
+            pairs = self._bounded(self._chunked(rows), "all").select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("who")).distinct()
             pairs = self.work.save(pairs.join(self.tested, ["hub", "who"], "left_anti"), "pairs")
             self._grow(self._check(pairs, "links"), "last")
         return self

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240917))
@@ -120,3 +121,17 @@ def distinct(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
     values, doc = values[new], doc[new]
     return values, np.searchsorted(doc, np.arange(len(at)))
+
+
+def zipped(batches):
+    """(doc_id, text) with the texts compressed, for shuffles of whole texts; a null is empty."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        data, offsets = raw(batch.column("text"))
+        blobs = [pack.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "text"])
+
+
+def unzipped(column) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([unpack.decompress(x.as_py()) for x in column], pa.binary())
