@@ -28,7 +28,7 @@ from tidemark.llm.runtime import prepare
 from tidemark.llm.textkit import U, blocks, mix, raw, words
 
 BITS, DIM, FILTERS, WIDTHS = 16, 8, 6, (1, 2, 3)
-PER_CLASS = 4000
+PER_CLASS = 3000
 _STRIP = np.zeros(256, bool)
 _STRIP[[ord(c) for c in ".,;:!?*#%&$|\"'()[]{}<>-_"]] = True
 
@@ -38,8 +38,8 @@ def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     clean = data.copy()
     clean[_STRIP[data]] = 0x20
     _, _, h, at = words(clean, offsets)
-    first = (h >> U(64 - BITS)).astype(np.int64)
-    second = (mix(h) >> U(64 - BITS)).astype(np.int64) + (1 << BITS)
+    first = (h >> U(64 - BITS)).astype(np.int32)
+    second = (mix(h) >> U(64 - BITS)).astype(np.int32) + np.int32(1 << BITS)
     return np.stack([first, second]), at
 
 
@@ -156,7 +156,7 @@ def log_odds(rows: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
     doc = np.repeat(np.arange(len(y)), np.diff(at))
     out = np.zeros(2 << BITS, np.float32)
     for r in rows:
-        pair = np.unique(r * len(y) + doc)
+        pair = np.unique(r.astype(np.int64) * len(y) + doc)
         row, toxic = pair // len(y), y[pair % len(y)]
         a = np.bincount(row, toxic, 2 << BITS) / max(y.sum(), 1)
         b = np.bincount(row, 1 - toxic, 2 << BITS) / max((1 - y).sum(), 1)
@@ -193,6 +193,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, language: LanguageModel | N
     parts = [word_rows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in blocks(offsets)]
     rows = np.concatenate([p[0] for p in parts], 1)
     at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+    spoken = language.score(data, offsets).argmax(1) if language else np.zeros(len(y), int)
+    del parts, data, offsets, sample
     back = np.random.default_rng(11).random(len(y)) < 0.25
     fit = np.flatnonzero(~back)
 
@@ -210,7 +212,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, language: LanguageModel | N
     overall, _ = best_threshold(z, y_held)
     n_lang = len(language.languages) if language else 1
     model.thresholds = np.full(n_lang, overall)
-    spoken = model.languages_of(data, offsets)[held] if language else np.zeros(len(held), int)
+    spoken = spoken[held]
     for k in range(n_lang):  # few toxic rows pull a language's threshold less
         own = spoken == k
         n = y_held[own].sum()
