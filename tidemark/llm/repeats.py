@@ -29,7 +29,6 @@ doc_id loses nothing and takes nothing away.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -38,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import Workspace, input_bytes, partitions, prepare
+from tidemark.llm.runtime import Workspace, input_bytes, partitions, prepare, settle, shard_labels
 from tidemark.llm.textkit import _BYTE, U, blocks, mix, powers, raw
 
 LENGTH, GRAM = 50, 16
@@ -73,15 +72,15 @@ def unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
     return out
 
 
-def _sent(rows: np.ndarray, by: np.ndarray, kind: int, shards: int) -> pa.RecordBatch:
+def _sent(rows: np.ndarray, by: np.ndarray, kind: int, shards: np.ndarray) -> pa.RecordBatch:
     """A block of rows for each shard."""
-    to = mix(by.astype(U)) % U(shards)
+    to = mix(by.astype(U)) % U(len(shards))
     order = np.argsort(to, kind="stable")
     rows, to = rows[order], to[order]
     cut = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]]) if len(to) else np.zeros(1, int)
     blobs = [pack(rows[a:b]) for a, b in zip(cut[:-1], cut[1:])]
     n = len(blobs)
-    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(to[cut[:-1]].astype(np.int64) if n else [], pa.int64()), pa.nulls(n, pa.int64()), pa.array(blobs, pa.binary())], ["kind", "shard", "doc_id", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(shards[to[cut[:-1]].astype(int)] if n else [], pa.int64()), pa.nulls(n, pa.int64()), pa.array(blobs, pa.binary())], ["kind", "shard", "doc_id", "payload"])
 
 
 def least(x: np.ndarray, width: int) -> np.ndarray:
@@ -130,7 +129,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int
     return out
 
 
-def _parse(length: int, gram: int, shards: int):
+def _parse(length: int, gram: int, shards: np.ndarray):
     def parse(batches):
         held, n = [], 0
         for batch in batches:
@@ -155,7 +154,7 @@ def _blocks(batches, dtype: np.dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def _dictionary(shards: int):
+def _dictionary(shards: np.ndarray):
     """Phrases that go as a whole (kind 0, by document), and those to be fetched (kind 1)."""
 
     def dictionary(batches):
@@ -190,14 +189,14 @@ def _dictionary(shards: int):
     return dictionary
 
 
-def _texts(shards: int):
+def _texts(shards: np.ndarray):
     """Texts as compressed rows of kind 2, by document."""
 
     def texts(batches):
         pack_ = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column("doc_id")
-            at = (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).astype(U)) % U(shards)).astype(np.int64)
+            at = shards[(mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).astype(U)) % U(len(shards))).astype(int)]
             data, offsets = raw(batch.column("text"))
             blobs = [pack_.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
             n = len(blobs)
@@ -228,7 +227,7 @@ def _with_texts(batches, dtype: np.dtype):
             yield doc, text, own
 
 
-def _fetch(length: int, gram: int, shards: int):
+def _fetch(length: int, gram: int, shards: np.ndarray):
     wide = _bytes_dtype(length, gram)
 
     def fetch(batches):
@@ -279,7 +278,7 @@ def repeated_starts(rows: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return hit
 
 
-def _resolve(length: int, gram: int, shards: int):
+def _resolve(length: int, gram: int, shards: np.ndarray):
     wide = _bytes_dtype(length, gram)
 
     def resolve(batches):
@@ -356,7 +355,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whol
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = rows.where("doc_id is not null")
     n = partitions(spark, 2 * input_bytes(docs), 32 << 20)
-    shards = 8 * n
+    shards = shard_labels(n)
 
     def by_shard(df: DataFrame) -> DataFrame:
         return df.repartition(n, "shard")
@@ -364,18 +363,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whol
     def by_text(df: DataFrame) -> DataFrame:
         return by_shard(df.unionByName(known.mapInArrow(_texts(shards), _ROW))).sortWithinPartitions("kind")
 
-    def settle() -> None:  # lets Spark delete the files of shuffles that are done with
-        gc.collect()
-        spark._jvm.System.gc()
-
     parsed = by_shard(known.mapInArrow(_parse(length, gram, shards), _ROW)).mapInArrow(_dictionary(shards), _ROW)
     found = work.save(parsed, "dictionary")
     del parsed
-    settle()
+    settle(spark)
     asked = by_text(found.where("kind = 1")).mapInArrow(_fetch(length, gram, shards), _ROW)
     partial = work.save(by_shard(asked).mapInArrow(_resolve(length, gram, shards), _ROW), "partial")
     del asked
-    settle()
+    settle(spark)
     gone = found.where("kind = 0").unionByName(partial)
     kept = "binary" if whole else "string"
     out = by_text(gone).mapInArrow(_strike(length, whole), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kept}")
