@@ -244,6 +244,23 @@ def test_leaks(spark):
     assert leaks(docs, bench.limit(0)).count() == 0 and leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_of_truncated_items(spark):
+    from tidemark.llm.decontamination import leaks
+
+    rows, items, want = [], [], {}
+    for i, n in enumerate((12, 25, 38, 50)):
+        item = [f"w{i}x{k}" for k in range(n)]
+        items.append((i, " ".join(item)))
+        for m in range(4, n + 1):
+            for part, doc in ((item[:m], 1000 * i + m), (item[-m:], 1000 * i + 500 + m)):
+                rows.append((doc, " ".join(part)))
+                score = (m - 4) / (n - 4)
+                if score >= 0.8:
+                    want[doc, i] = round(score, 6)
+    found = leaks(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in found.collect()} == want and min(want.values()) < 0.82
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

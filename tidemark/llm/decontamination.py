@@ -6,8 +6,9 @@ of all of them). An item of n words is held against windows of n words. The simi
 of window and item is weighted by how often each shingle occurs: the sum of the smaller
 counts over the sum of the larger, and 0.8 or more is a leak.
 
-A similarity of t leaves at least 2t / (1 + t) of an item's shingles in the window. So
-only documents with that many shingles of an item are looked into, and only windows that
+A similarity of t leaves at least t / (1 + t) of the shingles of item and window, added
+up, in both; a window has as many as the item, or all of a shorter document's. So only
+documents with that many shingles of an item are looked into, and only windows that
 begin at the first of a run of such shingles, or end with the last of one: between those
 places the number of shared shingles doesn't rise. Windows and items get 64-bit SimHash
 fingerprints. RADIUS + 1 blocks of bits are an index: two fingerprints within RADIUS
@@ -70,9 +71,9 @@ def common(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(b), F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x)))
 
 
-def _least_shared(n: Column) -> Column:
-    """Shingles of an item's n that any window of similarity PERCENT has, in whole numbers."""
-    return F.ceil(2 * PERCENT * n / (100.0 + PERCENT) - 1e-9)
+def _least_shared(n: Column, held: Column) -> Column:
+    """Shingles of an item's n that any window of similarity PERCENT has, in a document of ``held``, in whole numbers."""
+    return F.ceil(PERCENT * (n + F.least(n, held)) / (100.0 + PERCENT) - 1e-9)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -94,14 +95,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = F.broadcast if small else (lambda df: df)
 
     hashed = docs.withColumn("words", word_hashes(F.col("text")))
-    empty = spark.createDataFrame([], "doc_id long, at int, item_id long, n int, n_grams int")
+    empty = spark.createDataFrame([], "doc_id long, held int, at int, item_id long, n int, n_grams int")
     hits = empty
     for width in widths:
-        each = hashed.select("doc_id", F.posexplode(grams(F.col("words"), width)).alias("at", "h"))
+        each = hashed.select("doc_id", (F.size("words") - (width - 1)).alias("held"), F.posexplode(grams(F.col("words"), width)).alias("at", "h"))
         mine = wanted.where(F.col("width") == width).select("item_id", "n", "n_grams", "h")
-        hits = hits.unionByName(each.join(near(mine), "h").select("doc_id", "at", "item_id", "n", "n_grams"))
-    found = hits.groupBy("doc_id", "item_id", "n", "n_grams").agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_set("at")).alias("at"))
-    found = work.save(found.where(F.col("hits") >= _least_shared(F.col("n_grams"))), "found")
+        hits = hits.unionByName(each.join(near(mine), "h").select("doc_id", "held", "at", "item_id", "n", "n_grams"))
+    found = hits.groupBy("doc_id", "item_id", "n", "n_grams").agg(F.count(F.lit(1)).alias("hits"), F.min("held").alias("held"), F.array_sort(F.collect_set("at")).alias("at"))
+    found = work.save(found.where(F.col("hits") >= _least_shared(F.col("n_grams"), F.col("held"))).drop("held"), "found")
 
     texts = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("words", word_hashes(F.col("text")))
     texts = work.save(texts.select("doc_id", "words"), "texts")
