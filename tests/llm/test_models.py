@@ -74,6 +74,40 @@ def test_image_copies(spark):
     assert got[400] == 0 and got[501] == 500 and got[600] == 600 and got[601] == 601 and None not in got
 
 
+def resized(image, side):
+    from tidemark.llm import media
+
+    at = np.linspace(0, len(image) - 1, side)
+    return media._at(image.astype(float), *np.meshgrid(at, at))
+
+
+def recompressed(image, step):
+    """Blocks of 8 x 8 by their cosine coefficients, rounded to ``step``."""
+    k = np.arange(8)
+    wave = np.cos(np.pi * (2 * k + 1) * k[:, None] / 16) * np.where(k[:, None], 0.5, np.sqrt(1 / 8))
+    blocks = image.reshape(len(image) // 8, 8, -1, 8).swapaxes(1, 2).astype(float)
+    return (wave.T @ (np.round(wave @ blocks @ wave.T / step) * step) @ wave).swapaxes(1, 2).reshape(image.shape)
+
+
+def test_tables_recall_edited_copies():
+    from tidemark.llm import media
+
+    rng, f = np.random.default_rng(4), np.hypot(np.fft.fftfreq(96)[:, None], np.fft.fftfreq(96))
+    f[0, 0] = 1
+    edits = [lambda x: x + rng.normal(0, 30, x.shape), lambda x: recompressed(x, 90), lambda x: media._blur(x.astype(float), 2), *(lambda x, n=n: resized(x, n) for n in (61, 86, 91, 106))]
+    linked, met = np.zeros(len(edits)), np.zeros(len(edits))
+    for _ in range(20):
+        image = np.fft.ifft2(np.fft.fft2(rng.normal(size=(96, 96))) * f**-1.2).real
+        image = (255 * (image - image.min()) / np.ptp(image)).astype(np.uint8)
+        one = media.describe(image)
+        for k, edit in enumerate(edits):
+            two = media.describe(np.clip(edit(image), 0, 255).astype(np.uint8))
+            if media.consensus(one, two) >= max(media.AGREE, media.SHARE * min(len(one), len(two))):
+                linked[k] += 1
+                met[k] += bool(np.intersect1d(media.table_keys(one), media.table_keys(two)).size)
+    assert (linked >= 15).all() and (met >= 0.9 * linked).all()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
