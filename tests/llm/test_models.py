@@ -74,6 +74,14 @@ def test_image_copies(spark):
     assert got[400] == 0 and got[501] == 500 and got[600] == 600 and got[601] == 601 and None not in got
 
 
+def textured(rng, height, width):
+    """An image with details of all sizes."""
+    f = np.hypot(np.fft.fftfreq(height)[:, None], np.fft.fftfreq(width))
+    f[0, 0] = 1
+    image = np.fft.ifft2(np.fft.fft2(rng.normal(size=f.shape)) * f**-1.2).real
+    return (255 * (image - image.min()) / np.ptp(image)).astype(np.uint8)
+
+
 def resized(image, side):
     from tidemark.llm import media
 
@@ -92,22 +100,37 @@ def recompressed(image, step):
 def test_tables_recall_edited_copies():
     from tidemark.llm import media
 
-    rng, f = np.random.default_rng(4), np.hypot(np.fft.fftfreq(96)[:, None], np.fft.fftfreq(96))
-    f[0, 0] = 1
+    rng = np.random.default_rng(4)
     edits = [lambda x: x + rng.normal(0, 30, x.shape), lambda x: recompressed(x, 90), lambda x: media._blur(x.astype(float), 2), *(lambda x, n=n: resized(x, n) for n in (61, 86, 91, 106))]
     linked, met = np.zeros(len(edits)), np.zeros(len(edits))
     for _ in range(20):
-        image = np.fft.ifft2(np.fft.fft2(rng.normal(size=(96, 96))) * f**-1.2).real
-        image = (255 * (image - image.min()) / np.ptp(image)).astype(np.uint8)
+        image = textured(rng, 96, 96)
         one = media.describe(image)
         for k, edit in enumerate(edits):
-            two = media.describe(np.clip(edit(image), 0, 255).astype(np.uint8))
-            if media.consensus(one, two) >= max(media.AGREE, media.SHARE * min(len(one), len(two))):
+            other = np.clip(edit(image), 0, 255).astype(np.uint8)
+            two = media.describe(other)
+            if media.linked(one, two, image.shape, other.shape):
                 linked[k] += 1
                 met[k] += bool(np.intersect1d(media.table_keys(one), media.table_keys(two)).size)
     assert (linked >= 15).all() and (met >= 0.9 * linked).all()
 
 
+def image_components(spark, images):
+    from tidemark.llm import media
+
+    rows = [(i, *x.shape, np.ascontiguousarray(x).tobytes()) for i, x in images]
+    df = spark.createDataFrame(rows, "image_id long, height int, width int, pixels binary").repartition(3)
+    return {r["image_id"]: r["component_id"] for r in media.copies(df).collect()}
+
+
+def test_small_crops(spark):
+    rng, images = np.random.default_rng(6), []
+    for i in range(5):
+        image = textured(rng, 200, 200)
+        images += [(i, image), (100 + i, image[:100, :100]), (200 + i, image[70:150, 90:170]), (300 + i, np.rot90(image[60:160, 60:160]))]
+    assert image_components(spark, images) == {i: i % 100 for i, _ in images}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -8,13 +8,12 @@ of the bits are Hamming tables: corners of two images that agree in one set brin
 into one bucket. The tables don't promise every pair: a corner pair d bits apart shares one
 with a chance of C(88, d) / C(128, d) a table, about 2% at 10 bits and 0.03% at 20, and one
 of an image's corners in one of the tables is enough. Pairs are then verified: corners are matched by Hamming distance, each match
-proposes a turn, scale and shift, and the images are linked if enough matches agree with
-one proposal. Buckets and components are those of the set join: exact copies are one
+proposes a turn, scale and shift, and the images are linked if the matches that agree with
+one proposal are enough of the corners in the part that it says both show. Buckets and components are those of the set join: exact copies are one
 class, each bucket's members are held against hubs in rounds, and pairs of different
 components that share a bucket and remain are all compared.
 
-An image keeps its KEYPOINTS strongest corners; that is the descriptor's size, and no
-partner or candidate is capped.
+An image keeps all corners over the least response, and no partner or candidate is capped.
 
 Nulls and odd input: an image without pixels, or whose pixels don't fill height x width,
 links with nothing. An image without corners links with exact copies only. Sides over
@@ -35,7 +34,8 @@ from tidemark.llm.setjoin import _ENTRY, _INFO, FLUSH, SetJoin, _packed, _with_b
 from tidemark.llm.textkit import _BYTE, U, mix, powers, unzipped
 
 SCALES = (1.2, 1.9, 3.0)
-KEYPOINTS, BITS, NEAR, AGREE, SHARE = 48, 128, 30, 6, 0.3
+BITS, NEAR, AGREE, SHARE = 128, 30, 6, 0.3
+CHUNK = 1 << 20
 MAX_SIDE = 512
 _POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("turn", "<f4"), ("bits", "u1", (BITS // 8,))])
 _rng = np.random.default_rng(5)
@@ -65,8 +65,8 @@ def _at(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (1 - a) * ((1 - b) * image[i, j] + b * image[i, j + 1]) + a * ((1 - b) * image[i + 1, j] + b * image[i + 1, j + 1])
 
 
-def describe(image: np.ndarray, keypoints: int = KEYPOINTS) -> np.ndarray:
-    """The strongest corners of a gray image with their descriptors."""
+def describe(image: np.ndarray) -> np.ndarray:
+    """The corners of a gray image with their descriptors."""
     image = image[:: -(-image.shape[0] // MAX_SIDE), :: -(-image.shape[1] // MAX_SIDE)].astype(float)
     if min(image.shape) < 16 or image.std() < 1e-6:
         return np.zeros(0, _POINT)
@@ -86,7 +86,7 @@ def describe(image: np.ndarray, keypoints: int = KEYPOINTS) -> np.ndarray:
             top &= inner > response[edge + dy : response.shape[0] - edge + dy, edge + dx : response.shape[1] - edge + dx]
         y, x = np.nonzero(top)
         found += zip((-inner[y, x]).tolist(), [k] * len(y), (y + edge).tolist(), (x + edge).tolist())
-    found = np.array(sorted(found)[:keypoints]).reshape(-1, 4)
+    found = np.array(sorted(found)).reshape(-1, 4)
     parts = []
     for k, scale in enumerate(SCALES):
         own = found[found[:, 1] == k]
@@ -114,22 +114,47 @@ def table_keys(points: np.ndarray) -> np.ndarray:
     return mix(mix(low ^ mix(np.arange(1, TABLES + 1).astype(U))) + high)
 
 
-def consensus(a: np.ndarray, b: np.ndarray) -> int:
-    """How many matched corners agree with one turn, scale and shift between two images."""
+def _matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of corners that are each other's nearest, NEAR bits apart at most."""
+    best, least = np.zeros(len(a), int), np.zeros(len(a), int)
+    back, low = np.zeros(len(b), int), np.full(len(b), BITS + 1)
+    step = max(1, CHUNK // len(b))
+    for lo in range(0, len(a), step):
+        distance = np.bitwise_count(a["bits"][lo : lo + step, None] ^ b["bits"][None]).sum(2, dtype=int)
+        best[lo : lo + step], least[lo : lo + step] = distance.argmin(1), distance.min(1)
+        nearer = distance.min(0) < low
+        back[nearer], low[nearer] = lo + distance.argmin(0)[nearer], distance.min(0)[nearer]
+    i = np.flatnonzero((least <= NEAR) & (back[best] == np.arange(len(a))))
+    return i, best[i]
+
+
+def linked(a: np.ndarray, b: np.ndarray, a_shape: tuple[int, int], b_shape: tuple[int, int]) -> bool:
+    """Whether enough matched corners agree with one turn, scale and shift between two images.
+
+    Enough is AGREE, and SHARE of the corners in the part that both show, of the image that has fewer there.
+    """
     if not len(a) or not len(b):
-        return 0
-    distance = np.bitwise_count(a["bits"][:, None] ^ b["bits"][None]).sum(2, dtype=int)
-    best = distance.argmin(1)
-    i = np.flatnonzero((distance[np.arange(len(a)), best] <= NEAR) & (distance.argmin(0)[best] == np.arange(len(a))))
+        return False
+    i, j = _matches(a, b)
     if len(i) < AGREE:
-        return 0
-    p, q = a[i], b[best[i]]
-    grow, turn = q["scale"] / p["scale"], q["turn"] - p["turn"]
+        return False
+    p, q = a[i], b[j]
+    turn = q["turn"] - p["turn"]
     z, w = p["x"] + 1j * p["y"], q["x"] + 1j * q["y"]
-    spin = grow * np.exp(1j * turn)
-    off = np.abs(spin[:, None] * (z[None] - z[:, None]) + w[:, None] - w[None])
-    same = np.abs(np.angle(np.exp(1j * (turn[:, None] - turn[None])))) < 0.35
-    return int(((off < 3 + 0.05 * np.abs(z[None] - z[:, None])) & same).sum(1).max())
+    spin = q["scale"] / p["scale"] * np.exp(1j * turn)
+    inside = lambda at, shape: ((at.real >= 0) & (at.real <= shape[1] - 1) & (at.imag >= 0) & (at.imag <= shape[0] - 1)).sum(1)
+    step = max(1, CHUNK // max(len(a), len(b)))
+    for lo in range(0, len(i), step):
+        z0, w0, by, round_ = (v[lo : lo + step, None] for v in (z, w, spin, turn))
+        off = np.abs(by * (z - z0) + w0 - w)
+        same = np.abs(np.angle(np.exp(1j * (turn - round_)))) < 0.35
+        agree = ((off < 3 + 0.05 * np.abs(z - z0)) & same).sum(1)
+        k = np.flatnonzero(agree >= AGREE)
+        z0, w0, by = z0[k], w0[k], by[k]
+        shown = np.minimum(inside(by * (a["x"] + 1j * a["y"] - z0) + w0, b_shape), inside((b["x"] + 1j * b["y"] - w0) / by + z0, a_shape))
+        if (agree[k] >= SHARE * shown).any():
+            return True
+    return False
 
 
 def _describe(batches):
@@ -143,12 +168,16 @@ def _describe(batches):
                 continue
             image = np.frombuffer(data, np.uint8)
             hashed = mix(np.array([np.sum(_BYTE[image] * powers(len(image))), np.sum(_BYTE[255 - image] * powers(len(image)))], U) + U(height))
-            found.append(hashed.tobytes() + describe(image.reshape(height, width)).tobytes())
+            found.append(hashed.tobytes() + np.array([height, width], "<u4").tobytes() + describe(image.reshape(height, width)).tobytes())
         yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(found, pa.binary())], ["doc_id", "text"])
 
 
 def _points(blob: bytes | None) -> np.ndarray:
-    return np.frombuffer(blob, _POINT, offset=16) if blob else np.zeros(0, _POINT)
+    return np.frombuffer(blob, _POINT, offset=24) if blob else np.zeros(0, _POINT)
+
+
+def _shape(blob: bytes | None) -> tuple[int, int]:
+    return tuple(np.frombuffer(blob, "<u4", 2, 16).tolist()) if blob else (0, 0)
 
 
 def _scan(shards: np.ndarray):
@@ -186,14 +215,14 @@ def _scan(shards: np.ndarray):
 
 
 def _verify(batches):
-    hub, own = None, None
+    hub, own, shape = None, None, None
     for batch in batches:
         found = []
         for h, part, who, blob in zip(*(batch.column(c).to_pylist() for c in ("hub", "part", "who")), unzipped(batch.column("text")).to_pylist()):
             points = _points(blob)
             if (h, part) != hub:
-                hub, own = (h, part), points
-            if who != h and consensus(own, points) >= max(AGREE, SHARE * min(len(own), len(points))):
+                hub, own, shape = (h, part), points, _shape(blob)
+            if who != h and linked(own, points, shape, _shape(blob)):
                 found.append((h, who))
         a, b = zip(*found) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
