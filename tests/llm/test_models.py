@@ -131,6 +131,19 @@ def test_small_crops(spark):
     assert image_components(spark, images) == {i: i % 100 for i, _ in images}
 
 
+def test_large_images(monkeypatch):
+    from tidemark.llm import media
+
+    rng = np.random.default_rng(8)
+    wide, large = textured(rng, 400, 600), textured(rng, 600, 600)
+    pairs = [(wide, wide[:, 40:540]), (large, large[50:550, 90:590])]
+    assert all(media.linked(media.describe(a), media.describe(b), a.shape, b.shape) for a, b in pairs)
+    tiled = np.sort(media.describe(large), order=["scale", "y", "x"])
+    monkeypatch.setattr(media, "TILE", 1000)
+    whole = np.sort(media.describe(large), order=["scale", "y", "x"])
+    assert all((tiled[c] == whole[c]).all() for c in ("scale", "y", "x")) and (tiled["bits"] == whole["bits"]).all(1).mean() > 0.99
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

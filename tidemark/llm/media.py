@@ -16,8 +16,9 @@ components that share a bucket and remain are all compared.
 An image keeps all corners over the least response, and no partner or candidate is capped.
 
 Nulls and odd input: an image without pixels, or whose pixels don't fill height x width,
-links with nothing. An image without corners links with exact copies only. Sides over
-MAX_SIDE are sampled down to it. Columns besides the four are not looked at.
+links with nothing. An image without corners links with exact copies only. Images with a side
+over TILE are described tile by tile, with a border that all filters and patches stay within,
+so that memory is bounded and corners are those of the whole. Columns besides the four are not looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from tidemark.llm.textkit import _BYTE, U, mix, powers, unzipped
 SCALES = (1.2, 1.9, 3.0)
 BITS, NEAR, AGREE, SHARE = 128, 30, 6, 0.3
 CHUNK = 1 << 20
-MAX_SIDE = 512
+TILE, BORDER = 512, 96
 _POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("turn", "<f4"), ("bits", "u1", (BITS // 8,))])
 _rng = np.random.default_rng(5)
 _TESTS = np.clip(_rng.normal(0, 5.0, (2, BITS, 2)), -11, 11)  # point pairs, in units of the scale
@@ -67,10 +68,22 @@ def _at(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def describe(image: np.ndarray) -> np.ndarray:
     """The corners of a gray image with their descriptors."""
-    image = image[:: -(-image.shape[0] // MAX_SIDE), :: -(-image.shape[1] // MAX_SIDE)].astype(float)
-    if min(image.shape) < 16 or image.std() < 1e-6:
+    if min(image.shape) < 16 or (std := image.std()) < 1e-6:
         return np.zeros(0, _POINT)
-    image = (image - image.mean()) / image.std()
+    mean, parts = image.mean(), []
+    for y in range(0, image.shape[0], TILE):
+        for x in range(0, image.shape[1], TILE):
+            top, left = max(0, y - BORDER), max(0, x - BORDER)
+            tile = (image[top : y + TILE + BORDER, left : x + TILE + BORDER] - mean) / std
+            points = _corners(tile, y - top, x - left)
+            points["x"] += left
+            points["y"] += top
+            parts.append(points)
+    return np.concatenate(parts)
+
+
+def _corners(image: np.ndarray, top: int, left: int) -> np.ndarray:
+    """The corners of a tile that lie in the TILE rows from ``top`` and columns from ``left``."""
     found = []
     for k, scale in enumerate(SCALES):
         smooth = _blur(image, scale)
@@ -81,10 +94,12 @@ def describe(image: np.ndarray) -> np.ndarray:
         inner = response[edge:-edge, edge:-edge]
         if min(inner.shape) < 3:
             continue
-        top = inner > 1e-4
+        peak = inner > 1e-4
         for dy, dx in ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)):
-            top &= inner > response[edge + dy : response.shape[0] - edge + dy, edge + dx : response.shape[1] - edge + dx]
-        y, x = np.nonzero(top)
+            peak &= inner > response[edge + dy : response.shape[0] - edge + dy, edge + dx : response.shape[1] - edge + dx]
+        y, x = np.nonzero(peak)
+        own = (y + edge >= top) & (y + edge < top + TILE) & (x + edge >= left) & (x + edge < left + TILE)
+        y, x = y[own], x[own]
         found += zip((-inner[y, x]).tolist(), [k] * len(y), (y + edge).tolist(), (x + edge).tolist())
     found = np.array(sorted(found)).reshape(-1, 4)
     parts = []
