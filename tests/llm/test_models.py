@@ -74,6 +74,23 @@ def test_image_copies(spark):
     assert got[400] == 0 and got[501] == 500 and got[600] == 600 and got[601] == 601 and None not in got
 
 
+def test_toxicity_thresholds_follow_class_shares(spark):
+    from tidemark.llm.toxicity import fit_toxicity, score_toxicity
+
+    rng, rows = random.Random(2), []
+    for i in range(6000):
+        toxic, text = int(rng.random() < 0.1), [rng.choice(("the", "of", "was", "there", "and")) for _ in range(12)]
+        text += ["rude"] * (rng.random() < (0.8 if toxic else 0.15)) + ["idiotic"] * (rng.random() < (0.6 if toxic else 0.01))
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    for per_class in (6000, 400):
+        model = fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), None, per_class)
+        out = score_toxicity(docs, model).toPandas()
+        assert out.predicted[out.text.str.contains("idiotic")].mean() > 0.95
+        assert out.predicted[out.toxic == 0].mean() < 0.05
+
+
 def textured(rng, height, width):
     """An image with details of all sizes."""
     f = np.hypot(np.fft.fftfreq(height)[:, None], np.fft.fftfreq(width))

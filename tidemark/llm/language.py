@@ -112,13 +112,17 @@ class LanguageModel:
         return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)))
 
 
-def sample_per_class(docs: DataFrame, label: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of each class at most, drawn by a hash of doc_id."""
-    counts = [(r[label], r["count"]) for r in docs.groupBy(label).count().collect()]
+def class_shares(docs: DataFrame, label: str, per_class: int) -> dict:
+    """The share of each class's rows that about ``per_class`` of them are, 1 at most."""
+    return {r[label]: min(1.0, per_class / r["count"]) for r in docs.groupBy(label).count().collect()}
+
+
+def sample_per_class(docs: DataFrame, label: str, shares: dict) -> DataFrame:
+    """The given shares of the classes, drawn by a hash of doc_id."""
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     share = F.lit(0.0)
-    for value, n in counts:
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)
+    for value, part in shares.items():
+        share = F.when(F.col(label) == F.lit(value), F.lit(part)).otherwise(share)
     return docs.where(draw < share)
 
 
@@ -137,7 +141,7 @@ def fit_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageM
     """Fit on a bounded sample of the rows that have a language and a text."""
     prepare(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    rows = sample_per_class(known, "lang", per_language).select("lang", "text").mapInArrow(_sparse_counts, "lang string, counts binary").collect()
+    rows = sample_per_class(known, "lang", class_shares(known, "lang", per_language)).select("lang", "text").mapInArrow(_sparse_counts, "lang string, counts binary").collect()
     if not rows:
         return None
     counts = np.zeros((len(rows), 1 << BITS), np.float32)

@@ -6,7 +6,8 @@ words wide run over the whole text; each filter's maximum over the text goes int
 logistic layer. Training is minibatch Adam on the driver over a bounded sample of
 labelled rows; the first embedding coordinate starts at the word's log-odds in the
 sample, the rest at small random values. A quarter of the sample is kept back, and for
-each language that the language model *predicts* a threshold is chosen on it; a score is
+each language that the language model *predicts* a threshold is chosen on it, its rows
+weighted by the inverse of their class's share in the sample; a score is
 ``sigmoid(slope * (logit - threshold))``. Language, source and doc_id never go in.
 
 Nulls: a null or empty text has no word and gets the score of the bias alone. With no
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.language import LanguageModel, sample_per_class
+from tidemark.llm.language import LanguageModel, class_shares, sample_per_class
 from tidemark.llm.runtime import prepare
 from tidemark.llm.textkit import U, blocks, mix, raw, words
 
@@ -165,13 +166,13 @@ def log_odds(rows: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_threshold(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """The cut between logits with the best F1, mid-gap, and that F1."""
+def best_threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """The cut between logits with the best F1 of the weighted rows, mid-gap, and that F1."""
     if not y.any():
         return float(z.max(initial=0) + 1), 0.0
     order = np.argsort(-z, kind="stable")
-    hit, z = np.cumsum(y[order]), z[order]
-    f1 = 2 * hit / (np.arange(1, len(z) + 1) + y.sum())
+    hit, z = np.cumsum((weight * y)[order]), z[order]
+    f1 = 2 * hit / (np.cumsum(weight[order]) + (weight * y).sum())
     k = int(f1.argmax())
     return float((z[k] + (z[k + 1] if k + 1 < len(z) else z[k] - 1)) / 2), float(f1[k])
 
@@ -184,7 +185,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, language: LanguageModel | N
     """
     prepare(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
-    drawn = F.broadcast(sample_per_class(known, "toxic", per_class))
+    shares = class_shares(known, "toxic", per_class)
+    drawn = F.broadcast(sample_per_class(known, "toxic", shares))
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(drawn, "doc_id").toArrow().sort_by("doc_id")
     if not len(sample):
         return None
@@ -208,8 +210,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, language: LanguageModel | N
     model.train(own_rows, own_at, y[fit])
     held = np.flatnonzero(back) if back.any() else fit
     z, y_held = model.logits(*pick(held)), y[held]
+    weight = np.array([1 / shares[k] for k in y_held.astype(int)])  # thresholds are for the classes' real shares
     model.language = language
-    overall, _ = best_threshold(z, y_held)
+    overall, _ = best_threshold(z, y_held, weight)
     n_lang = len(language.languages) if language else 1
     model.thresholds = np.full(n_lang, overall)
     spoken = spoken[held]
@@ -217,7 +220,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, language: LanguageModel | N
         own = spoken == k
         n = y_held[own].sum()
         if n >= 5:
-            cut, _ = best_threshold(z[own], y_held[own])
+            cut, _ = best_threshold(z[own], y_held[own], weight[own])
             model.thresholds[k] = (n * cut + 10 * overall) / (n + 10)
     return model
 
