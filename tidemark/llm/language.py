@@ -108,7 +108,7 @@ class LanguageModel:
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        parts = [self.probabilities(trigram_counts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])) for lo, hi in blocks(offsets, 1 << 20)]
+        parts = [self.probabilities(trigram_counts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])) for lo, hi in blocks(offsets, 1 << 18)]
         return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)))
 
 
@@ -130,7 +130,7 @@ def _sparse_counts(batches):
     for batch in batches:
         data, offsets = raw(batch.column("text"))
         found = []
-        for lo, hi in blocks(offsets, 1 << 20):
+        for lo, hi in blocks(offsets, 1 << 18):
             for row in trigram_counts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
                 at = np.flatnonzero(row)
                 found.append(np.concatenate([at.astype(np.float32), row[at]]).tobytes())

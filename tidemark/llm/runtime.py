@@ -5,25 +5,39 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_SHIPPED: set[str] = set()
 
 _CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers find this package and keep Arrow batches of long texts small."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH")) if x)
-    env.setdefault("OMP_NUM_THREADS", "1")
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Ship this package to the Python workers, once an application; no setting is changed.
+
+    A package that is not a folder on the driver came as a file that Spark ships already.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or not os.path.isdir(os.path.join(_ROOT, "tidemark")):
+        return
+    folder = tempfile.mkdtemp(prefix="tidemark-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "tidemark_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, names in os.walk(os.path.join(_ROOT, "tidemark")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(top, name), os.path.relpath(os.path.join(top, name), _ROOT))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is made only where that is unset."""
+    """The folder of spark.checkpoint.dir; a local one is made only where that is unset and the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidemark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at

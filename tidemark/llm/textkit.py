@@ -60,7 +60,7 @@ def raw(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, size: int = 2 << 20):
+def blocks(offsets: np.ndarray, size: int = 1 << 19):
     """Row ranges (lo, hi) of about ``size`` bytes; a longer text is a block of its own."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
