@@ -133,7 +133,7 @@ def test_lines_are_reversible(spark):
     left = [r for r in rows if r[0] not in (0, 5, 11)]
     once = LineIndex(spark, 4)
     once.insert(frame(left))
-    table = lambda x: sorted((r["h1"], r["h2"], r["n_docs"], r["keeper"]) for r in x.counts.collect())
+    table = lambda x: sorted(map(tuple, x.live().select("h1", "h2", "n_refs", "keeper", "last").collect()))
     assert table(index) == table(once)
     got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in index.strike(frame(left)).collect())
     assert got == brute_lines(left)
@@ -142,14 +142,45 @@ def test_lines_are_reversible(spark):
 def test_cuckoo_filter():
     from tidemark.llm.cuckoo import CuckooFilter
 
-    keys = np.random.default_rng(1).integers(0, 2**63, 20000, dtype=np.uint64)
+    keys = np.random.default_rng(1).integers(0, 2**63, 1_500_000, dtype=np.uint64)
     f = CuckooFilter()
-    f.insert(keys[:10000])
-    f.insert(keys[10000:15000])
+    level = [f.insert(keys[:1_000_000]), f.insert(keys[1_000_000:1_020_000])]
+    level += [f.insert(keys[k : k + 10]) for k in range(1_020_000, 1_020_500, 10)]
+    level = np.concatenate(level)
+    assert len(f.tables) <= 2  # many small insertions share the tables that are there
     f = CuckooFilter.load(f.dump())
-    assert f.contains(keys[:15000]).all() and f.contains(keys[15000:]).mean() < 0.01
-    f.delete(keys[:9000])
-    assert f.contains(keys[9000:15000]).all() and f.contains(keys[:9000]).mean() < 0.01
+    assert f.contains(keys[:1_020_500]).all() and f.contains(keys[1_020_500:]).mean() < 0.001
+    f.delete(keys[:500_000], level[:500_000])
+    assert f.contains(keys[500_000:1_020_500]).all() and f.contains(keys[:500_000]).mean() < 0.001
+    f.delete(keys[500_000:1_020_500], level[500_000:])
+    assert not any(t.any() for t in f.tables)
+    with pytest.raises(ValueError):
+        f.delete(keys[:1], level[:1])
+
+
+def test_many_keys_and_deletions_equal_a_fresh_index(spark):
+    """Some of the keys are taken for known by chance; every live key has one row and one fingerprint all the same."""
+    from tidemark.llm.lines import LineIndex
+
+    doc = lambda i, salt="": "\n".join(f"line {k} of document {i}{salt}" for k in range(300))
+    first = [(i, doc(i)) for i in range(700)]
+    common = [(10_000 + i, doc(i)) for i in range(650, 700)]
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    index = LineIndex(spark, 1, shard_keys=150_000)  # so that it is dealt to more shards on the way
+    index.insert(frame(first[:400]))
+    index.insert(frame(first[400:]))
+    index.delete(frame([(i, "") for i in range(600)]).select("doc_id"))
+    index.insert(frame(common))
+    index.insert(frame([(10_651, doc(651, " anew")), (10_652, doc(652))]))  # in already: replaced
+    left = first[600:] + [r for r in common if r[0] != 10_651] + [(10_651, doc(651, " anew"))]
+    once = LineIndex(spark, 1)
+    once.insert(frame(left))
+    table = lambda x: sorted(map(tuple, x.live().select("h1", "h2", "n_refs", "keeper", "last").collect()))
+    assert index.n_shards > 1 and table(index) == table(once)
+    held = index.filters.selectExpr("explode(tables) t").collect()
+    assert sum(np.count_nonzero(np.frombuffer(r["t"], np.uint16)) for r in held) == len(table(index)) == len({r[:2] for r in table(index)})
+    dropped = lambda x: {r["doc_id"]: r["n_dropped"] for r in x.strike(frame(left)).collect()}
+    assert dropped(index) == dropped(once) == {d: 300 * (d >= 10_000 and d != 10_651) for d, _ in left}
 
 
 def brute_components(rows):

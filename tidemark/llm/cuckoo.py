@@ -1,7 +1,10 @@
 """A cuckoo filter over 64-bit keys whose operations work on whole numpy arrays.
 
-Four 16-bit fingerprints a bucket, two buckets a key. A full table isn't rebuilt: a
-further table of twice the size is added, so only fingerprints need be kept.
+Four 16-bit fingerprints a bucket, two buckets a key. A table takes keys until it is
+full; then one of at least twice its size is added, so there are few tables whatever the
+number of insertions, and only fingerprints need be kept. An insertion tells each key's
+table (its level); whoever deletes a key gives the level back, since the same fingerprint
+in another table is another key's.
 """
 
 from __future__ import annotations
@@ -73,18 +76,30 @@ class CuckooFilter:
             bucket = self._other(table, fp, bucket)
         return fp, bucket
 
-    def insert(self, keys: np.ndarray) -> None:
-        """Add keys, of which none is in yet."""
-        if not len(keys):
-            return
+    def insert(self, keys: np.ndarray) -> np.ndarray:
+        """Add keys, of which none is in yet; returned is the level of each one's table."""
+        level = np.zeros(len(keys), np.int32)
+        left = np.arange(len(keys))
         rng = np.random.default_rng(len(keys))
-        size = 1 << max(4, int(np.ceil(np.log2(len(keys) / LOAD / SLOTS + 1))))
-        while True:
-            table = np.zeros((size, SLOTS), np.uint16)
-            if not len(self._fill(table, keys, rng)[0]):
-                self.tables.append(table)
-                return
-            size *= 2
+        while len(left):
+            last = len(self.tables) - 1
+            room = int(self.tables[last].size * LOAD) - int(np.count_nonzero(self.tables[last])) if last >= 0 else 0
+            if room <= 0:  # the next table has room for what is left, and for as much as all before it
+                need = max(len(left) / LOAD, 2 * self.tables[last].size if last >= 0 else 0)
+                self.tables.append(np.zeros((1 << max(4, int(np.ceil(np.log2(need / SLOTS + 1)))), SLOTS), np.uint16))
+                continue
+            now, left = left[:room], left[room:]
+            trial = self.tables[last].copy()
+            if len(self._fill(trial, keys[now], rng)[0]):  # keys that are too many alike: a table of their own
+                need = max(2 * len(now) / LOAD, 2 * trial.size)
+                trial = np.zeros((1 << int(np.ceil(np.log2(need / SLOTS + 1))), SLOTS), np.uint16)
+                while len(self._fill(trial, keys[now], rng)[0]):
+                    trial = np.zeros((2 * len(trial), SLOTS), np.uint16)
+                self.tables.append(trial)
+            else:
+                self.tables[last] = trial
+            level[now] = len(self.tables) - 1
+        return level
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
         """True for every key that is in, and for a few that aren't."""
@@ -95,13 +110,12 @@ class CuckooFilter:
             found |= ((table[a] == fp[:, None]) | (table[b] == fp[:, None])).any(1)
         return found
 
-    def delete(self, keys: np.ndarray) -> None:
-        """Remove one fingerprint of each key; the keys must be in."""
-        for table in reversed(self.tables):
-            if not len(keys):
-                return
-            fp, a = self._home(table, keys)
-            left = np.ones(len(keys), bool)
+    def delete(self, keys: np.ndarray, level: np.ndarray) -> None:
+        """Remove one fingerprint of each key from the table that got it; the keys must be in."""
+        for k in np.unique(level):
+            table, own = self.tables[k], keys[level == k]
+            fp, a = self._home(table, own)
+            left = np.ones(len(own), bool)
             for bucket in (a, self._other(table, fp, a)):
                 while True:
                     hit = left & (table[bucket] == fp[:, None]).any(1)
@@ -112,4 +126,5 @@ class CuckooFilter:
                     slot = (table[bucket[who]] == fp[who, None]).argmax(1)
                     table[bucket[who], slot] = 0
                     left[who] = False
-            keys = keys[left]
+            if left.any():
+                raise ValueError(f"{int(left.sum())} keys to delete are not in the filter")

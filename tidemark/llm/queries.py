@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import leaks
 from tidemark.llm.language import fit_language, identify
-from tidemark.llm.lines import dedup_lines
+from tidemark.llm.lines import line_index
 from tidemark.llm.media import copies, render_vectors
 from tidemark.llm.packing import pack, pieces
 from tidemark.llm.pii import BASE, find_personal_data, joined
@@ -44,7 +44,14 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    """A corpus that comes in two batches; a part of the first is withdrawn and comes again with the second."""
+    docs = table(spark, sf_dir, "documents")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(16))
+    index = line_index(docs)
+    index.insert(docs.where(part < 9))
+    index.delete(docs.where(part == 8).select("doc_id"))
+    index.insert(docs.where(part >= 8))
+    out = index.strike(docs)
     return out.select("doc_id", "n_lines", "n_dropped", _digest(F.col("text")).alias("kept_sha256"))
 
 
