@@ -37,6 +37,7 @@ A null doc_id stands for itself and links with nothing.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +49,11 @@ from tidemark.llm.textkit import U, blocks, distinct, mix, raw, shingles, unzipp
 
 WIDTH, PERCENT = 5, 80
 SPLIT = 256  # a bucket's documents are handed on in lists of this length
-FLUSH = 3_000_000  # entries a task gathers before it packs them
+FLUSH = 1_000_000  # entries a task gathers before it packs them
 HUB_ROUNDS, FEW_PAIRS = 4, 8
 CHUNK = 4096  # rows of a bucket that are held against each other at once
-GROUP = 512  # comparisons with one hub that are made together
+GROUP = 64  # comparisons with one hub that are made together
+BROADCAST_ROWS = 50_000  # large buckets that may be broadcast; more are joined by shuffle
 
 _ENTRY = np.dtype([("sig", "<u8"), ("id", "<i8")])
 _INFO = np.dtype([("id", "<i8"), ("n", "<i8"), ("a", "<u8"), ("b", "<u8"), ("words", "<i4")])
@@ -238,7 +240,7 @@ def _shard(batches):
         ids = np.unique(rows["id"][edge[k] : edge[k + 1]])
         if len(ids) < 2:
             continue
-        name = ids.tobytes() if len(ids) <= 8 else hash(ids.tobytes())
+        name = ids.tobytes()
         if name in seen:
             continue
         seen.add(name)
@@ -358,25 +360,31 @@ def _bounded(percent: int, mode: str):
                 a, b = rows["class"][i], rows["class"][j]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += len(batch)
-            if n < 8000:
-                continue
-            all_ = pa.Table.from_batches(held)
-            keys = np.stack([all_[c].to_numpy() for c in ("bucket", "x", "y")])
-            last = np.flatnonzero((keys != keys[:, -1:]).any(0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield work(_columns(all_.slice(0, cut), names))
-            held, n = all_.slice(cut).to_batches(), len(all_) - cut
-        if held and n:
-            yield work(_columns(pa.Table.from_batches(held), names))
+        for rows in whole_parts(batches, ("bucket", "x", "y"), 8000):
+            yield work(_columns(rows, names))
 
     return bounded
 
 
+def whole_parts(batches, keys: tuple[str, ...], least: int):
+    """Tables of ``least`` rows or more, of batches sorted by keys, that cut no key's rows apart."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n < least:
+            continue
+        rows = pa.Table.from_batches(held)
+        values = np.stack([rows[c].to_numpy() for c in keys])
+        last = np.flatnonzero((values != values[:, -1:]).any(0))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield rows.slice(0, cut)
+        held, n = rows.slice(cut).to_batches(), len(rows) - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _columns(rows: pa.Table, names: list[str]) -> dict:
     out = {c: rows[c].to_numpy() for c in names[:-1]}
     return out | {"bits": [np.frombuffer(b, "<u8") for b in rows["bits"].to_pylist()]}
@@ -409,6 +417,14 @@ def _verify(width: int, percent: int):
 class SetJoin:
     """One run over a table of documents; ``labels`` and ``info`` hold its results."""
 
+    along = ("n", "bits")  # columns that rows of buckets need to be compared
+
+    def _hub_rounds(self) -> int:
+        """Hubs save comparisons in large buckets alone; small ones give all their pairs at once."""
+        n = F.col("count")
+        load = self.buckets.groupBy("bucket").count().agg(F.sum(n).alias("rows"), F.sum(n * (n - 1) / 2).alias("pairs")).first()
+        return HUB_ROUNDS if (load["pairs"] or 0) > FEW_PAIRS * (load["rows"] or 0) else 0
+
     def __init__(self, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, save: bool = False):
         self.spark, self.width, self.percent = docs.sparkSession, width, percent
         prepare(self.spark)
@@ -446,7 +462,7 @@ class SetJoin:
         self.tested = self.spark.createDataFrame([], "hub long, who long")
         settle(self.spark)
         # What no bitmap rules out: only of these are the texts fetched.
-        near = self._bounded(self._chunked(self.buckets.withColumn("label", F.col("class"))), "any")
+        near = self._bounded(self._chunked(self.buckets.withColumn("label", F.col("class")), "near"), "any")
         self.buckets = self.work.save(near.select(F.col("a").alias("bucket"), F.col("b").alias("class")).distinct(), "near")
         settle(self.spark)
         ids = self.buckets.select(F.col("class").alias("id")).distinct()
@@ -454,14 +470,24 @@ class SetJoin:
         one = packed.join(ids, packed["doc_id"] == ids["id"], "left_semi")
         self.texts = self.work.save(one.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
-    def _chunked(self, rows: DataFrame, salt: int = 0) -> DataFrame:
-        """(bucket, class, label) with bitmaps; a bucket of over CHUNK rows as pairs of chunks."""
-        sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    def _mapped(self, rows: DataFrame) -> DataFrame:
+        """Rows with what goes along to bound their similarity."""
+        return rows.join(self.maps, "class")
+
+    def _chunked(self, rows: DataFrame, name: str, salt: int = 0) -> DataFrame:
+        """(bucket, class, label) with bitmaps; a bucket of over CHUNK rows as pairs of chunks.
+
+        Only the large buckets' sizes meet the rows, so rows aren't dealt by bucket before they are cut up.
+        """
+        sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
+        sizes = self.work.save(sizes, f"sizes-{name}")
+        small = sizes.count() <= BROADCAST_ROWS
         order = F.xxhash64("class", F.lit(salt))
-        one = rows.join(sizes, "bucket").join(self.maps, "class")
+        one = self._mapped(rows.join(F.broadcast(sizes) if small else sizes, "bucket", "left"))
+        one = one.withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         one = one.withColumns({"order": order, "chunk": F.pmod(order, F.col("chunks")).cast("int")})
         one = one.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        return one.select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "class", "label", "n", "order", "bits")
+        return one.select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "class", "label", "order", *self.along)
 
     def _bounded(self, rows: DataFrame, mode: str) -> DataFrame:
         n = partitions(self.spark, 0)
@@ -470,7 +496,7 @@ class SetJoin:
 
     def _labelled(self) -> DataFrame:
         """(bucket, class, label) of buckets in more than one component."""
-        rows = self.buckets.join(self.labels, self.buckets["class"] == self.labels["id"], "left").select("bucket", "class", F.coalesce("label", "class").alias("label"))
+        rows = self.buckets.join(self.labels, self.buckets["class"] == self.labels["id"], "left").select(*self.buckets.columns, F.coalesce("label", "class").alias("label"))
         mixed = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
         return rows.join(mixed, "bucket", "left_semi")
 
@@ -500,18 +526,16 @@ class SetJoin:
         self.labels = self.work.save(every.join(moved, every["label"] == moved["was"], "left").select("id", F.coalesce("now", "label").alias("label")), f"labels-{name}")
 
     def run(self) -> SetJoin:
-        # Hubs save comparisons in large buckets alone; small ones give all their pairs at once.
-        n = F.col("count")
-        load = self.buckets.groupBy("bucket").count().agg(F.sum(n).alias("rows"), F.sum(n * (n - 1) / 2).alias("pairs")).first()
-        for k in range(HUB_ROUNDS if (load["pairs"] or 0) > FEW_PAIRS * (load["rows"] or 0) else 0):
+        for k in range(self._hub_rounds()):
             rows = self.work.save(self._labelled(), f"mixed-{k}")
             if rows.isEmpty():
                 return self
-            pairs = self._bounded(self._chunked(rows, k), "hub").groupBy(F.col("a").alias("hub"), F.col("b").alias("who")).count()
+            pairs = self._bounded(self._chunked(rows, str(k), k), "hub").groupBy(F.col("a").alias("hub"), F.col("b").alias("who")).count()
             pairs = pairs.join(self.tested, ["hub", "who"], "left_anti")
             # A document is held against the one hub with which it shares most buckets.
             pairs = pairs.groupBy("who").agg(F.max(F.struct("count", (-F.col("hub")).alias("hub"))).alias("best")).select((-F.col("best.hub")).alias("hub"), "who")
             pairs = self.work.save(pairs, f"pairs-{k}")
+            self.work.drop(f"mixed-{k}")
             if pairs.isEmpty():
                 break
             self._grow(self._check(pairs, f"links-{k}"), str(k))
@@ -519,7 +543,7 @@ class SetJoin:
             self.tested = self.tested.unionByName(pairs).unionByName(pairs.select(F.col("who").alias("hub"), F.col("hub").alias("who")))
         rows = self.work.save(self._labelled(), "mixed")
         if not rows.isEmpty():
-            pairs = self._bounded(self._chunked(rows), "all").select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("who")).distinct()
+            pairs = self._bounded(self._chunked(rows, "all"), "all").select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("who")).distinct()
             pairs = self.work.save(pairs.join(self.tested, ["hub", "who"], "left_anti"), "pairs")
             self._grow(self._check(pairs, "links"), "last")
         return self
@@ -539,7 +563,7 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """
     both = work.save(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"both-{name}")
     labels = work.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"cc-{name}-0")
-    for k in range(1, 60):
+    for k in count(1):
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["id"] == near["a"]).select("id", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("id").alias("via"), F.col("label").alias("far"))
@@ -547,8 +571,7 @@ def components(work: Workspace, edges: DataFrame, name: str) -> DataFrame:
         step = work.save(step, f"cc-{name}-{k}")
         labels = step.select("id", "label")
         if step.where("changed").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
