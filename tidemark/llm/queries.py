@@ -127,4 +127,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies(render_vectors(table(spark, sf_dir, "embeddings"))).withColumnRenamed("image_id", "vec_id")
+    """The test tables have no images: vectors are rendered, and edited copies of every 20th besides."""
+    out = copies(render_vectors(table(spark, sf_dir, "embeddings")))
+    half = lambda c: F.shiftright(c, 1)
+    return out.select(half("image_id").alias("vec_id"), (F.col("image_id") % 2 != 0).alias("edited"), "n_keypoints", half("component_id").alias("component_id"))
