@@ -1,26 +1,29 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
 A document longer than the capacity is cut into full pieces, its first piece taking the
-rest. Pieces are then placed in bulk-synchronous rounds. Lengths are whole numbers up to
-the capacity, so range-sorted documents and gaps are held as runs: (length, how many)
-and (gap, how many sequences). A round takes the longest lengths left; each run of
-documents sweeps the sorted gaps from the first that is large enough (its successor),
-a run's documents are matched to a gap's sequences by rank, so no two want one place,
-gaps are updated, and the next round sees the new gaps. Runs that find no gap open
-sequences. There are at most ``capacity`` lengths and gaps, so the rounds run on counts
-whose size the capacity bounds, whatever the number of documents; the plan they leave
-(length, ranks lo..hi -> sequences, offset) is joined with the pieces by length and rank.
-Ranks come from counts by length and block, so no length is gathered in one task.
+rest. Pieces are then placed in bulk-synchronous rounds, the longest first: a round takes
+the lengths of which equally many fit into a sequence, down to short ones by halves.
+
+A round cuts the open sequences' gaps into slots that hold any piece of the round, and
+sorts slots and pieces together by size, downwards. One sweep over that order gives every
+piece its successor, the smallest slot that is large enough and not taken by a longer
+piece: counting slots up and pieces down, the two meet at one depth, as brackets do. The
+sweep is distributed: counts by size, and running sums of blocks of each size, give every
+row its depth; rows are then dealt by depth, of which one holds two rows a size at most.
+Many pieces that want the same slots are told apart by their ranks. Pieces without a slot
+open sequences, as many in each as fit, also by rank. Gaps are updated, and the next round
+begins. What the driver sees of a round are its counts by size, 2 x capacity numbers.
 
 Nulls and odd input: a null text is empty, and an empty document is the end token alone.
-Rows that share a doc_id are packed each on their own.
+Rows that share a doc_id are packed each on their own; equal rows take each other's place
+freely. No text, or an empty table, gives no row.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.runtime import Workspace, prepare
 
 CAPACITY, END_ID = 1024, 2
-CACHE = 400_000
+CACHE = 250_000
+BLOCK_ROWS = 4096  # rows of one size that are ranked together
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _BESIDE = ["  ", *(" " + c for c in _BLANKS), *(c + " " for c in _BLANKS)]
@@ -52,11 +56,14 @@ class Encoder(dict):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary, added = file["model"]["vocab"], {x["content"]: x["id"] for x in file.get("added_tokens") or []}
+        self._added = {k: np.array([i], "<u4").tobytes() for k, i in added.items()}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if all(c in byte for c in token)}
-        self._encode = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if k != b"<|endoftext|>"}, special_tokens={}).encode_ordinary
+        self._encode = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in added}, special_tokens={}).encode_ordinary
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -74,6 +81,12 @@ class Encoder(dict):
         return found
 
     def ids(self, text: str) -> bytes:
+        """A text's ids; the file's added tokens are one id each, and cut the text."""
+        if self._cut is not None and any(x in text for x in self._added):
+            return b"".join(self._added[x] if x in self._added else self._parts(x) for x in self._cut.split(text) if x)
+        return self._parts(text)
+
+    def _parts(self, text: str) -> bytes:
         if any(x in text for x in _BESIDE) or not text.isascii() and any(x in text for x in _WIDE) or text[:1] == " " or text[-1:] == " ":
             return self._whole(text)
         if len(self) > CACHE:
@@ -111,90 +124,84 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-class Gaps:
-    """Gaps as runs of sequences, in the order of their sizes."""
-
-    def __init__(self):
-        self.sizes: list[int] = []
-        self.runs: dict[int, list[tuple[int, int]]] = {}  # gap -> (first sequence, how many)
-
-    def add(self, gap: int, first: int, n: int) -> None:
-        if gap <= 0 or n <= 0:
-            return
-        if gap not in self.runs:
-            insort(self.sizes, gap)
-            self.runs[gap] = []
-        self.runs[gap].append((first, n))
-
-    def take(self, size: int, limit: int) -> tuple[int, int, int] | None:
-        """A run of at most ``limit`` sequences of the smallest gap that holds ``size``."""
-        k = bisect_left(self.sizes, size)
-        if k == len(self.sizes):
-            return None
-        gap = self.sizes[k]
-        first, n = self.runs[gap].pop()
-        if n > limit:
-            self.runs[gap].append((first + limit, n - limit))
-            n = limit
-        if not self.runs[gap]:
-            del self.runs[gap]
-            self.sizes.pop(k)
-        return gap, first, n
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, rank from, rank below, sequence of the first, offset) that place all documents."""
-    gaps, out, sequences = Gaps(), [], 0
-    for length in sorted(counts, reverse=True):
-        rank, n = 0, counts[length]
-        while rank < n:
-            if (got := gaps.take(length, n - rank)) is None:
-                fit = max(1, capacity // length)  # a new sequence takes as many as it holds
-                if fit > 1 and n - rank >= fit:
-                    m = (n - rank) // fit
-                    for k in range(fit):
-                        out.append((length, rank + k * m, rank + (k + 1) * m, sequences, k * length))
-                    gaps.add(capacity - fit * length, sequences, m)
-                    rank += fit * m
-                else:
-                    m = n - rank if fit == 1 else 1
-                    out.append((length, rank, rank + m, sequences, 0))
-                    gaps.add(capacity - length, sequences, m)
-                    rank += m
-                sequences += m
-            else:
-                gap, first, m = got
-                out.append((length, rank, rank + m, first, capacity - gap))
-                gaps.add(gap - length, first, m)
-                rank += m
+def rounds(capacity: int) -> list[int]:
+    """The longest length of each round, downwards: capacity / 1, / 2, ... / 6, then halves."""
+    out = sorted({capacity // k for k in range(1, 7)} - {0}, reverse=True)
+    while out[-1] > 1:
+        out.append(max(1, out[-1] // 2))
     return out
 
 
+def slots(gaps: DataFrame, low: int, high: int) -> DataFrame:
+    """Parts (seq, slot, size) of gaps that each hold any piece of low + 1 to high, or one of their own size."""
+    n, rest = F.floor(F.col("gap") / high), F.col("gap") % high
+    own = F.when(rest > low, rest).otherwise(0)
+    wide = F.when(rest > low, high).otherwise(high + rest)  # what is too small for a piece goes to one of the others
+    sizes = F.filter(F.concat(F.array_repeat(F.lit(high), (n - 1).cast("int")), F.array(F.when(n > 0, wide).otherwise(0), own)), lambda x: x > 0)
+    return gaps.where(F.col("gap") > low).select("seq", F.posexplode(sizes).alias("slot", "size")).withColumn("size", F.col("size").cast("long"))
+
+
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces, whose ``length`` is 1 to ``capacity``."""
+    """Add ``sequence_id`` and ``offset`` to pieces (doc_id, piece, start, length, ids_crc32), of 1 to ``capacity`` tokens."""
     spark = found.sparkSession
     work = Workspace(spark, "packing")
+    keys = ["doc_id", "piece", "start", "ids_crc32"]
     found = work.save(found, "pieces")
-    block = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(1 << 20))
-    n = found.count()
-    blocks = max(1, min(1 << 20, n // 4096))  # about 4096 rows of each length and block at most
-    found = found.withColumn("__block", F.pmod(block, F.lit(blocks)).cast("int"))
-    by_block = found.groupBy("length", "__block").count()
-    before = Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    by_block = work.save(by_block.withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))), "blocks")
-    counts = {r["length"]: r["n"] for r in by_block.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    runs = plan(counts, capacity)
-    order = Window.partitionBy("length", "__block").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = found.withColumn("__in", F.row_number().over(order) - 1)
-    ranked = ranked.join(by_block.select("length", "__block", "__before"), ["length", "__block"]).withColumn("__rank", F.col("__in") + F.col("__before"))
-    # The runs of one length are few (there are at most `capacity` gaps) and go along as an
-    # array by length: `capacity` rows at most, so they may be broadcast.
-    schema = "length long, lo long, hi long, sequence long, offset long"
-    placed = spark.createDataFrame(runs, schema).groupBy("length").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "sequence", "offset"))).alias("__runs"))
-    joined = ranked.join(F.broadcast(placed), "length")
-    halves = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.size("__runs"))).cast("int")))
-    steps = F.reverse(F.transform(halves, lambda k: F.pow(F.lit(2), k).cast("int")))
-    at = F.aggregate(steps, F.lit(1), lambda i, s: F.when((i + s <= F.size("__runs")) & (F.get(F.col("__runs"), i + s - 1)["lo"] <= F.col("__rank")), i + s).otherwise(i))
-    joined = joined.withColumn("__run", F.element_at("__runs", at))
-    joined = joined.withColumns({"sequence_id": F.col("__run.sequence") + F.col("__rank") - F.col("__run.lo"), "offset": F.col("__run.offset")})
-    return joined.drop("__block", "__in", "__before", "__rank", "__runs", "__run")
+    lengths = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # capacity rows at most
+    gaps, placed, opened, tops = None, None, 0, rounds(capacity)
+    for k, high in enumerate(tops):
+        low = tops[k + 1] if k + 1 < len(tops) else 0
+        if not any(low < n <= high for n in lengths):
+            continue
+        here = found.where((F.col("length") > low) & (F.col("length") <= high))
+        blank = [F.lit(None).cast(dict(found.dtypes)[c]).alias(c) for c in found.columns]
+        rows = here.select("*", F.col("length").alias("size"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("int").alias("slot"))
+        if gaps is not None:
+            rows = slots(gaps, low, high).select(*blank, "size", F.lit(0).alias("kind"), "seq", "slot").unionByName(rows)
+        counts = {(r["size"], r["kind"]): r["count"] for r in rows.groupBy("size", "kind").count().collect()}
+        base, depth, deepest = [], 0, 0
+        for size, kind in sorted(counts, key=lambda x: (-x[0], x[1])):
+            n = counts[size, kind]
+            base.append((size, kind, depth, -(-n // BLOCK_ROWS)))
+            depth += -n if kind else n
+            deepest = min(deepest, depth)
+        ranked = _ranked(rows, spark.createDataFrame(base, "size long, kind int, base long, blocks long"), keys, max(x[3] for x in base) > 1)
+        fit = capacity // high
+        if any(kind == 0 for _, kind in counts):
+            sweep = Window.partitionBy("depth").orderBy(F.desc("size"), "kind")
+            ranked = ranked.withColumn("by", F.lag("seq").over(sweep)).where("kind = 1")
+        else:
+            ranked = ranked.withColumn("by", F.lit(None).cast("long"))
+        fresh = opened + F.floor(-F.col("depth") / fit)
+        ranked = ranked.withColumns({"sequence_id": F.coalesce("by", fresh), "first": F.col("by").isNull() & (F.pmod(-F.col("depth"), F.lit(fit)) == 0)})
+        one = work.save(ranked.select(*found.columns, "sequence_id", "first", F.lit(k).alias("round")), f"placed-{k}")
+        opened += -(-(-deepest) // fit)
+        placed = one if placed is None else placed.unionByName(one)
+        left = [n for n in lengths if n <= low]
+        if left:
+            change = one.select(F.col("sequence_id").alias("seq"), (F.when(F.col("first"), capacity).otherwise(0) - F.col("length")).alias("gap"))
+            change = change if gaps is None else change.unionByName(gaps)
+            gaps = work.save(change.groupBy("seq").agg(F.sum("gap").alias("gap")).where(F.col("gap") >= min(left)), f"gaps-{k}")
+    if placed is None:
+        return found.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+    inside = Window.partitionBy("sequence_id").orderBy("round", F.desc("length"), *keys).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
+    return out.select(*found.columns, "sequence_id", "offset")
+
+
+def _ranked(rows: DataFrame, base: DataFrame, keys: list[str], large: bool) -> DataFrame:
+    """Rows with their depth in the order of size, slots before pieces, and rank.
+
+    Rows of one size are ranked in blocks by hash, so that no size is gathered in one
+    task; the blocks' running counts are joined where a size has more than one.
+    """
+    rows = rows.join(F.broadcast(base), ["size", "kind"])  # 2 x capacity rows at most
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("seq", "slot", *keys), F.col("blocks")))
+    order = Window.partitionBy("size", "kind", "block").orderBy("seq", "slot", *keys)
+    ranked = rows.withColumn("rank", F.row_number().over(order))
+    if large:
+        earlier = Window.partitionBy("size", "kind").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = rows.groupBy("size", "kind", "block").count()
+        blocks = blocks.select("size", "kind", "block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("earlier"))
+        ranked = ranked.join(blocks, ["size", "kind", "block"]).withColumn("rank", F.col("rank") + F.col("earlier"))
+    return ranked.withColumn("depth", F.when(F.col("kind") == 0, F.col("base") + F.col("rank")).otherwise(F.col("base") - F.col("rank") + 1))
