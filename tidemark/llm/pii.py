@@ -4,9 +4,11 @@ DataFrame functions alone. A pattern's matches and the gaps between them give th
 positions of all matches in one pass over the text each; positions are running sums of
 lengths, in code points, end exclusive. Checks then drop what isn't valid: parts of an
 address up to 255, Luhn for cards, the number of digits for phones, mod 97 for IBANs.
-A span's score starts at its kind's, and words in the 40 code points between the last
-match of the kind and the span raise or lower it. The base kinds email, ip, card and
-phone stay whatever their score; the further kinds iban and ssn need 0.5.
+A span's score starts at its kind's, and words in the 40 code points before it and the 40
+after it raise or lower it. The base kinds email, ip, card and phone stay whatever their
+score; the further kinds need 0.5: iban, ssn, ``key`` (access keys and private keys of
+known forms) and ``secret``, a value that a telling name is given. A secret's check, for
+want of a sum, is that its characters are of two sorts and varied enough.
 
 The patterns are those of the kinds, written so that the engine never tries a start again
 inside a run of characters that has failed already: long texts take linear time.
@@ -28,10 +30,18 @@ PATTERNS = {
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
+    "key": (
+        r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,})(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+        r"AKIA|ASIA|gh[opsur]_|xox[abprs]-|sk-|eyJ|PRIVATE KEY",
+    ),
+    "secret": (
+        r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_.~-]{8,}={0,2}",
+        r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[\"']?[ \t]{0,3}[=:]",
+    ),
 }
 BASE = ("email", "ip", "card", "phone")
 #: The score of a valid span, what a context word adds, and those words.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "key": 0.9, "secret": 0.7}
 WORDS = {
     "email": (0.1, "mail|contact|write"),
     "ip": (0.2, "address|host|server|client"),
@@ -39,6 +49,8 @@ WORDS = {
     "phone": (0.2, "phone|call|mobile|fax|telefon|tel"),
     "iban": (0.1, "iban|account|bank|konto|compte|cuenta"),
     "ssn": (0.4, "ssn|social security"),
+    "key": (0.1, "key|aws|secret|token|credential"),
+    "secret": (0.2, "password|secret|login|auth|credential|bearer"),
 }
 LESS = (-0.3, "version|isbn|serial|example")
 CONTEXT, LEAST = 40, 0.5
@@ -86,11 +98,15 @@ def valid(kind: str, m: Column) -> Column:
         return F.length(digits).between(9, 15)
     if kind == "iban":
         return F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & mod97(F.replace(m, F.lit(" "), F.lit("")))
+    if kind == "secret":
+        sorts = sum(m.rlike(c).cast("int") for c in ("[0-9]", "[a-z]", "[A-Z]", "[+/_.~-]"))
+        return (sorts >= 2) & (F.size(F.array_distinct(F.split(m, ""))) >= 6)
     return F.lit(True)
 
 
-def score(kind: str, before: Column) -> Column:
-    near = F.lower(F.right(before, F.lit(CONTEXT)))
+def score(kind: str, near: Column) -> Column:
+    """From the text on both sides of a span."""
+    near = F.lower(near)
     more, words = WORDS[kind]
     less, bad = LESS
     total = F.lit(SCORES[kind]) + F.when(near.rlike(words), more).otherwise(0.0) + F.when(near.rlike(bad), less).otherwise(0.0)
@@ -101,9 +117,20 @@ def _span(kind: str, rank: int):
     """From a match and its number, the span, its score and whether it is valid."""
     gaps, sums = F.col(f"__g_{kind}"), F.col(f"__r_{kind}")
 
+    found = F.col(f"__m_{kind}")
+
+    def around(i: Column) -> Column:
+        """CONTEXT code points on each side; a gap that is shorter goes on with the next match and gap."""
+        text = lambda values, k: F.coalesce(F.get(values, k), F.lit(""))
+        near, far = F.lit(CONTEXT), lambda values, k: F.right(text(values, k), F.lit(CONTEXT))
+        before = F.right(F.concat(far(gaps, i - 1), far(found, i - 1), far(gaps, i)), near)
+        first = lambda values, k: F.left(text(values, k), F.lit(CONTEXT))
+        after = F.left(F.concat(first(gaps, i + 1), first(found, i + 1), first(gaps, i + 2)), near)
+        return F.concat(before, F.lit("\n"), after)
+
     def span(m: Column, i: Column) -> Column:
         start = F.get(sums, i) + F.char_length(F.get(gaps, i))
-        own = {"start": start, "rank": F.lit(rank), "end": start + F.char_length(m), "kind": F.lit(kind), "score": score(kind, F.get(gaps, i)), "found": m, "valid": valid(kind, m)}
+        own = {"start": start, "rank": F.lit(rank), "end": start + F.char_length(m), "kind": F.lit(kind), "score": score(kind, around(i)), "found": m, "valid": valid(kind, m)}
         return F.struct(*[c.alias(name) for name, c in own.items()])
 
     return span

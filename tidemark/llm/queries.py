@@ -85,7 +85,7 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     counts = [_count("spans", k).alias(f"n_{k}") for k in BASE]
     scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
-    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores.alias("scores"))
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores.alias("scores"), F.size("spans").cast("long").alias("n_spans"), _count("spans", "key").alias("n_key"), _count("spans", "secret").alias("n_secret"))
 
 
 def _fold(n: int):
