@@ -358,7 +358,7 @@ def packed_well(got, capacity):
     return got.sequence_id.nunique()
 
 
-@pytest.mark.parametrize("block_rows", [4096, 3])
+@pytest.mark.parametrize("block_rows", [512, 3])
 def test_packing_rounds(spark, monkeypatch, block_rows):
     """Against best-fit decreasing, one piece at a time; blocks of rows don't change the count."""
     from tidemark.llm import packing
@@ -406,3 +406,41 @@ def test_secrets_and_context(spark):
     near = spark.createDataFrame([(1, "192.0.2.1, version 10.0.0.1 of it"), (2, "10.0.0.1 is the version"), (3, "10.0.0.1 " + "-" * 50 + " version")], SCHEMA)
     score = {r["doc_id"]: [s["score"] for s in r["spans"]] for r in find_personal_data(near).collect()}
     assert score == {1: [0.3, 0.3], 2: [0.3], 3: [0.6]}
+
+
+def test_fingerprints_recall_leaks(spark):
+    """Items with words changed here and there, down to a similarity of 0.8: none lies beyond the radius."""
+    from tidemark.llm.decontamination import RADIUS, leaks
+
+    rng, items, rows, want = random.Random(9), [], [], {}
+    for i in range(60):
+        item = [f"w{rng.randrange(500)}" for _ in range(rng.choice([30, 31, 45, 60]))]
+        items.append((i, " ".join(item)))
+        for k in range(6):
+            other = list(item)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                other[rng.choice([0, 1, len(item) // 2, len(item) - 2, len(item) - 1])] = "changed"
+            text = [f"v{rng.randrange(500)}" for _ in range(rng.randrange(30))]
+            rows.append((100 * i + k, " ".join(text + other + text[:5])))
+            bag = lambda ws: Counter(tuple(ws[j : j + 5]) for j in range(len(ws) - 4))
+            full, n = text + other + text[:5], len(item)
+            score = max(sum((bag(full[p : p + n]) & bag(item)).values()) / sum((bag(full[p : p + n]) | bag(item)).values()) for p in range(len(full) - n + 1))
+            if score >= 0.8:
+                want[100 * i + k, i] = score
+    out = leaks(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in out}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    assert len(want) > 200 and min(want.values()) < 0.82 and 5 < max(r["hamming"] for r in out) <= RADIUS
+
+
+def test_leaks_in_odd_tables(spark):
+    """Clashing columns, repeated rows, a long text, and rows of one doc_id that differ."""
+    from tidemark.llm.decontamination import decontaminate, leaks
+
+    item = " ".join(f"i{k}" for k in range(20))
+    rows = [(1, item), (1, "other words " * 10), (2, "a b " * 400_000 + item), (3, item), (3, item), (4, "x")]
+    docs = spark.createDataFrame([(d, t, 1, "n", 5) for d, t in rows], "doc_id long, text string, n int, words string, tag int")
+    bench = spark.createDataFrame([(7, item, 1), (8, item, 1)], "item_id long, text string, n int")
+    assert {(r["doc_id"], r["item_id"], r["window_start"]) for r in leaks(docs, bench).collect()} == {(d, i, 800_000 if d == 2 else 0) for d in (1, 2, 3) for i in (7, 8)}
+    clean = decontaminate(docs, bench)
+    assert clean.columns == docs.columns and [r["doc_id"] for r in clean.collect()] == [4]

@@ -6,15 +6,19 @@ of all of them). An item of n words is held against windows of n words. The simi
 of window and item is weighted by how often each shingle occurs: the sum of the smaller
 counts over the sum of the larger, and 0.8 or more is a leak.
 
-A similarity of t leaves at least t / (1 + t) of the shingles of item and window, added
-up, in both; a window has as many as the item, or all of a shorter document's. So only
-documents with that many shingles of an item are looked into, and only windows that
-begin at the first of a run of such shingles, or end with the last of one: between those
-places the number of shared shingles doesn't rise. Windows and items get 64-bit SimHash
-fingerprints. RADIUS + 1 blocks of bits are an index: two fingerprints within RADIUS
-have a block in common, so all pairs of equal n within it meet; the rest are dropped.
-RADIUS lies four standard deviations beyond the expected distance at similarity 0.8.
-What is left is verified exactly.
+Fingerprinting. Windows and items get 64-bit SimHash fingerprints, and RADIUS + 1 blocks
+of their bits are an index: two fingerprints within RADIUS have a block in common, so all
+pairs of equal n within it meet. RADIUS lies four standard deviations beyond the expected
+distance at similarity 0.8. Pairs of window and item come from this index alone, and are
+then verified exactly.
+
+Windows. Not every window of every size needs a fingerprint. Call a place of a document
+an anchor of size n if the shingle there occurs in any item of n words. A similarity of t
+leaves at least t / (1 + t) of the shingles of item and window, added up, in both, so a
+window that is like any item of its size holds as many anchors. A best one begins with an
+anchor or ends with one: between those places the number of shared shingles doesn't rise.
+Such windows of every size that an item has are fingerprinted, and no others. Which items
+a window may hold is not looked at here.
 
 Benchmark tables are broadcast while their shingles are BROADCAST_ROWS at most, else
 joined by shuffle.
@@ -48,6 +52,11 @@ def grams(words: Column, width: int) -> Column:
     return F.slice(each, F.lit(1), F.greatest(n, F.lit(0)))
 
 
+def placed_grams(words: Column, width: int) -> Column:
+    """Structs (width, at, h) of all runs of ``width`` words."""
+    return F.transform(grams(words, width), lambda h, i: F.struct(F.lit(width).alias("width"), i.alias("at"), h.alias("h")))
+
+
 def simhash(values: Column) -> Column:
     """64 bits, each the majority of the values' bits."""
 
@@ -88,45 +97,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for width in range(1, WIDTH + 1):
         own = F.when(F.col("width") == width, grams(F.col("words"), width)).otherwise(own)
     items = work.save(items.withColumn("grams", own).withColumn("print", simhash(F.col("grams"))).select("item_id", "n", "width", "grams", "print"), "items")
-    wanted = items.select("item_id", "n", "width", F.size("grams").alias("n_grams"), F.explode(F.array_distinct("grams")).alias("h"))
-    wanted = work.save(wanted, "wanted")
+    wanted = work.save(items.select("n", "width", F.explode("grams").alias("h")).distinct(), "wanted")
     widths = [r["width"] for r in wanted.select("width").distinct().collect()]
     small = wanted.count() <= BROADCAST_ROWS
     near = F.broadcast if small else (lambda df: df)
 
-    hashed = docs.withColumn("words", word_hashes(F.col("text")))
-    empty = spark.createDataFrame([], "doc_id long, held int, at int, item_id long, n int, n_grams int")
-    hits = empty
-    for width in widths:
-        each = hashed.select("doc_id", (F.size("words") - (width - 1)).alias("held"), F.posexplode(grams(F.col("words"), width)).alias("at", "h"))
-        mine = wanted.where(F.col("width") == width).select("item_id", "n", "n_grams", "h")
-        hits = hits.unionByName(each.join(near(mine), "h").select("doc_id", "held", "at", "item_id", "n", "n_grams"))
-    found = hits.groupBy("doc_id", "item_id", "n", "n_grams").agg(F.count(F.lit(1)).alias("hits"), F.min("held").alias("held"), F.array_sort(F.collect_set("at")).alias("at"))
-    found = work.save(found.where(F.col("hits") >= _least_shared(F.col("n_grams"), F.col("held"))).drop("held"), "found")
-
-    texts = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("words", word_hashes(F.col("text")))
-    texts = work.save(texts.select("doc_id", "words"), "texts")
-    width = F.least("n", F.lit(WIDTH))
-    first = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
-    last = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != x + 1))
-    top = F.greatest(F.lit(0), F.size("words") - F.col("n"))
-    held = lambda x: F.least(F.greatest(x, F.lit(0)), top)
-    ends = F.transform(last, lambda x: held(x + width - F.col("n")))
-    starts = F.array_distinct(F.concat(F.transform(first, held), ends))
-    windows = found.join(texts, "doc_id").select("doc_id", "n", "words", F.explode(starts).alias("start")).dropDuplicates(["doc_id", "n", "start", "words"])
-    cut = F.slice("words", F.col("start") + 1, F.col("n"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("tag"), word_hashes(F.col("text")).alias("words")).withColumn("held", F.size("words"))
+    shown = [placed_grams(F.col("words"), w) for w in widths]
+    # ``held`` is there before the explosion, else each of its rows would carry all words.
+    each = hashed.select("doc_id", "tag", "held", F.inline(F.flatten(F.array(*shown)))) if widths else None
+    if each is None:
+        return spark.createDataFrame([], "doc_id long, item_id long, window_start int, n_words int, hamming int, similarity double")
+    hits = each.join(near(wanted), ["width", "h"])
+    found = hits.groupBy("doc_id", "tag", "n", "width").agg(F.max("held").alias("held"), F.array_sort(F.collect_set("at")).alias("at"))
+    full = F.col("n") - F.col("width") + 1  # shingles of an item of n words
+    least = _least_shared(full, F.col("held") - F.col("width") + 1).cast("int")
+    found = found.withColumns({"full": full, "least": least}).where(F.size("at") >= F.col("least"))
+    begin = F.filter("at", lambda x, i: F.get("at", i + F.col("least") - 1) < x + F.col("full"))
+    end = F.filter("at", lambda x, i: F.get("at", i - F.col("least") + 1) > x - F.col("full"))
+    top = F.greatest(F.lit(0), F.col("held") - F.col("n"))
+    clamp = lambda x: F.least(F.greatest(x, F.lit(0)), top)
+    starts = F.array_distinct(F.concat(F.transform(begin, clamp), F.transform(end, lambda x: clamp(x - F.col("full") + 1))))
+    found = work.save(found.select("doc_id", "tag", "n", "width", starts.alias("starts")).where(F.size("starts") > 0), "found")
+
+    texts = hashed.join(found.select("doc_id", "tag").distinct(), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
+    texts = work.save(texts.select("doc_id", "tag", "words"), "texts")
+    cut = F.transform("starts", lambda x: F.struct(x.alias("start"), F.slice("words", x + 1, F.col("n")).alias("cut")))
+    windows = found.join(texts, ["doc_id", "tag"]).select("doc_id", "tag", "n", "width", F.inline(cut))
     shown = F.lit(None).cast("array<long>")
-    windows = windows.withColumn("cut", cut)
     for w in widths:
-        shown = F.when(width == w, grams(F.col("cut"), w)).otherwise(shown)
-    windows = windows.withColumn("grams", shown).select("doc_id", "n", "start", "grams", simhash(F.col("grams")).alias("print"))
+        shown = F.when(F.col("width") == w, grams(F.col("cut"), w)).otherwise(shown)
+    windows = windows.withColumn("grams", shown).select("doc_id", "tag", "n", "start", "grams", simhash(F.col("grams")).alias("print"))
     windows = work.save(windows, "windows")
 
     by_block = items.select("item_id", "n", F.col("print").alias("item_print"), F.inline(bit_blocks(F.col("print"), RADIUS + 1)))
-    met = windows.select("doc_id", "n", "start", "print", F.inline(bit_blocks(F.col("print"), RADIUS + 1))).join(near(by_block), ["n", "no", "bits"])
+    met = windows.select("doc_id", "tag", "n", "start", "print", F.inline(bit_blocks(F.col("print"), RADIUS + 1))).join(near(by_block), ["n", "no", "bits"])
     close = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    met = met.withColumn("hamming", close).where(F.col("hamming") <= RADIUS).select("doc_id", "n", "start", "print", "item_id", "hamming").distinct()
-    both = windows.join(met, ["doc_id", "n", "start", "print"]).join(near(items.select("item_id", F.col("grams").alias("item_grams"))), "item_id")
+    met = met.withColumn("hamming", close).where(F.col("hamming") <= RADIUS).select("doc_id", "tag", "n", "start", "item_id", "hamming").distinct()
+    both = windows.join(met, ["doc_id", "tag", "n", "start"]).join(near(items.select("item_id", F.col("grams").alias("item_grams"))), "item_id")
     both = both.withColumn("both", common(F.col("grams"), F.col("item_grams"))).withColumn("all", F.size("grams") + F.size("item_grams") - F.col("both"))
     both = both.where(100 * F.col("both") >= PERCENT * F.col("all"))
     best = F.max(F.struct((F.col("both") / F.col("all")).alias("similarity"), (-F.col("start")).alias("start"), (-F.col("hamming")).alias("hamming")))
