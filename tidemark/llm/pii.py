@@ -19,12 +19,16 @@ overlap. Input columns stay; ``spans`` is set, also where the input has such a c
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Kind -> (pattern, a quick test that a text with a match must pass).
+#: Kind -> (pattern, a quick test that a text with a match must pass). Tests
+#: are a regular expression, or strings of which the text has one at least.
 PATTERNS = {
-    "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
+    "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", ("@",)),
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]"),
     "card": (r"[0-9](?:[ -]?[0-9])++", r"[0-9](?:[ -]?[0-9]){11}"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]"),
@@ -32,11 +36,11 @@ PATTERNS = {
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
     "key": (
         r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,})(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
-        r"AKIA|ASIA|gh[opsur]_|xox[abprs]-|sk-|eyJ|PRIVATE KEY",
+        ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "xox", "sk-", "eyJ", "PRIVATE KEY"),
     ),
     "secret": (
         r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_.~-]{8,}={0,2}",
-        r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[\"']?[ \t]{0,3}[=:]",
+        r"[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{8}",
     ),
 }
 BASE = ("email", "ip", "card", "phone")
@@ -142,7 +146,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     frame = docs.withColumn("__text", F.coalesce("text", F.lit("")))
     parts = {}
     for kind, (pattern, quick) in PATTERNS.items():
-        test = F.contains("__text", F.lit(quick)) if kind == "email" else F.col("__text").rlike(quick)
+        test = F.col("__text").rlike(quick) if isinstance(quick, str) else reduce(or_, [F.contains("__text", F.lit(x)) for x in quick])
         parts[f"__m_{kind}"] = F.when(test, F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))).otherwise(none)
     frame = frame.withColumns(parts)
     frame = frame.withColumns({f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.split("__text", p, -1)).otherwise(none) for k, (p, _) in PATTERNS.items()})
