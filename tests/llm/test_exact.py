@@ -380,13 +380,13 @@ def test_packing_rounds(spark, monkeypatch, block_rows):
         assert packed_well(got, 100) <= 1.02 * len(gaps) + 2
 
 
-def test_successors_are_the_best_fit(spark):
-    """One sweep matches each piece with the smallest slot left that is large enough."""
-    from tidemark.llm import packing
+def test_slots_of_gaps():
+    from tidemark.llm.packing import rounds, slots
 
-    gaps = spark.createDataFrame([(1, 40), (2, 9), (3, 25), (4, 61)], "seq long, gap long")
-    assert sorted(map(tuple, packing.slots(gaps, 10, 20).collect())) == [(1, 0, 20), (1, 1, 20), (3, 0, 25), (4, 0, 20), (4, 1, 20), (4, 2, 21)]
-    assert sorted(map(tuple, packing.slots(gaps, 20, 30).collect())) == [(1, 0, 40), (3, 0, 25), (4, 0, 30), (4, 1, 31)]
+    assert slots({40: 1, 9: 1, 25: 1, 61: 1}, 10, 20, 100) == {25: [25], 40: [20, 20], 61: [20, 20, 21]}
+    assert slots({40: 1, 9: 1, 25: 1, 61: 1}, 20, 30, 100) == {25: [25], 40: [40], 61: [30, 31]}
+    assert slots({35: 2, 900: 5}, 10, 20, 3) == {35: [15, 20], 900: [20]}  # no more than there are pieces
+    assert rounds(1024)[:7] == [1024, 512, 341, 256, 204, 170, 85] and rounds(1024)[-1] == 1 and rounds(1) == [1]
 
 
 def test_secrets_and_context(spark):

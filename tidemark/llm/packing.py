@@ -4,7 +4,8 @@ A document longer than the capacity is cut into full pieces, its first piece tak
 rest. Pieces are then placed in bulk-synchronous rounds, the longest first: a round takes
 the lengths of which equally many fit into a sequence, down to short ones by halves.
 
-A round cuts the open sequences' gaps into slots that hold any piece of the round, and
+A round cuts the open sequences' gaps, the smallest first, into slots that hold any piece
+of the round, as many as it has pieces, and smaller ones of what is left of a gap. It
 sorts slots and pieces together by size, downwards. One sweep over that order gives every
 piece its successor, the smallest slot that is large enough and not taken by a longer
 piece: counting slots up and pieces down, the two meet at one depth, as brackets do. The
@@ -12,7 +13,7 @@ sweep is distributed: counts by size, and running sums of blocks of each size, g
 row its depth; rows are then dealt by depth, of which one holds two rows a size at most.
 Many pieces that want the same slots are told apart by their ranks. Pieces without a slot
 open sequences, as many in each as fit, also by rank. Gaps are updated, and the next round
-begins. What the driver sees of a round are its counts by size, 2 x capacity numbers.
+begins. What the driver sees are counts by size, capacity of pieces and capacity of gaps.
 
 Nulls and odd input: a null text is empty, and an empty document is the end token alone.
 Rows that share a doc_id are packed each on their own; equal rows take each other's place
@@ -24,6 +25,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from tidemark.llm.runtime import Workspace, prepare
 
 CAPACITY, END_ID = 1024, 2
 CACHE = 400_000
-BLOCK_ROWS = 512  # rows of one size that are ranked together
+BLOCK_ROWS = 256  # rows of one size that are ranked together
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _BESIDE = ["  ", *(" " + c for c in _BLANKS), *(c + " " for c in _BLANKS)]
@@ -132,13 +134,21 @@ def rounds(capacity: int) -> list[int]:
     return out
 
 
-def slots(gaps: DataFrame, low: int, high: int) -> DataFrame:
-    """Parts (seq, slot, size) of gaps that each hold any piece of low + 1 to high, or one of their own size."""
-    n, rest = F.floor(F.col("gap") / high), F.col("gap") % high
-    own = F.when(rest > low, rest).otherwise(0)
-    wide = F.when(rest > low, high).otherwise(high + rest)  # what is too small for a piece goes to one of the others
-    sizes = F.filter(F.concat(F.array_repeat(F.lit(high), (n - 1).cast("int")), F.array(F.when(n > 0, wide).otherwise(0), own)), lambda x: x > 0)
-    return gaps.where(F.col("gap") > low).select("seq", F.posexplode(sizes).alias("slot", "size")).withColumn("size", F.col("size").cast("long"))
+def slots(gaps: dict[int, int], low: int, high: int, pieces: int) -> dict[int, list[int]]:
+    """By gap, the sizes of its slots: each holds any piece of low + 1 to high, or one up to its own size.
+
+    ``gaps`` says how many there are of each; they are cut up from the smallest on until
+    the slots that hold any piece are as many as the pieces.
+    """
+    out: dict[int, list[int]] = {}
+    for gap in sorted(g for g in gaps if g > low):
+        if pieces <= 0:
+            break
+        n, rest = divmod(gap, high)
+        sizes = [rest] + [high] * n if rest > low else [high] * (n - 1) + [high + rest]
+        out[gap] = sizes[: -(-pieces // gaps[gap]) + (rest > low)]
+        pieces -= gaps[gap] * sum(x >= high for x in out[gap])
+    return out
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -156,9 +166,15 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         here = found.where((F.col("length") > low) & (F.col("length") <= high))
         blank = [F.lit(None).cast(dict(found.dtypes)[c]).alias(c) for c in found.columns]
         rows = here.select("*", F.col("length").alias("size"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("int").alias("slot"))
+        counts = Counter({(n, 1): c for n, c in lengths.items() if low < n <= high})
         if gaps is not None:
-            rows = slots(gaps, low, high).select(*blank, "size", F.lit(0).alias("kind"), "seq", "slot").unionByName(rows)
-        counts = {(r["size"], r["kind"]): r["count"] for r in rows.groupBy("size", "kind").count().collect()}
+            held = {r["gap"]: r["count"] for r in gaps.groupBy("gap").count().collect()}  # capacity rows at most
+            cut = slots(held, low, high, sum(counts.values()))
+            for gap, sizes in cut.items():
+                counts.update({(size, 0): n * held[gap] for size, n in Counter(sizes).items()})
+            sizes = spark.createDataFrame(list(cut.items()), "gap long, sizes array<long>")
+            parts = gaps.join(F.broadcast(sizes), "gap").select("seq", F.posexplode("sizes").alias("slot", "size"))
+            rows = parts.select(*blank, "size", F.lit(0).alias("kind"), "seq", "slot").unionByName(rows)
         base, depth, deepest = [], 0, 0
         for size, kind in sorted(counts, key=lambda x: (-x[0], x[1])):
             n = counts[size, kind]
