@@ -36,7 +36,7 @@ from tidemark.llm.runtime import Workspace, prepare
 
 CAPACITY, END_ID = 1024, 2
 CACHE = 400_000
-BLOCK_ROWS = 256  # rows of one size that are ranked together
+BLOCK_ROWS = 128  # rows of one size that are ranked together
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _BESIDE = ["  ", *(" " + c for c in _BLANKS), *(c + " " for c in _BLANKS)]
