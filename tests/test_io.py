@@ -13,12 +13,29 @@ from tidemark.sources import recordings, sinks
 def test_settings(tmp_path):
     p = tmp_path / "c.yaml"
     p.write_text("timeline:\n  lookback_seconds: 30\n")
-    s = model.load_settings(str(p), {"TIDEMARK__ONSET_FLUX__MIN_SCORE": "0.7", "TIDEMARK__AUDIO__MONO": "no"}, {"detection": {"strategy": "combined"}})
-    assert (s.timeline.lookback_seconds, s.onset_flux.min_score, s.audio.mono, s.detection.strategy) == (30, 0.7, False, "combined")
+    s = model.load_settings(str(p), {"TIDEMARK__DETECTION__ONSET_FLUX__MIN_SCORE": "0.7", "TIDEMARK__AUDIO__MONO": "no"}, {"detection": {"strategy": "combined"}})
+    assert (s.timeline.lookback_seconds, s.detection.onset_flux.min_score, s.audio.mono, s.detection.strategy) == (30, 0.7, False, "combined")
     for bad in ({"nothing": {}}, {"timeline": {"nothing": 1}}):
         with pytest.raises(ValueError):
             model.overlay(model.Settings(), bad)
-    assert model.preset(s, "strike_strict").onset_flux.threshold_sigma == 2.0 and s.onset_flux.threshold_sigma == 2.5
+    assert model.preset(s, "strike_strict").detection.onset_flux.threshold_sigma == 2.0 and s.detection.onset_flux.threshold_sigma == 2.5
+
+
+def test_settings_files(tmp_path):
+    p = tmp_path / "all.yaml"
+    p.write_text("input:\n  source_dir: 'd'\ndetection:\n  strategy: combined\n  rms_energy:\n    min_score_dbfs: 1.5\n  combined:\n    window_before_seconds: 3\ntimeline:\n  post_peak_seconds: 7\nreview:\n  crf: 20\n  max_negative_clip_seconds: 60\nmetadata:\n")
+    s = model.load_settings(str(p), {"TIDEMARK__REVIEW__THREADS": "2", "TIDEMARK__VISION__ENABLED": "on", "OTHER": "x"})
+    assert (s.input.source_dir, s.detection.rms_energy.min_score_dbfs, s.detection.combined.window_before_seconds, s.timeline.post_peak_seconds) == ("d", 1.5, 3, 7)
+    assert (s.review.crf, s.review.threads, s.review.max_negative_clip_seconds, s.vision.enabled, s.export.crf) == (20, 2, 60, True, 18)
+    q = tmp_path / "strategies.yaml"
+    q.write_text("strategies:\n  a:\n    detection:\n      strategy: rms_energy\n      rms_energy:\n        threshold_sigma: 4\n  b:\n")
+    found = model.load_presets(s, str(q))
+    assert found["a"].detection.rms_energy.threshold_sigma == 4 and found["b"].detection.strategy == "combined" and s.detection.rms_energy.threshold_sigma == 3
+    for bad in ({"detection": {"rms_energy": {"none": 1}}}, {"detection": 5}, {"timeline": {"post_seconds": 1}}):
+        with pytest.raises(ValueError, match="there is no setting"):
+            model.overlay(model.Settings(), bad)
+    with pytest.raises(ValueError, match="TIDEMARK__NONE"):
+        model.load_settings(None, {"TIDEMARK__NONE": "1"})
 
 
 def test_presets(spark):

@@ -52,7 +52,7 @@ def test_bursts_are_found(spark):
     s = settings(detection={"strategy": "rms_energy"})
     times = [r["t"] for r in pipelines.chunk_peaks(samples, s).orderBy("t").collect()]
     assert len(times) == 3 and all(abs(t - b) < 0.6 for t, b in zip(times, [20, 40, 70]))
-    flux = settings(detection={"strategy": "onset_flux"}, onset_flux={"min_score": 0.3})
+    flux = settings(detection={"strategy": "onset_flux", "onset_flux": {"min_score": 0.3}})
     times = [r["t"] for r in pipelines.chunk_peaks(samples, flux).orderBy("t").collect()]
     assert {b for b in (20, 40, 70) for t in times if abs(t - b) < 1} == {20, 40, 70}
 
@@ -64,7 +64,7 @@ def test_quiet_gives_nothing(spark):
 
 def test_detect_over_two_chunks_and_warmup(spark):
     samples, chunks = recording(spark, [(60, [5, 20]), (60, [10])])
-    s = settings(detection={"strategy": "rms_energy"}, timeline={"lookback_seconds": 5, "post_seconds": 5, "min_gap_seconds": 5, "min_interval_seconds": 1, "warmup_seconds": 10})
+    s = settings(detection={"strategy": "rms_energy"}, timeline={"lookback_seconds": 5, "post_peak_seconds": 5, "min_gap_seconds": 5, "min_interval_seconds": 1, "warmup_seconds": 10})
     starts = [r["start"] for r in pipelines.detect(samples, chunks, s).orderBy("start").collect()]
     assert len(starts) == 2 and abs(starts[0] - 15) < 1 and abs(starts[1] - 65) < 1
 

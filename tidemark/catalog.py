@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import clip_name, offset_seconds, safe_caption
 from tidemark.operators import cache, golden, intervals, peaks, ranges, scoring, signal, verdicts
+from tidemark.package import ship
+from tidemark.plans.pipelines import after_warmup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,6 +38,7 @@ def query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -115,31 +118,31 @@ def dropped_span_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EV} SELECT rec, strategy, event_id, t, value FROM ev WHERE t >= {WARMUP}")
 def warmup_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).where(F.col("t") >= WARMUP).select("rec", "strategy", "event_id", "t", "value")
+    return after_warmup(_events(spark, sf_dir), "t", WARMUP).select("rec", "strategy", "event_id", "t", "value")
 
 
 _HALF, _SIGMA, _FLOOR = 12, 2.5, 10.0
 _ROLLING = f"""{_EV}, num AS (
-  SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY t, event_id) AS i, count(*) OVER (PARTITION BY strategy) AS n FROM ev),
+  SELECT *, row_number() OVER (PARTITION BY rec, strategy ORDER BY t, event_id) AS i, count(*) OVER (PARTITION BY rec, strategy) AS n FROM ev),
 p1 AS (
-  SELECT strategy, i, value, event_id, t, FALSE AS pad FROM num
-  UNION ALL SELECT strategy, 1 - k, value, event_id, t, TRUE FROM num, range(1, {_HALF + 1}) r(k) WHERE i = 1
-  UNION ALL SELECT strategy, n + k, value, event_id, t, TRUE FROM num, range(1, {_HALF + 1}) r(k) WHERE i = n),
-b AS (SELECT *, median(value) OVER (PARTITION BY strategy ORDER BY i ROWS BETWEEN {_HALF} PRECEDING AND {_HALF} FOLLOWING) AS baseline FROM p1),
-r AS (SELECT *, abs(value - baseline) AS res, count(*) OVER (PARTITION BY strategy) AS n FROM b WHERE NOT pad),
+  SELECT rec, strategy, i, value, event_id, t, FALSE AS pad FROM num
+  UNION ALL SELECT rec, strategy, 1 - k, value, event_id, t, TRUE FROM num, range(1, {_HALF + 1}) r(k) WHERE i = 1
+  UNION ALL SELECT rec, strategy, n + k, value, event_id, t, TRUE FROM num, range(1, {_HALF + 1}) r(k) WHERE i = n),
+b AS (SELECT *, median(value) OVER (PARTITION BY rec, strategy ORDER BY i ROWS BETWEEN {_HALF} PRECEDING AND {_HALF} FOLLOWING) AS baseline FROM p1),
+r AS (SELECT *, abs(value - baseline) AS res, count(*) OVER (PARTITION BY rec, strategy) AS n FROM b WHERE NOT pad),
 p2 AS (
-  SELECT strategy, i, res, FALSE AS pad FROM r
-  UNION ALL SELECT strategy, 1 - k, res, TRUE FROM r, range(1, {_HALF + 1}) x(k) WHERE i = 1
-  UNION ALL SELECT strategy, n + k, res, TRUE FROM r, range(1, {_HALF + 1}) x(k) WHERE i = n),
-m AS (SELECT *, median(res) OVER (PARTITION BY strategy ORDER BY i ROWS BETWEEN {_HALF} PRECEDING AND {_HALF} FOLLOWING) AS mad FROM p2),
+  SELECT rec, strategy, i, res, FALSE AS pad FROM r
+  UNION ALL SELECT rec, strategy, 1 - k, res, TRUE FROM r, range(1, {_HALF + 1}) x(k) WHERE i = 1
+  UNION ALL SELECT rec, strategy, n + k, res, TRUE FROM r, range(1, {_HALF + 1}) x(k) WHERE i = n),
+m AS (SELECT *, median(res) OVER (PARTITION BY rec, strategy ORDER BY i ROWS BETWEEN {_HALF} PRECEDING AND {_HALF} FOLLOWING) AS mad FROM p2),
 trace AS (
-  SELECT r.strategy, r.event_id, r.t, r.i, r.value, r.baseline, m.mad, r.baseline + {_SIGMA} * m.mad * {signal.MAD_SCALE} AS threshold
-  FROM r JOIN m ON r.strategy = m.strategy AND r.i = m.i AND NOT m.pad)"""
+  SELECT r.rec, r.strategy, r.event_id, r.t, r.i, r.value, r.baseline, m.mad, r.baseline + {_SIGMA} * m.mad * {signal.MAD_SCALE} AS threshold
+  FROM r JOIN m ON r.rec = m.rec AND r.strategy = m.strategy AND r.i = m.i AND NOT m.pad)"""
 
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _events(spark, sf_dir).select("strategy", "event_id", "t", "value")
-    return signal.rolling_threshold(ev, ["strategy"], ["t", "event_id"], "value", 2 * _HALF + 1, _SIGMA)
+    ev = _events(spark, sf_dir).select("rec", "strategy", "event_id", "t", "value")
+    return signal.rolling_threshold(ev, KEYS, ["t", "event_id"], "value", 2 * _HALF + 1, _SIGMA)
 
 
 @query(f"WITH {_ROLLING} SELECT strategy, event_id, round(baseline, 6) AS baseline, round(mad, 6) AS mad, round(threshold, 6) AS threshold FROM trace")
@@ -149,8 +152,8 @@ def rolling_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLE_SQL["rolling_threshold"])
 def rolling_threshold_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _events(spark, sf_dir).select("strategy", "event_id", "t", "value")
-    out = signal.rolling_threshold_sql(ev, ["strategy"], ["t", "event_id"], "value", 2 * _HALF + 1, _SIGMA)
+    ev = _events(spark, sf_dir).select("rec", "strategy", "event_id", "t", "value")
+    out = signal.rolling_threshold_sql(ev, KEYS, ["t", "event_id"], "value", 2 * _HALF + 1, _SIGMA)
     return out.select("strategy", "event_id", *[F.round(c, 6).alias(c) for c in ("baseline", "mad", "threshold")])
 
 
@@ -162,10 +165,10 @@ apex AS (
   FROM rn WHERE m)"""
 
 
-@query(f"WITH {_ROLLING}{_RUNS.format(mask=f'(round(value - threshold, 6) >= 0 AND value > {_FLOOR})', source='trace', keys='strategy')} SELECT strategy, event_id, t, run_length, round(value - threshold, 6) AS score FROM apex WHERE r = 1")
+@query(f"WITH {_ROLLING}{_RUNS.format(mask=f'(round(value - threshold, 6) >= 0 AND value > {_FLOOR})', source='trace', keys='rec, strategy')} SELECT strategy, event_id, t, run_length, round(value - threshold, 6) AS score FROM apex WHERE r = 1")
 def event_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = (F.round(F.col("value") - F.col("threshold"), 6) >= 0) & (F.col("value") > _FLOOR)
-    out = peaks.run_apexes(_trace(spark, sf_dir), ["strategy"], ["t", "event_id"], mask, "value", "threshold")
+    out = peaks.run_apexes(_trace(spark, sf_dir), KEYS, ["t", "event_id"], mask, "value", "threshold")
     return out.select("strategy", "event_id", "t", "run_length", F.round("score", 6).alias("score"))
 
 
@@ -258,16 +261,6 @@ def interval_chunk_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.slices(_merged(spark, sf_dir), chunks, ["rec"], DAY).select("rec", "strategy", "idx", "day", "local_start", "local_end")
 
 
-@query(f"""WITH {_MERGED}, isl2 AS (SELECT rec, strategy, island, min(s) AS s, max(e) AS e FROM isl GROUP BY 1, 2, 3)
-SELECT i.rec, i.strategy, CAST(m.s AS BIGINT) AS "start", CAST(i.t AS BIGINT) AS peak_t, round(i.value, 4) AS peak_score, round((m.e - m.s) / 1e6, 2) AS duration_seconds
-FROM isl i JOIN isl2 m ON i.rec = m.rec AND i.strategy = m.strategy AND i.island = m.island""")
-def events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = F.array_sort(F.collect_list(F.struct("t", "event_id", F.round("value", 4).alias("score")))).alias("peaks")
-    nested = intervals.merge_intervals(_padded(spark, sf_dir), KEYS, GAP, 0, ["t", "event_id"], [listed])
-    flat = nested.select("rec", "strategy", "start", F.round((F.col("end") - F.col("start")) / 1e6, 2).alias("duration_seconds"), F.explode("peaks").alias("p"))
-    return flat.select("rec", "strategy", "start", F.col("p.t").alias("peak_t"), F.col("p.score").alias("peak_score"), "duration_seconds")
-
-
 @query(f"""WITH {_MERGED} SELECT rec, strategy, printf('clip_%03d.mp4', idx) AS clip_file, (s // 10000) / 100 AS start_seconds, (e // 10000) / 100 AS end_seconds,
   (e // 10000 - s // 10000) / 100 AS duration_seconds, round(coalesce(max_value, 0.0), 4) AS max_peak_score, '' AS verdict, '' AS notes FROM merged""")
 def review_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,8 +396,6 @@ def strategy_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.groupBy("preset").agg(F.count(F.lit(1)).alias("clips"), F.sum(F.col("end") - F.col("start")).alias("total_duration"))
 
 
-
-
 def _reply(e: str = "event_id"):
     """A model's reply made of an event: fenced for some, malformed for some."""
     event = F.when(F.col(e) % 3 == 0, "true").otherwise("false")
@@ -435,23 +426,6 @@ def scan_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("at", F.round(at, 4)).where("at is not null").select("event_id", "at")
 
 
-@query(f"""WITH {_PARSED}, conf AS (
-  SELECT rec, event_id, greatest(0, t - {BEFORE}) AS s, t + {AFTER} AS e FROM v WHERE strategy = 'click' AND coalesce(CASE WHEN ok THEN is_event OR confidence < 0.75 END, TRUE)),
-scan AS (SELECT rec, event_id, greatest(0, t - {BEFORE}) AS s, t + {AFTER} AS e FROM v WHERE strategy = 'view' AND ok AND is_event AND confidence >= 0.75),
-x AS (SELECT * FROM conf UNION ALL SELECT * FROM scan),
-fl AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY rec ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {GAP} THEN 0 ELSE 1 END AS nw FROM x),
-i AS (SELECT *, sum(nw) OVER (PARTITION BY rec ORDER BY s, event_id) AS k FROM fl)
-SELECT rec, CAST(min(s) AS BIGINT) AS "start", CAST(max(e) AS BIGINT) AS "end", count(*) AS n FROM i GROUP BY rec, k HAVING max(e) - min(s) >= {HOUR}""")
-def refine_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _events(spark, sf_dir).withColumn("v", verdicts.parse_verdict(_reply()))
-    sure = F.round("v.confidence", 6)
-    kept = v.where("strategy = 'click'").where(verdicts.keep_confirmed(F.col("v.is_event"), sure, 0.75))
-    added = v.where("strategy = 'view'").where(F.col("v.is_event") & (sure >= 0.75))
-    both = intervals.pad_peaks(kept.unionByName(added), "t", BEFORE, AFTER)
-    out = intervals.merge_intervals(both, ["rec"], GAP, HOUR, ["event_id"], [F.count(F.lit(1)).alias("n")])
-    return out.select("rec", "start", "end", "n")
-
-
 @query(f"""WITH {_MERGED}, x AS (SELECT rec, strategy, idx, (e - s) / 1e6 AS d, unnest(range(0, 5)) AS i FROM merged)
 SELECT rec, strategy, idx, CAST(i AS INTEGER) AS frame, round(d / 5 * (i + 0.5), 4) AS at FROM x""")
 def frame_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,7 +445,19 @@ def peak_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("rec", "strategy", "idx", low.cast("long").alias("from"), high.cast("long").alias("to"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MERGED}, ch AS (SELECT rec, d AS day, d * {DAY} AS cs, (d + 1) * {DAY} AS ce FROM (SELECT DISTINCT rec, t // {DAY} AS d FROM ev)),
+sl AS (
+  SELECT m.rec, m.strategy, m.idx, least(m.e, ce) - greatest(m.s, cs) AS d,
+    row_number() OVER w AS i, count(*) OVER (PARTITION BY m.rec, m.strategy, m.idx) AS n, sum(least(m.e, ce) - greatest(m.s, cs)) OVER (PARTITION BY m.rec, m.strategy, m.idx) AS total
+  FROM merged m JOIN ch c ON m.rec = c.rec AND least(m.e, ce) > greatest(m.s, cs) WINDOW w AS (PARTITION BY m.rec, m.strategy, m.idx ORDER BY c.day)),
+share AS (SELECT *, CAST(greatest(1, round_even(10.0::DOUBLE * d / total, 0)) AS BIGINT) AS want FROM sl),
+al AS (
+  SELECT rec, strategy, idx, i, n, CASE WHEN i = n THEN 10 ELSE least(10, want) END AS frames, CASE WHEN i = n THEN 10 ELSE least(10, want) END AS used FROM share WHERE i = 1
+  UNION ALL
+  SELECT s.rec, s.strategy, s.idx, s.i, s.n, greatest(0, CASE WHEN s.i = s.n THEN 10 - a.used ELSE least(10 - a.used, s.want) END),
+    a.used + greatest(0, CASE WHEN s.i = s.n THEN 10 - a.used ELSE least(10 - a.used, s.want) END)
+  FROM al a JOIN share s ON s.rec = a.rec AND s.strategy = a.strategy AND s.idx = a.idx AND s.i = a.i + 1)
+SELECT rec, strategy, idx, CAST(i - 1 AS INTEGER) AS slice, CAST(frames AS INTEGER) AS frames FROM al""")
 def frame_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = interval_chunk_slices(spark, sf_dir).groupBy("rec", "strategy", "idx").agg(F.array_sort(F.collect_list(F.struct("day", (F.col("local_end") - F.col("local_start")).alias("d")))).alias("s"))
     got = verdicts.allocate_frames(F.transform("s", lambda x: x["d"]), 10)
@@ -536,11 +522,6 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.outbox(picks, rows.where("event_id % 3 = 0").select("event_id"), ["event_id"])
 
 
-@query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
-def label_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT event_type AS strategy, count(*) AS total, count(*) FILTER (WHERE event_id % 3 < 2) AS labeled, count(*) FILTER (WHERE event_id % 3 = 0) AS tp, count(*) FILTER (WHERE event_id % 3 = 1) AS fp FROM events GROUP BY 1")
 def strategy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = F.when(F.col("event_id") % 3 == 0, " tp").when(F.col("event_id") % 3 == 1, "Fp ").otherwise("")
@@ -568,3 +549,6 @@ def strongest_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS idx, printf('clip_%03d.mp4', o_orderkey) AS clip_file FROM orders")
 def clip_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), clip_name(F.col("o_orderkey")).alias("clip_file"))
+
+
+from tidemark import catalog_commands  # noqa: E402, F401  registers the commands' queries

@@ -17,9 +17,13 @@ def safe_caption(text: Column) -> Column:
     return F.when(F.coalesce(cut, F.lit("")) == "", CAPTION_DEFAULT).otherwise(cut)
 
 
+#: Fixed value: where a note tells the time of what was missed.
+_OFFSET = r"(\d+(?:\.\d+)?)\s*sec"
+
+
 def offset_seconds(notes: Column) -> Column:
     """The first number before "sec" in a note, or null."""
-    return F.regexp_extract(notes, r"(\d+(?:\.\d+)?)\s*sec", 1).try_cast("double")
+    return F.regexp_extract(notes, _OFFSET, 1).try_cast("double")
 
 
 def clip_name(idx: Column) -> Column:

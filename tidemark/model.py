@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import os
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field, fields, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,13 @@ SENT = "clip_file string, message_id long, sent_at string"
 ENV_PREFIX = "TIDEMARK__"
 
 
-# The numbers below are fixed values: the published defaults and presets of the method.
+# The names and numbers below are those that settings files are written with.
+@dataclass
+class Input:
+    source_dir: str = ""
+    use_lrf_for_detection: bool = True
+
+
 @dataclass
 class Audio:
     sample_rate: int = 22050
@@ -50,127 +57,208 @@ class OnsetFlux:
 
 @dataclass
 class Combined:
-    before_seconds: float = 2.0
-    after_seconds: float = 12.0
+    window_before_seconds: float = 2.0
+    window_after_seconds: float = 12.0
 
 
 @dataclass
 class Detection:
     strategy: str = "onset_flux"
+    rms_energy: RmsEnergy = field(default_factory=RmsEnergy)
+    onset_flux: OnsetFlux = field(default_factory=OnsetFlux)
+    combined: Combined = field(default_factory=Combined)
 
 
 @dataclass
 class Timeline:
     lookback_seconds: float = 6.0
-    post_seconds: float = 5.0
+    post_peak_seconds: float = 5.0
     min_gap_seconds: float = 5.0
     min_interval_seconds: float = 5.0
     warmup_seconds: float = 10.0
 
 
 @dataclass
-class Negatives:
-    max_piece_seconds: float = 120.0
-    min_gap_seconds: float = 8.0
+class Output:
+    mode: str = "clips"
+    dir: str = "output"
+    force_reencode_on_concat: bool = False
+
+
+@dataclass
+class Metadata:
+    events_path: str = "output/events.json"
+    debug_plot_path: str = "output/debug_audio.png"
 
 
 @dataclass
-class Vision:
-    frames: int = 5
+class Encoding:
+    max_width: int = 1280
+    fps: float = 30.0
+    crf: int = 23
+    preset: str = "veryfast"
+    threads: int = 4
+    audio_bitrate_kbps: int = 128
+    mono_audio: bool = False
+
+
+@dataclass
+class Review(Encoding):
+    output_root: str = "output/review"
+    max_negative_clip_seconds: float = 120.0
+    min_negative_clip_seconds: float = 8.0
+
+
+@dataclass
+class Export(Encoding):
+    dir: str = "output/export"
+    max_width: int = 2560
+    crf: int = 18
+    preset: str = "medium"
+    threads: int = 0
+    audio_bitrate_kbps: int = 192
+
+
+@dataclass
+class Caller:
+    """What a model or a chat is called with; calls themselves are outside the engine."""
+
+    enabled: bool = False
+    model: str = ""
+    api_key_env: str = ""
     peak_window_seconds: float = 4.0
-    drop_threshold: float = 0.75
-    add_threshold: float = 0.75
-    scan_min_seconds: float = 8.0
-    scan_max_seconds: float = 120.0
+    drop_confidence_threshold: float = 0.75
+    add_confidence_threshold: float = 0.75
+    request_timeout_seconds: float = 60.0
+    max_retries: int = 2
+
+
+@dataclass
+class Vision(Caller):
+    frames_per_window: int = 5
+    frame_max_width: int = 640
+    highlights_dir: str = "output/vision_highlights"
+    scan_chunk_max_seconds: float = 120.0
+    scan_chunk_min_seconds: float = 8.0
 
 
 @dataclass
-class Audit:
-    flag_distance: float = 0.5
+class Video(Caller):
+    clip_max_width: int = 640
 
 
 @dataclass
-class Golden:
-    cluster_seconds: float = 12.0
+class LabelAudit:
+    review_root: str = "output/review"
+    output_dir: str = "output/label_audit"
+    flag_distance_threshold: float = 0.5
 
 
 @dataclass
 class Posting:
-    max_megabytes: float = 50.0
-    retries: int = 2
+    bot_token_env: str = ""
+    chat_id_env: str = ""
+    max_file_size_mb: float = 50.0
+    request_timeout_seconds: float = 120.0
+    max_retries: int = 2
 
 
 @dataclass
 class Settings:
+    input: Input = field(default_factory=Input)
     audio: Audio = field(default_factory=Audio)
-    rms_energy: RmsEnergy = field(default_factory=RmsEnergy)
-    onset_flux: OnsetFlux = field(default_factory=OnsetFlux)
-    combined: Combined = field(default_factory=Combined)
     detection: Detection = field(default_factory=Detection)
     timeline: Timeline = field(default_factory=Timeline)
-    negatives: Negatives = field(default_factory=Negatives)
+    output: Output = field(default_factory=Output)
+    metadata: Metadata = field(default_factory=Metadata)
+    review: Review = field(default_factory=Review)
+    export: Export = field(default_factory=Export)
     vision: Vision = field(default_factory=Vision)
-    audit: Audit = field(default_factory=Audit)
-    golden: Golden = field(default_factory=Golden)
-    posting: Posting = field(default_factory=Posting)
+    gemini: Video = field(default_factory=Video)
+    label_audit: LabelAudit = field(default_factory=LabelAudit)
+    telegram: Posting = field(default_factory=Posting)
 
 
 #: The presets, as overlays of the defaults.
 PRESETS = {
-    "crowd_loose": {"detection": {"strategy": "rms_energy"}, "rms_energy": {"threshold_sigma": 3.0, "min_score_dbfs": 1.5}},
-    "crowd_strict": {"detection": {"strategy": "rms_energy"}, "rms_energy": {"threshold_sigma": 3.0, "min_score_dbfs": 3.5}},
-    "strike_loose": {"detection": {"strategy": "onset_flux"}, "onset_flux": {"threshold_sigma": 2.5, "min_score": 0.55}},
-    "strike_strict": {"detection": {"strategy": "onset_flux"}, "onset_flux": {"threshold_sigma": 2.0, "min_score": 0.60}},
-    "combo_loose": {"detection": {"strategy": "combined"}, "onset_flux": {"threshold_sigma": 2.0, "min_score": 0.30}, "rms_energy": {"threshold_sigma": 3.0, "min_score_dbfs": 3.0}, "combined": {"before_seconds": 2.0, "after_seconds": 20.0}},
-    "combo_strict": {"detection": {"strategy": "combined"}, "onset_flux": {"threshold_sigma": 2.0, "min_score": 0.40}, "rms_energy": {"threshold_sigma": 3.0, "min_score_dbfs": 3.0}, "combined": {"before_seconds": 2.0, "after_seconds": 10.0}},
+    "crowd_loose": {"detection": {"strategy": "rms_energy", "rms_energy": {"threshold_sigma": 3.0, "min_score_dbfs": 1.5}}},
+    "crowd_strict": {"detection": {"strategy": "rms_energy", "rms_energy": {"threshold_sigma": 3.0, "min_score_dbfs": 3.5}}},
+    "strike_loose": {"detection": {"strategy": "onset_flux", "onset_flux": {"threshold_sigma": 2.5, "min_score": 0.55}}},
+    "strike_strict": {"detection": {"strategy": "onset_flux", "onset_flux": {"threshold_sigma": 2.0, "min_score": 0.60}}},
+    "combo_loose": {"detection": {"strategy": "combined", "onset_flux": {"threshold_sigma": 2.0, "min_score": 0.30}, "rms_energy": {"threshold_sigma": 3.0, "min_score_dbfs": 3.0}, "combined": {"window_before_seconds": 2.0, "window_after_seconds": 20.0}}},
+    "combo_strict": {"detection": {"strategy": "combined", "onset_flux": {"threshold_sigma": 2.0, "min_score": 0.40}, "rms_energy": {"threshold_sigma": 3.0, "min_score_dbfs": 3.0}, "combined": {"window_before_seconds": 2.0, "window_after_seconds": 10.0}}},
 }
+#: Fixed value: seconds within which labels of one event meet.
+GOLDEN_CLUSTER_SECONDS = 12.0
 SWEEP_THRESHOLDS = (1.01, 0.80, 0.75, 0.70, 0.65, 0.60, 0.55, 0.50)
 
 
-def overlay(settings, values: dict):
-    """Set values by section and field; a name that isn't known is a ValueError."""
-    known = {f.name for f in fields(settings)}
-    for name, value in (values or {}).items():
-        if name not in known:
-            raise ValueError(f"Unknown config key: {name}")
-        own = getattr(settings, name)
-        if is_dataclass(own):
-            overlay(own, value)
-        else:
-            setattr(settings, name, value)
-    return settings
+def entries(settings, before: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
+    """The dotted paths of all single settings."""
+    for f in fields(settings):
+        own = getattr(settings, f.name)
+        yield from entries(own, (*before, f.name)) if is_dataclass(own) else [(*before, f.name)]
 
 
-def _as(kind: type, text: str):
-    return text.strip().lower() in {"1", "true", "yes", "on"} if kind is bool else kind(text)
+def leaves(values: Mapping, before: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], object]]:
+    """Paths and values of nested mappings; a section without content is None."""
+    for name, value in values.items():
+        path, value = (*before, str(name)), None if value == {} else value
+        if isinstance(value, Mapping):
+            yield from leaves(value, path)
+        else:
+            yield path, value
+
+
+def put(settings, path: tuple[str, ...], value, source: str) -> None:
+    """Set one entry; text becomes what the entry holds. A path that isn't one is a ValueError that names its source."""
+    if path not in set(entries(settings)):
+        sections = {p[:n] for p in entries(settings) for n in range(1, len(p))}
+        if value is None and path in sections:
+            return  # a section left empty
+        raise ValueError(f"{source}: there is no setting {'.'.join(path)}")
+    for name in path[:-1]:
+        settings = getattr(settings, name)
+    kind = type(getattr(settings, path[-1]))
+    if isinstance(value, str) and kind is not str:
+        value = value.strip().lower() in ("1", "true", "yes", "on") if kind is bool else kind(value)
+    setattr(settings, path[-1], value)
+
+
+def overlay(settings: Settings, values: Mapping | None, source: str = "settings") -> Settings:
+    for path, value in leaves(values or {}):
+        put(settings, path, value, source)
+    return settings
 
 
-def from_environment(settings: Settings, environment: dict[str, str] | None = None) -> Settings:
-    """PREFIX__SECTION__FIELD, read as the type of the field's present value."""
-    for name, text in (os.environ if environment is None else environment).items():
+def from_environment(settings: Settings, environment: Mapping[str, str] | None = None) -> Settings:
+    """PREFIX__SECTION__...__NAME, of any depth."""
+    for name, text in sorted((os.environ if environment is None else environment).items()):
         if name.startswith(ENV_PREFIX):
-            section, _, key = name[len(ENV_PREFIX) :].lower().partition("__")
-            own = getattr(settings, section, None)
-            if not is_dataclass(own) or not hasattr(own, key):
-                raise ValueError(f"Unknown config key: {name}")
-            setattr(own, key, _as(type(getattr(own, key)), text))
+            put(settings, tuple(name[len(ENV_PREFIX) :].lower().split("__")), text, name)
     return settings
 
 
-def load_settings(path: str | None = None, environment: dict[str, str] | None = None, flags: dict | None = None) -> Settings:
+def _yaml(path: str) -> dict:
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f) or {}
+
+
+def load_settings(path: str | None = None, environment: Mapping[str, str] | None = None, flags: Mapping | None = None) -> Settings:
     """Flags over environment over YAML over defaults."""
-    settings = Settings()
-    if path:
-        import yaml
+    settings = overlay(Settings(), _yaml(path) if path else None, path or "")
+    return overlay(from_environment(settings, environment), flags, "flags")
+
 
-        with open(path, encoding="utf-8") as f:
-            overlay(settings, yaml.safe_load(f) or {})
-    from_environment(settings, environment)
-    return overlay(settings, flags or {})
+def load_presets(base: Settings, path: str) -> dict[str, Settings]:
+    """The named overlays of a file's ``strategies``, each over a copy of the base."""
+    return {name: overlay(copy.deepcopy(base), values, f"{path}: {name}") for name, values in (_yaml(path).get("strategies") or {}).items()}
 
 
 def preset(base: Settings, name: str) -> Settings:
-    return overlay(copy.deepcopy(base), PRESETS[name])
+    return overlay(copy.deepcopy(base), PRESETS[name], name)
 
 
 def preset_table(spark: SparkSession, base: Settings | None = None) -> DataFrame:
@@ -178,5 +266,6 @@ def preset_table(spark: SparkSession, base: Settings | None = None) -> DataFrame
     rows = []
     for name in PRESETS:
         s = preset(base or Settings(), name)
-        rows.append((name, s.detection.strategy, s.onset_flux.threshold_sigma, s.onset_flux.min_score, s.rms_energy.threshold_sigma, s.rms_energy.min_score_dbfs, s.rms_energy.min_absolute_dbfs, s.combined.before_seconds, s.combined.after_seconds))
+        d = s.detection
+        rows.append((name, d.strategy, d.onset_flux.threshold_sigma, d.onset_flux.min_score, d.rms_energy.threshold_sigma, d.rms_energy.min_score_dbfs, d.rms_energy.min_absolute_dbfs, d.combined.window_before_seconds, d.combined.window_after_seconds))
     return spark.createDataFrame(rows, "preset string, strategy string, flux_sigma double, flux_score double, rms_sigma double, rms_score double, rms_floor double, before double, after double")

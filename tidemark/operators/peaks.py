@@ -54,7 +54,7 @@ def strategy(name: str):
 def analyze(name: str, *args, **kwargs) -> DataFrame:
     """Run a registered strategy; an unknown name is an error."""
     if name not in STRATEGIES:
-        raise ValueError(f"Unknown detection strategy: {name}")
+        raise ValueError(f"no strategy is called {name}")
     return STRATEGIES[name](*args, **kwargs)
 
 

@@ -30,9 +30,9 @@ def strategy_counts(labels: DataFrame, by: list[str], verdict: str = "verdict")
 
 
 def truths(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """The union over strategies of TP intervals and missed ones (FN), merged where they meet."""
-    v = normal_verdict(F.col("verdict"))
-    return merge_intervals(labels.where(v.isin("TP", "FN")).select(*keys, "start", "end"), keys, 0, 0)
+    """The union of strategies' TP intervals and missed ones (FN of no strategy), merged where they meet."""
+    v, own = normal_verdict(F.col("verdict")), F.col("strategy").isNotNull()
+    return merge_intervals(labels.where(own & (v == "TP") | ~own & (v == "FN")).select(*keys, "start", "end"), keys, 0, 0)
 
 
 def score_strategies(labels: DataFrame, keys: list[str], width) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.package import ship
+
 #: The normal consistency constant of the MAD, and the floor under powers.
 MAD_SCALE, EPS = 1.4826, 1e-10
 
@@ -62,6 +64,7 @@ def spectral_flux(blocks: DataFrame, keys: list[str], block: str, nperseg: int,
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
+    ship(blocks.sparkSession)
     return blocks.select(*keys, block).mapInPandas(flux, schema)
 
 
@@ -84,6 +87,7 @@ def rolling_threshold(df: DataFrame, keys: list[str], order: list[str], value: s
         mad = rolling_median(np.abs(v - base), size)
         return pdf.assign(baseline=base, mad=mad, threshold=base + sigma * mad * MAD_SCALE)
 
+    ship(df.sparkSession)
     return df.groupBy(*keys).applyInPandas(one, schema)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_VERDICT = "is_event boolean, confidence double, frame_index int, rationale string, caption string"
+_VERDICT = "is_event boolean, confidence string, frame_index int, rationale string, caption string"
 _DESCRIBE = "score double, caption string, description string, rationale string, goal_this_end boolean"
 _JUDGE = "agreement string, distance_score double, rationale string"
 #: What a judge may say of a label.
@@ -25,14 +25,14 @@ def _blank(c: Column) -> Column:
 
 
 def parse_verdict(text: Column, scan: bool = False) -> Column:
-    """A verdict, or null if malformed; frame_index is read in scans alone, where it is needed for events."""
+    """A verdict, or null if malformed. A number may be written as text. frame_index is read in scans alone;
+    an event without one keeps its verdict and gives no peak."""
     v = F.from_json(unfenced(text), _VERDICT)
-    ok = v["is_event"].isNotNull() & v["confidence"].between(0, 1)
-    if scan:
-        ok = ok & (~v["is_event"] | v["frame_index"].isNotNull())
+    sure = v["confidence"].try_cast("double")
+    ok = v["is_event"].isNotNull() & sure.between(0, 1)
     index = v["frame_index"] if scan else F.lit(None).cast("int")
     rest = [F.coalesce(v[c], F.lit("")).alias(c) for c in ("rationale", "caption")]
-    return F.when(ok, F.struct(v["is_event"].alias("is_event"), v["confidence"].alias("confidence"), index.alias("frame_index"), *rest))
+    return F.when(ok, F.struct(v["is_event"].alias("is_event"), sure.alias("confidence"), index.alias("frame_index"), *rest))
 
 
 def parse_describe(text: Column) -> Column:

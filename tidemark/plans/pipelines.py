@@ -13,8 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.model import PRESETS, SWEEP_THRESHOLDS, Settings, preset
+from tidemark.functions.text import clip_name
+from tidemark.model import GOLDEN_CLUSTER_SECONDS, PRESETS, SWEEP_THRESHOLDS, Settings, preset
 from tidemark.operators import cache, golden, intervals, peaks, scoring, signal, verdicts
+from tidemark.package import ship
 from tidemark.sources import sinks
 
 CHUNK = ["recording_id", "sequence"]
@@ -23,8 +25,9 @@ WIDTH = 60.0  # seconds of a range join's buckets
 
 def _frame_sizes(settings: Settings, rate: int, kind: str) -> tuple[int, int, int]:
     """Window and hop in samples, cut to whole ones, and the baseline's rows from the nominal hop."""
-    own = getattr(settings, kind)
-    return int(own.window_seconds * rate), int(own.hop_seconds * rate), signal.odd_size(own.baseline_window_seconds, own.hop_seconds)
+    own = getattr(settings.detection, kind)
+    least = 2 if kind == "onset_flux" else 1
+    return max(least, int(own.window_seconds * rate)), max(1, int(own.hop_seconds * rate)), signal.odd_size(own.baseline_window_seconds, own.hop_seconds)
 
 
 def rms_trace(samples: DataFrame, settings: Settings) -> DataFrame:
@@ -41,7 +44,7 @@ def rms_trace(samples: DataFrame, settings: Settings) -> DataFrame:
         rms = np.sqrt(np.maximum(power[at + window] - power[at], 0) / window + signal.EPS)
         return at / rate, 20 * np.log10(rms + signal.EPS)
 
-    return _trace(samples, frames, size, settings.rms_energy.threshold_sigma)
+    return _trace(samples, frames, size, settings.detection.rms_energy.threshold_sigma)
 
 
 def flux_trace(samples: DataFrame, settings: Settings) -> DataFrame:
@@ -50,12 +53,14 @@ def flux_trace(samples: DataFrame, settings: Settings) -> DataFrame:
     window, hop, size = _frame_sizes(settings, rate, "onset_flux")
 
     def frames(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(x) < window:
+        size = min(window, len(x))  # a short input shortens the window, and the hop with it
+        step = hop - (window - size)
+        if size < 2 or step < 1:
             return np.zeros(0), np.zeros(0)
-        at, magnitude = signal.stft_magnitudes(x, window, hop)
+        at, magnitude = signal.stft_magnitudes(x, size, step)
         return at / rate, np.maximum(np.diff(magnitude, axis=0, prepend=magnitude[:1]), 0).sum(1)
 
-    return _trace(samples, frames, size, settings.onset_flux.threshold_sigma)
+    return _trace(samples, frames, size, settings.detection.onset_flux.threshold_sigma)
 
 
 def _trace(samples: DataFrame, frames: Callable, size: int, sigma: float) -> DataFrame:
@@ -68,28 +73,34 @@ def _trace(samples: DataFrame, frames: Callable, size: int, sigma: float) -> Dat
         mad = signal.rolling_median(np.abs(v - base), size) if len(v) else v
         return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "sequence": pdf["sequence"].iloc[0], "frame_idx": np.arange(len(v)), "t": t, "value": v, "threshold": base + sigma * mad * signal.MAD_SCALE})
 
+    ship(samples.sparkSession)
     return samples.groupBy(*CHUNK).applyInPandas(one, "recording_id string, sequence int, frame_idx long, t double, value double, threshold double")
 
 
 def chunk_peaks(samples: DataFrame, settings: Settings) -> DataFrame:
     """Peaks (t, score) on each chunk's own axis, by the settings' strategy."""
-    s = settings
-    if s.detection.strategy == "rms_energy":
-        found = peaks.analyze("rms_energy", rms_trace(samples, s), CHUNK, ["frame_idx"], s.rms_energy.min_score_dbfs, s.rms_energy.min_absolute_dbfs)
-    elif s.detection.strategy == "onset_flux":
-        found = peaks.analyze("onset_flux", flux_trace(samples, s), CHUNK, ["frame_idx"], s.onset_flux.min_score)
+    s, d = settings, settings.detection
+    if d.strategy == "rms_energy":
+        found = peaks.analyze("rms_energy", rms_trace(samples, s), CHUNK, ["frame_idx"], d.rms_energy.min_score_dbfs, d.rms_energy.min_absolute_dbfs)
+    elif d.strategy == "onset_flux":
+        found = peaks.analyze("onset_flux", flux_trace(samples, s), CHUNK, ["frame_idx"], d.onset_flux.min_score)
     else:
-        found = peaks.analyze(s.detection.strategy, flux_trace(samples, s), rms_trace(samples, s), CHUNK, "t", s.combined.before_seconds, s.combined.after_seconds, WIDTH, s.onset_flux.min_score, s.rms_energy.min_score_dbfs, s.rms_energy.min_absolute_dbfs)
+        found = peaks.analyze(d.strategy, flux_trace(samples, s), rms_trace(samples, s), CHUNK, "t", d.combined.window_before_seconds, d.combined.window_after_seconds, WIDTH, d.onset_flux.min_score, d.rms_energy.min_score_dbfs, d.rms_energy.min_absolute_dbfs)
     return found.select(*CHUNK, "t", "score")
 
 
+def after_warmup(found: DataFrame, at: str, warmup) -> DataFrame:
+    """Without what lies before the end of the warm-up."""
+    return found.where(F.col(at) >= warmup)
+
+
 def detect(samples: DataFrame, chunks: DataFrame, settings: Settings) -> DataFrame:
     """Merged intervals (idx, start, end, peaks) of each recording, on its common axis."""
     tl = settings.timeline
     local = chunk_peaks(samples, settings)
     glob = local.join(chunks.select(*CHUNK, "global_start_seconds"), CHUNK).withColumn("time_seconds", F.col("global_start_seconds") + F.col("t"))
-    glob = glob.where(F.col("time_seconds") >= tl.warmup_seconds).select("recording_id", "time_seconds", "score")
-    padded = intervals.pad_peaks(glob, "time_seconds", tl.lookback_seconds, tl.post_seconds)
+    glob = after_warmup(glob, "time_seconds", tl.warmup_seconds).select("recording_id", "time_seconds", "score")
+    padded = intervals.pad_peaks(glob, "time_seconds", tl.lookback_seconds, tl.post_peak_seconds)
     listed = F.array_sort(F.collect_list(F.struct("time_seconds", "score"))).alias("peaks")
     out = intervals.merge_intervals(padded, ["recording_id"], tl.min_gap_seconds, tl.min_interval_seconds, ["time_seconds"], [listed])
     return out.withColumn("max_value", F.array_max(F.transform("peaks", lambda p: p["score"])))
@@ -104,7 +115,7 @@ def batch_review(samples: DataFrame, chunks: DataFrame, settings: Settings, name
     total = chunks.groupBy("recording_id").agg(F.sum("duration_seconds").alias("total"))
     union = intervals.merge_intervals(found.select("recording_id", "start", "end"), ["recording_id"], 0.0, 0.0)
     gaps = intervals.invert(union, total, ["recording_id"], "total")
-    return found, intervals.split_long(gaps, ["recording_id"], settings.negatives.max_piece_seconds, settings.negatives.min_gap_seconds)
+    return found, intervals.split_long(gaps, ["recording_id"], settings.review.max_negative_clip_seconds, settings.review.min_negative_clip_seconds)
 
 
 def render(found: DataFrame, chunks: DataFrame, use_proxy: bool = True) -> DataFrame:
@@ -123,16 +134,17 @@ def review_sheets(found: DataFrame, keys: list[str], prior: DataFrame | None = N
 
 
 def score(sheets: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Strategies' scores, and the report's lines; sheets of ``negatives`` give the missed ones."""
+    """Strategies' scores, and the report's lines; sheets of ``negatives`` give the missed ones.
+
+    Every row of a strategy's sheet counts, whatever its verdict; of negatives only FN do.
+    """
     own = F.when(F.col("strategy") != "negatives", F.col("strategy"))
-    rows = sheets.select(*keys, own.alias("strategy"), F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"), "verdict")
-    v = scoring.normal_verdict(F.col("verdict"))
-    rows = rows.where(F.col("strategy").isNotNull() & (v != "FN") | F.col("strategy").isNull() & (v == "FN"))
-    out = scoring.score_strategies(rows, keys, WIDTH)
+    rows = sheets.select(*keys, own.alias("strategy"), F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"), F.coalesce("verdict", F.lit("")).alias("verdict"))
+    out = scoring.score_strategies(rows.where(F.col("strategy").isNotNull() | (scoring.normal_verdict(F.col("verdict")) == "FN")), keys, WIDTH)
     return out, sinks.score_lines(out)
 
 
-def golden_from_sheets(sheets: DataFrame, events: DataFrame, keys: list[str], window: float = 12.0) -> DataFrame:
+def golden_from_sheets(sheets: DataFrame, events: DataFrame, keys: list[str], window: float = GOLDEN_CLUSTER_SECONDS) -> DataFrame:
     """Reference events: strongest peaks of TP clips (their middle without one), and missed times."""
     v = scoring.normal_verdict(F.col("verdict"))
     tp = sheets.where((v == "TP") & (F.col("strategy") != "negatives"))
@@ -151,11 +163,11 @@ def refine(found: DataFrame, gaps: DataFrame, confirm: Callable[[DataFrame], Dat
     """
     vs, tl = settings.vision, settings.timeline
     seen = confirm(found)
-    seen = seen.withColumn("kept", verdicts.keep_confirmed(F.col("verdict.is_event"), F.col("verdict.confidence"), vs.drop_threshold))
+    seen = seen.withColumn("kept", verdicts.keep_confirmed(F.col("verdict.is_event"), F.col("verdict.confidence"), vs.drop_confidence_threshold))
     looked = scan(gaps)
-    at = verdicts.scan_peak(F.col("start"), F.col("end"), F.col("verdict.is_event"), F.col("verdict.confidence"), F.col("verdict.frame_index"), vs.frames, vs.add_threshold)
+    at = verdicts.scan_peak(F.col("start"), F.col("end"), F.col("verdict.is_event"), F.col("verdict.confidence"), F.col("verdict.frame_index"), vs.frames_per_window, vs.add_confidence_threshold)
     looked = looked.withColumn("at", at).withColumn("kept", F.col("at").isNotNull())
-    added = intervals.pad_peaks(looked.where("kept"), "at", tl.lookback_seconds, tl.post_seconds)
+    added = intervals.pad_peaks(looked.where("kept"), "at", tl.lookback_seconds, tl.post_peak_seconds)
     both = seen.where("kept").select(*keys, "start", "end").unionByName(added.select(*keys, "start", "end"))
     merged = intervals.merge_intervals(both, keys, tl.min_gap_seconds, tl.min_interval_seconds)
     log = seen.select(F.lit("confirm").alias("kind"), "start", "end", "verdict", "kept").unionByName(looked.select(F.lit("scan").alias("kind"), "start", "end", "verdict", "kept"))
@@ -187,15 +199,73 @@ def label_audit(rows: DataFrame, cached: DataFrame, describe: Callable, judge: C
     todo = got.where("describe is not null and judge is null").unionByName(described)
     judged = judge(todo.drop("judge"))
     every = done.unionByName(judged)
-    flagged = every.where(verdicts.is_flagged(F.col("judge.agreement"), F.col("judge.distance_score"), settings.audit.flag_distance))
+    flagged = every.where(verdicts.is_flagged(F.col("judge.agreement"), F.col("judge.distance_score"), settings.label_audit.flag_distance_threshold))
     order = F.coalesce("judge.distance_score", F.lit(1.0)).desc()
     return every.orderBy(order, "idx"), flagged.orderBy(order, "idx")
 
 
+def describe_only(rows: DataFrame, cached: DataFrame, describe: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Rows with a description, asked for only where the cache has none, and the new cache; nothing is judged."""
+    got = cache.resume(rows, cached, "idx", {"strategy": 0, "clip_file": 0}, "describe")
+    asked = describe(cache.todo(got, "describe").drop("describe"))
+    every = got.where("describe is not null").unionByName(asked)
+    fresh = asked.where("describe is not null").select(*cached.columns)
+    return every, cache.upsert(cached, fresh, ["idx"])
+
+
+def pre_label(found: DataFrame, chunks: DataFrame, cached: DataFrame, describe: Callable[[DataFrame], DataFrame], settings: Settings) -> dict[str, DataFrame]:
+    """For a recording without labels: events, clips to encode, a sheet with descriptions, and the new cache."""
+    rows = found.withColumns({"strategy": F.lit("candidates"), "clip_file": clip_name(F.col("idx"))})
+    described, fresh = describe_only(rows, cached, describe)
+    review = settings.review
+    clips = sinks.encode_manifest(render(found, chunks, settings.input.use_lrf_for_detection), review.max_width, review.fps, review.crf, review.preset)
+    sheet = sinks.with_ai_columns(sinks.review_sheet(rows, ["recording_id"]), described, ["recording_id", "clip_file"])
+    return {"events": sinks.events_json(found, keys=("recording_id", "idx")), "clips": clips, "sheet": sheet, "cache": fresh}
+
+
+def vision_highlights(found: DataFrame, classify: Callable[[DataFrame], DataFrame], settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Each interval with its verdict, whether it stays and where its clip goes; and the log. Nothing is added."""
+    seen = classify(found)
+    kept = verdicts.keep_confirmed(F.col("verdict.is_event"), F.col("verdict.confidence"), settings.vision.drop_confidence_threshold)
+    seen = seen.withColumns({"kept": kept, "caption": F.col("verdict.caption")})
+    return sinks.routed_clips(seen, F.col("kept")), sinks.vision_log(seen.withColumn("kind", F.lit("confirm")))
+
+
+def golden_report(found: DataFrame, reference: DataFrame, keys: list[str], game_seconds: float, refined: DataFrame | None = None) -> DataFrame:
+    """The score of the intervals against reference events, and of the refined ones where given, with the report's lines."""
+    out = None
+    for name, own in (("audio", found), ("vision", refined)):
+        if own is not None:
+            one = sinks.golden_lines(sinks.golden_line(scoring.golden_score(own, reference, keys, WIDTH), game_seconds)).withColumn("pass", F.lit(name))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def export(found: DataFrame, chunks: DataFrame, written: DataFrame, settings: Settings) -> DataFrame:
+    """Clips to encode at full quality, without those whose output is there already."""
+    e = settings.export
+    return cache.outbox(sinks.encode_manifest(render(found, chunks, False), e.max_width, e.fps, e.crf, e.preset), written, ["clip_file"])
+
+
+def with_retries(call: Callable, retries: int, wait: Callable[[int], None] = lambda attempt: None) -> Callable:
+    """A call that is made again after an exception, ``retries`` times more at most; the last one passes."""
+
+    def again(*args, **kwargs):
+        for attempt in range(retries + 1):
+            try:
+                return call(*args, **kwargs)
+            except Exception:
+                if attempt == retries:
+                    raise
+                wait(attempt)
+
+    return again
+
+
 def export_picks(sheet: DataFrame, wanted: DataFrame, written: DataFrame) -> DataFrame:
     """The last row of each wanted clip, without those whose output is there already."""
     return cache.outbox(cache.pick(cache.last_of(sheet, "clip_file", "idx"), wanted, "clip_file"), written, ["clip_file"])
 
 
 def post_picks(picks: DataFrame, sent: DataFrame, settings: Settings) -> DataFrame:
-    return sinks.posts(cache.outbox(picks, sent, ["clip_file"]), int(settings.posting.max_megabytes * 1024 * 1024))
+    return sinks.posts(cache.outbox(picks, sent, ["clip_file"]), int(settings.telegram.max_file_size_mb * 1024 * 1024))

@@ -15,27 +15,33 @@ from pyspark.sql import functions as F
 
 from tidemark import model
 from tidemark.operators.intervals import running_offsets
+from tidemark.package import ship
 
 #: Fixed value: how chunk files are named.
 CHUNK_NAME = r"DJI_(\d{14})_(\d+)_D"
 
 
-def discover(spark: SparkSession, directory: str, suffix: str = "MP4", proxy: str = "LRF") -> DataFrame:
-    """recording_id, sequence, start_time, source_path and proxy_path of chunk files.
-
-    Names that don't fit are passed over; a directory without any is an error, when the
-    result is read. The sequence alone is the order; ``duplicate_sequence`` tells ties.
-    """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path")
-    stem = F.regexp_extract("path", rf"([^/]*)\.[^./]+$", 1)
+def chunks_of(listed: DataFrame, suffix: str = "MP4", proxy: str = "LRF") -> DataFrame:
+    """Chunks among listed files (path), with the proxy of the same name beside each where there is one."""
+    stem = F.regexp_extract("path", r"([^/]*)\.[^./]+$", 1)
     named = listed.withColumns({"stem": stem, "kind": F.upper(F.regexp_extract("path", r"\.([^./]+)$", 1)), "parent": F.regexp_extract("path", r"^(.*)/[^/]*$", 1)})
     named = named.where(F.col("stem").rlike(f"^{CHUNK_NAME}$"))
     own = named.where(F.col("kind") == suffix)
     other = named.where(F.col("kind") == proxy).select("parent", "stem", F.col("path").alias("proxy_path"))
-    out = own.join(other, ["parent", "stem"], "left").select(
+    return own.join(other, ["parent", "stem"], "left").select(
         F.col("parent").alias("recording_id"), F.regexp_extract("stem", CHUNK_NAME, 2).cast("int").alias("sequence"),
         F.to_timestamp(F.regexp_extract("stem", CHUNK_NAME, 1), "yyyyMMddHHmmss").alias("start_time"), F.col("path").alias("source_path"), "proxy_path",
     )
+
+
+def discover(spark: SparkSession, directory: str, suffix: str = "MP4", proxy: str = "LRF") -> DataFrame:
+    """recording_id, sequence, start_time, source_path and proxy_path of chunk files.
+
+    Names that don't fit are passed over; a directory without any is an error, when the
+    result is read. The sequence alone is the order; ``duplicate_sequence`` tells ties.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path")
+    out = chunks_of(listed, suffix, proxy)
     if out.isEmpty():
         raise FileNotFoundError(f"no chunks in {directory}")
     ties = out.groupBy("recording_id", "sequence").agg((F.count(F.lit(1)) > 1).alias("duplicate_sequence"))
@@ -74,13 +80,14 @@ def wav_durations(spark: SparkSession, paths: str) -> DataFrame:
             found = [wav_info(x.as_py()) for x in batch.column("content")]
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([n / r for r, _, n in found], pa.float64())], ["source_path", "duration_seconds"])
 
+    ship(spark)
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(read, "source_path string, duration_seconds double")
 
 
 def wav_samples(spark: SparkSession, paths: str, block_seconds: float = 1.0) -> DataFrame:
-    """source_path, sample_rate, block_idx and block: 16-bit mono samples as floats in [-1, 1).
+    """source_path, sample_rate, block_idx and block: samples as floats in [-1, 1), channels averaged.
 
-    A chunk becomes blocks, never one row a sample. Other than mono is an error.
+    A chunk becomes blocks, never one row a sample.
     """
 
     def read(batches):
@@ -88,14 +95,17 @@ def wav_samples(spark: SparkSession, paths: str, block_seconds: float = 1.0) ->
             for path, content in zip(batch.column("path"), batch.column("content")):
                 with wave.open(io.BytesIO(content.as_py())) as w:
                     rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
-                    if channels != 1 or width != 2:
-                        raise ValueError(f"{path}: 16-bit mono is needed")
+                    if width not in (1, 2, 4):
+                        raise ValueError(f"{path}: samples of 8, 16 or 32 bits are needed")
                     size, k = max(1, int(rate * block_seconds)), 0
                     while raw := w.readframes(size):
-                        block = np.frombuffer(raw, "<i2").astype(np.float32) / 32768
+                        whole = np.frombuffer(raw, {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype(np.float32)
+                        whole = (whole - 128) / 128 if width == 1 else whole / (1 << (8 * width - 1))
+                        block = whole.reshape(-1, channels).mean(1, dtype=np.float32)
                         yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([rate], pa.int32()), pa.array([k], pa.int64()), pa.array([block], pa.list_(pa.float32()))], ["source_path", "sample_rate", "block_idx", "block"])
                         k += 1
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInArrow(read, "source_path string, sample_rate int, block_idx long, block array<float>")
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clip_name, fixed, flagged_name, safe_caption
 
 
-def events_json(intervals: DataFrame, peaks: str = "peaks") -> DataFrame:
+def events_json(intervals: DataFrame, peaks: str = "peaks", keys: tuple[str, ...] = ()) -> DataFrame:
     """start, end, duration (of the unrounded ends) and peaks, rounded as they are stored."""
     shown = F.transform(peaks, lambda p: F.struct(F.round(p["time_seconds"], 2).alias("time_seconds"), F.round(p["score"], 4).alias("score")))
     length = F.round(F.col("end") - F.col("start"), 2)
-    return intervals.select(F.round("start", 2).alias("start_seconds"), F.round("end", 2).alias("end_seconds"), length.alias("duration_seconds"), shown.alias("peaks"))
+    return intervals.select(*keys, F.round("start", 2).alias("start_seconds"), F.round("end", 2).alias("end_seconds"), length.alias("duration_seconds"), shown.alias("peaks"))
 
 
 def review_sheet(intervals: DataFrame, keys: list[str], unit: float = 1.0, score: str = "max_value", extra: list[str] = []) -> DataFrame:  # noqa: B006
@@ -25,8 +25,8 @@ def review_sheet(intervals: DataFrame, keys: list[str], unit: float = 1.0, score
     )
 
 
-def golden_json(golden: DataFrame) -> DataFrame:
-    return golden.select(F.round("at", 2).alias("time_seconds"), "sources")
+def golden_json(golden: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return golden.select(*keys, F.round("at", 2).alias("time_seconds"), "sources")
 
 
 def vision_log(entries: DataFrame) -> DataFrame:
@@ -47,16 +47,55 @@ def audit_report(rows: DataFrame) -> DataFrame:
     )
 
 
-def with_ai_columns(sheet: DataFrame, described: DataFrame) -> DataFrame:
-    """A review sheet with the model's score, caption and description, joined by clip."""
-    own = described.select("clip_file", *[F.col(f"describe.{c}").alias(f"ai_{c}") for c in ("score", "caption", "description")])
-    return sheet.join(own, "clip_file", "left")
+def with_ai_columns(sheet: DataFrame, described: DataFrame, keys: list[str]) -> DataFrame:
+    """A review sheet with the model's score, caption and description, joined by clip; blank where there is none."""
+    own = described.select(*keys, *[F.col(f"describe.{c}").cast("string").alias(f"ai_{c}") for c in ("score", "caption", "description")])
+    out = sheet.join(own, keys, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("ai_score", "ai_caption", "ai_description")})
 
 
-def score_lines(scores: DataFrame, digits: int = 2) -> DataFrame:
-    """The score table as lines of fixed width."""
-    line = F.format_string("%-24s %6d %8d %5d %5d %9s %7s %6s", "strategy", "total", "labeled", "tp", "fp", fixed(F.col("precision"), digits), fixed(F.col("recall"), digits), fixed(F.col("f1"), digits))
-    return scores.select("strategy", line.alias("line"))
+def _padded(text: Column, width: int, left: bool = False) -> Column:
+    """Text in a column of a report, which longer text widens."""
+    blanks = F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(width) - F.char_length(text)))
+    return F.concat(text, blanks) if left else F.concat(blanks, text)
+
+
+def _number(c: str, digits: int, width: int, left: bool = False) -> Column:
+    return _padded(fixed(F.col(c), digits), width, left)
+
+
+def score_lines(scores: DataFrame) -> DataFrame:
+    """The score report: no, line; the truths, a blank, a header, a rule, and a line for each strategy by name."""
+    names = (("strategy", 16), ("labeled/total", 16), ("TP", 6), ("FP", 6), ("precision", 12), ("recall", 12), ("F1", 8))
+    header = "".join(n.ljust(w) for n, w in names)
+    cells = [_padded(c, w, True) for c, w in ((F.col("strategy"), 16), (F.concat_ws("/", "labeled", "total"), 16), (F.col("tp").cast("string"), 6), (F.col("fp").cast("string"), 6))]
+    cells += [_number(c, 2, w, True) for c, w in (("precision", 12), ("recall", 12), ("f1", 8))]
+    rows = scores.select((F.row_number().over(Window.orderBy("strategy")) + 3).alias("no"), F.concat(*cells).alias("line"))  # a row a strategy
+    truths = F.concat(F.lit("Ground truth events (union of all TP + FN-flagged negatives): "), F.coalesce(F.max("truths"), F.lit(0)).cast("string"))
+    top = scores.agg(F.array(truths, F.lit(""), F.lit(header), F.lit("-" * len(header))).alias("t")).select(F.posexplode("t").alias("no", "line"))
+    return top.unionByName(rows)
+
+
+def sweep_lines(points: DataFrame) -> DataFrame:
+    """The sweep table: no, line; a header and a line for each threshold, the highest first."""
+    header = "  ".join(n.rjust(w) for n, w in (("threshold", 10), ("kept", 8), ("precision", 9), ("recall", 7), ("f1", 6), ("FN", 3)))
+    share = F.concat(_padded(F.col("kept").cast("string"), 4), F.lit("/"), _padded(F.col("total").cast("string"), 3, True))
+    line = F.concat_ws("  ", _number("threshold", 2, 10), share, _number("precision", 3, 9), _number("recall", 3, 7), _number("f1", 3, 6), _padded(F.col("fn").cast("string"), 3))
+    rows = points.select(F.row_number().over(Window.orderBy(F.desc("threshold"))).alias("no"), line.alias("line"))  # a row a threshold
+    return points.sparkSession.createDataFrame([(0, header)], "no int, line string").unionByName(rows)
+
+
+def golden_lines(score: DataFrame) -> DataFrame:
+    """A golden score with the report's three lines."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    seconds = lambda c: F.concat(fixed(F.col(c).cast("double"), 1), F.lit("s"))
+    mean = F.when(F.col("mean_duration").isNull(), "n/a").otherwise(seconds("mean_duration"))
+    lines = [
+        F.concat(F.lit("clips="), text("clips"), F.lit("  TP="), text("tp"), F.lit("  FP="), text("fp"), F.lit("  FN="), text("fn")),
+        F.concat(F.lit("precision="), text("precision"), F.lit("  recall="), text("recall"), F.lit("  F1="), text("f1")),
+        F.concat(F.lit("mean_clip_duration="), mean, F.lit("  max_clip_duration="), seconds("max_duration"), F.lit("  total_duration="), seconds("total_duration"), F.lit(" ("), fixed(F.col("percent_of_game"), 1), F.lit("% of game)")),
+    ]
+    return score.withColumn("lines", F.array(*lines))
 
 
 def golden_line(score: DataFrame, game: float) -> DataFrame:
@@ -70,7 +109,7 @@ def clip_manifest(slices: DataFrame, keys: list[str], source: Column) -> DataFra
     return slices.groupBy(*keys, "idx").agg(F.array_sort(F.collect_list(part)).alias("parts")).withColumn("clip_file", clip_name(F.col("idx")))
 
 
-def encode_manifest(clips: DataFrame, width: int, fps: int, crf: int, preset: str) -> DataFrame:
+def encode_manifest(clips: DataFrame, width: int, fps: float, crf: int, preset: str) -> DataFrame:
     return clips.withColumn("encode", F.struct(F.lit(width).alias("width"), F.lit(fps).alias("fps"), F.lit(crf).alias("crf"), F.lit(preset).alias("preset")))
 
 
