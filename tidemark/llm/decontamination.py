@@ -120,8 +120,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     starts = F.array_distinct(F.concat(F.transform(begin, clamp), F.transform(end, lambda x: clamp(x - F.col("full") + 1))))
     found = work.save(found.select("doc_id", "tag", "n", "width", starts.alias("starts")).where(F.size("starts") > 0), "found")
 
-    texts = hashed.join(found.select("doc_id", "tag").distinct(), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
-    texts = work.save(texts.select("doc_id", "tag", "words"), "texts")
+    tagged = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    texts = tagged.join(found.select("doc_id", "tag").distinct(), ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
+    texts = work.save(texts.select("doc_id", "tag", word_hashes(F.col("text")).alias("words")), "texts")
     cut = F.transform("starts", lambda x: F.struct(x.alias("start"), F.slice("words", x + 1, F.col("n")).alias("cut")))
     windows = found.join(texts, ["doc_id", "tag"]).select("doc_id", "tag", "n", "width", F.inline(cut))
     shown = F.lit(None).cast("array<long>")
