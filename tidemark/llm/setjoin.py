@@ -448,7 +448,7 @@ class SetJoin:
         found = self.work.save(rows.repartition(n, "shard").mapInArrow(_shard, _SHARD), "index")
         self.info = found.where("id is not null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "a", "b")
         full = self.info.where("n_shingles > 0")
-        same = full.groupBy("a", "b").agg(F.min("doc_id").alias("class"))
+        same = self.work.save(full.groupBy("a", "b").agg(F.min("doc_id").alias("class")), "same")  # apart, so that the join can split a large class
         self.classes = self.work.save(full.join(same, ["a", "b"]).select("doc_id", "class").distinct(), "classes")
         members = found.where("bucket is not null").select("bucket", F.explode("members").alias("doc_id"))
         members = members.distinct().join(self.classes, "doc_id").select("bucket", "class").distinct()
