@@ -188,25 +188,35 @@ def _scan(width: int, percent: int, shards: np.ndarray):
     def scan(batches):
         held, n = [], 0
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            values, at = doc_sets(batch.column("text"), width)
-            info = np.zeros(len(ids), _INFO)
-            info["id"], info["n"] = ids, np.diff(at)
-            sums = np.concatenate([np.zeros((1, 2), U), np.cumsum(np.stack([mix(values), mix(values + U(77))], 1), axis=0)])
-            info["a"], info["b"] = mix(sums[at[1:], 0] - sums[at[:-1], 0]), mix(sums[at[1:], 1] - sums[at[:-1], 1])
-            bits, info["words"] = bitmaps(values, at)
-            yield _with_bitmaps(info, bits, shards)
-            _, first = np.unique(info[["a", "b"]], return_index=True)  # a set is entered once a batch
-            first.sort()
-            for lo in range(0, len(first), 256):
-                own = first[lo : lo + 256]
-                take = np.concatenate([np.arange(at[i], at[i + 1]) for i in own])
-                held.append(entries(values[take], np.concatenate([[0], np.cumsum(np.diff(at)[own])]), ids[own], percent))
-                n += len(held[-1])
-                if n >= FLUSH:
-                    rows = np.concatenate(held)
-                    yield _packed(rows, rows["sig"], 1, shards)
-                    held, n = [], 0
+            every, text = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("text")
+            infos, maps, seen = [], [], set()
+            for start, stop in blocks(raw(text)[1]):
+                ids = every[start:stop]
+                values, at = doc_sets(text.slice(start, stop - start), width)
+                info = np.zeros(len(ids), _INFO)
+                info["id"], info["n"] = ids, np.diff(at)
+                for c, spread in (("a", mix(values)), ("b", mix(values + U(77)))):
+                    sums = np.concatenate([np.zeros(1, U), np.cumsum(spread)])
+                    info[c] = mix(sums[at[1:]] - sums[at[:-1]])
+                bits, info["words"] = bitmaps(values, at)
+                infos.append(info)
+                maps.append(bits)
+                first = []  # a set is entered once a batch
+                for i, key in enumerate(zip(info["a"].tolist(), info["b"].tolist())):
+                    if key not in seen:
+                        seen.add(key)
+                        first.append(i)
+                for lo in range(0, len(first), 256):
+                    own = first[lo : lo + 256]
+                    take = np.concatenate([np.arange(at[i], at[i + 1]) for i in own])
+                    held.append(entries(values[take], np.concatenate([[0], np.cumsum(np.diff(at)[own])]), ids[own], percent))
+                    n += len(held[-1])
+                    if n >= FLUSH:
+                        rows = np.concatenate(held)
+                        yield _packed(rows, rows["sig"], 1, shards)
+                        held, n = [], 0
+            if infos:
+                yield _with_bitmaps(np.concatenate(infos), np.concatenate(maps), shards)
         if n:
             rows = np.concatenate(held)
             yield _packed(rows, rows["sig"], 1, shards)
