@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import scan
 from tidemark.operators.ranges import points_in_intervals
 
 
@@ -19,18 +20,23 @@ def flux_mask(value: str, threshold: str, min_score: float) -> Column:
     return F.col(value) - F.col(threshold) >= min_score
 
 
-def run_apexes(trace: DataFrame, keys: list[str], order: list[str], mask: Column, value: str, threshold: str) -> DataFrame:
+def run_apexes(trace: DataFrame, keys: list[str], order: list[str], mask: Column, value: str, threshold: str, ranges: scan.Ranges | None = None) -> DataFrame:
     """A row for each run of rows in the mask: that of the largest value, the first of equals.
 
     ``score`` is the value over the threshold at that row, and ``run_length`` the run's rows.
+    With ``ranges`` a long trace is cut up, and a run's rows meet as partial results only.
     """
-    by = Window.partitionBy(*keys).orderBy(*order)
-    flagged = trace.withColumn("__m", F.coalesce(mask, F.lit(False)))
-    flagged = flagged.withColumn("__new", (F.col("__m") & ~F.coalesce(F.lag("__m").over(by), F.lit(False))).cast("int"))
-    flagged = flagged.withColumn("run", F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0))).where("__m")
-    top = Window.partitionBy(*keys, "run").orderBy(F.col(value).desc(), *order)
-    ranked = flagged.withColumn("__r", F.row_number().over(top)).withColumn("run_length", F.count(F.lit(1)).over(Window.partitionBy(*keys, "run")))
-    return ranked.where("__r = 1").withColumn("score", F.col(value) - F.col(threshold)).drop("__m", "__new", "__r")
+    flagged = scan.lagged(trace.withColumn("__m", F.coalesce(mask, F.lit(False))), keys, order, "__m", "__was", ranges)
+    flagged = flagged.withColumn("__new", (F.col("__m") & ~F.coalesce("__was", F.lit(False))).cast("int"))
+    flagged = scan.running_count(flagged, keys, order, "__new", "run", ranges).where("__m").drop("__m", "__was", "__new", scan.RANGE)
+    if ranges is None or ranges.table is None:
+        top = Window.partitionBy(*keys, "run").orderBy(F.col(value).desc(), *order)
+        ranked = flagged.withColumn("__r", F.row_number().over(top)).withColumn("run_length", F.count(F.lit(1)).over(Window.partitionBy(*keys, "run")))
+        ranked = ranked.where("__r = 1").drop("__r")
+    else:
+        first = F.min_by(F.struct(*[F.col(c) for c in flagged.columns]), F.struct((-F.col(value)).alias("v"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)]))
+        ranked = flagged.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("run").alias("__run")).agg(first.alias("__top"), F.count(F.lit(1)).alias("run_length")).select("__top.*", "run_length")
+    return ranked.withColumn("score", F.col(value) - F.col(threshold))
 
 
 def corroborated(events: DataFrame, others: DataFrame, keys: list[str], at: str, before, after, width) -> DataFrame:
@@ -59,13 +65,13 @@ def analyze(name: str, *args, **kwargs) -> DataFrame:
 
 
 @strategy("rms_energy")
-def rms_energy(rms: DataFrame, keys: list[str], order: list[str], min_score: float, floor: float) -> DataFrame:
-    return run_apexes(rms, keys, order, rms_mask("value", "threshold", min_score, floor), "value", "threshold")
+def rms_energy(rms: DataFrame, keys: list[str], order: list[str], min_score: float, floor: float, ranges: scan.Ranges | None = None) -> DataFrame:
+    return run_apexes(rms, keys, order, rms_mask("value", "threshold", min_score, floor), "value", "threshold", ranges)
 
 
 @strategy("onset_flux")
-def onset_flux(flux: DataFrame, keys: list[str], order: list[str], min_score: float) -> DataFrame:
-    return run_apexes(flux, keys, order, flux_mask("value", "threshold", min_score), "value", "threshold")
+def onset_flux(flux: DataFrame, keys: list[str], order: list[str], min_score: float, ranges: scan.Ranges | None = None) -> DataFrame:
+    return run_apexes(flux, keys, order, flux_mask("value", "threshold", min_score), "value", "threshold", ranges)
 
 
 @strategy("combined")

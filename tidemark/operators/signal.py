@@ -1,14 +1,16 @@
 """Frame signals of block samples, and their rolling robust threshold.
 
-Rolling medians over large frames run one (recording, chunk) a group in pandas, which is
-much faster than a percentile over window frames; ``rolling_threshold_sql`` is the same
-in expressions alone, for frames of tens of rows.
+Rolling medians run over blocks of traces with the rows that their windows reach, many
+blocks a pass in numpy and pandas, which is much faster than a percentile over window
+frames; ``rolling_threshold_sql`` is the same in expressions alone, for frames of tens of
+rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -74,21 +76,96 @@ def rolling_median(values: np.ndarray, size: int) -> np.ndarray:
     return pd.Series(np.pad(values, half, mode="edge")).rolling(size).median().to_numpy()[2 * half :]
 
 
-def rolling_threshold(df: DataFrame, keys: list[str], order: list[str], value: str, size: int, sigma: float) -> DataFrame:
-    """Add baseline, mad and threshold = baseline + sigma * MAD_SCALE * mad, a group at a time."""
+def rolling_medians(values: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
+    """``rolling_median`` of many groups, laid end to end, in one pass: each is padded on its own."""
+    if not len(values):
+        return np.zeros(0)
+    half, n = size // 2, len(sizes)
+    first = np.cumsum(sizes) - sizes
+    group = np.repeat(np.arange(n), sizes + 2 * half)
+    at = np.arange(len(group)) - (np.cumsum(sizes + 2 * half) - (sizes + 2 * half))[group] - half
+    wide = values[first[group] + np.clip(at, 0, sizes[group] - 1)]
+    return pd.Series(wide).rolling(size).median().to_numpy()[2 * half :][(np.clip(at, 0, sizes[group] - 1) == at)[half : len(group) - half]]
+
+
+def blocks_of(at: Column, block: int, halo: int) -> Column:
+    """The blocks of ``block`` rows that need row ``at``: its own, and those it lies within ``halo`` rows of."""
+    own, into = F.floor(at / block).cast("long"), at % block
+    before = F.when((into < halo) & (own > 0), F.array(own - 1)).otherwise(F.array().cast("array<bigint>"))
+    after = F.when(into >= block - halo, F.array(own + 1)).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(before, F.array(own), after)
+
+
+def rolling_threshold(df: DataFrame, keys: list[str], order: list[str], value: str, size: int, sigma: float, index: str | None = None, block: int = 1 << 16, ranges=None) -> DataFrame:
+    """Add baseline, mad and threshold = baseline + sigma * MAD_SCALE * mad.
+
+    A trace is cut into blocks of ``block`` rows, each with size - 1 rows of its neighbours
+    on both sides, which is all that a median of distances to medians reaches. A task takes
+    many blocks in one pass, and a long trace goes to many tasks. ``index`` names a column
+    that numbers each trace's rows from 0 without gaps; without one they are numbered by
+    ``order``, in two levels where ``ranges`` (see ``scan``) are given.
+
+    A null value gives nulls wherever its windows reach. An empty frame stays empty.
+    """
+    from tidemark.operators import scan
+
+    halo = 2 * (size // 2)
+    block = max(block, halo)
     schema = StructType(list(df.schema.fields))  # a copy: add() changes its own
     for name in ("baseline", "mad", "threshold"):
         schema = schema.add(name, "double")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        v = pdf[value].to_numpy(float)
-        base = rolling_median(v, size)
-        mad = rolling_median(np.abs(v - base), size)
-        return pdf.assign(baseline=base, mad=mad, threshold=base + sigma * mad * MAD_SCALE)
+    own = [f"__k{i}" for i in range(len(keys))]
+    rows = df.withColumn("__i", F.col(index).cast("long")) if index else scan.numbered(df, keys, order, "__i", ranges)
+    rows = rows.withColumns({o: F.col(k) for o, k in zip(own, keys)}).withColumn("__block", F.explode(blocks_of(F.col("__i"), block, halo)))
+    rows = rows.repartition(*own, "__block").sortWithinPartitions(*own, "__block", "__i")
+    names = df.columns
+
+    def medians(table: pa.Table) -> pa.RecordBatch:
+        """Whole blocks, sorted."""
+        at, to = table.column("__i").to_numpy(), table.column("__block").to_numpy()
+        new = np.ones(len(at), bool)
+        new[1:] = (to[1:] != to[:-1]) | (at[1:] <= at[:-1])
+        for k in own:  # a null key is a key like any other
+            codes = table.column(k).combine_chunks().dictionary_encode("encode")
+            codes = (codes if isinstance(codes, pa.Array) else codes.combine_chunks()).indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        sizes = np.diff(np.append(np.flatnonzero(new), len(at)))
+        v = table.column(value).to_numpy().astype(float)
+        base = rolling_medians(v, sizes, size)
+        mad = rolling_medians(np.abs(v - base), sizes, size)
+        found = [pa.array(x, pa.float64(), from_pandas=True) for x in (base, mad, base + sigma * mad * MAD_SCALE)]
+        out = table.select(names)
+        for name, x in zip(("baseline", "mad", "threshold"), found):
+            out = out.append_column(name, x)
+        return out.filter(pa.array(at // block == to))
+
+    def run(batches):
+        waiting: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in waiting) < block:
+                continue
+            table = pa.concat_tables(waiting)
+            last = table.slice(table.num_rows - 1).select([*own, "__block"]).to_pylist()[0]
+            same = table.num_rows
+            lo, hi = 0, table.num_rows - 1  # the first row of the last block, which may go on
+            while lo < hi:
+                mid = (lo + hi) // 2
+                if table.slice(mid, 1).select([*own, "__block"]).to_pylist()[0] == last:
+                    hi = mid
+                else:
+                    lo = mid + 1
+            same = lo
+            if same:
+                yield from medians(table.slice(0, same)).to_batches()
+            waiting = [table.slice(same)]
+        if waiting:
+            yield from medians(pa.concat_tables(waiting)).to_batches()
 
     ship(df.sparkSession)
-    return df.groupBy(*keys).applyInPandas(one, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _padded(df: DataFrame, keys: list[str], order: list[str], value: str, half: int) -> DataFrame:
