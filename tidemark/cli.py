@@ -148,11 +148,23 @@ def run(spark: SparkSession, args) -> dict[str, DataFrame]:
     return {"golden": pipelines.golden_report(found, gold, REC, game, kept).select("pass", F.explode("lines").alias("line"))}
 
 
+def write(name: str, frame: DataFrame, path: str) -> None:
+    """Events and sheets as files that the scans read, a directory each; audits as CSV; the rest as JSON lines."""
+    if name in ("events", "sheet"):
+        parts = [F.url_encode(c) for c in ("recording_id", "strategy") if c in frame.columns]
+        place = F.concat_ws("/", *parts) if parts else F.lit(".")
+        (sinks.write_events if name == "events" else sinks.write_sheets)(frame, path, place)
+    elif name in ("audit", "flagged"):
+        sinks.write_csv(frame, path)
+    else:
+        sinks.write_json(frame, path)
+
+
 def main(arguments: list[str] | None = None) -> None:
     args = parser().parse_args(arguments)
     spark = SparkSession.builder.appName(f"tidemark {args.command}").getOrCreate()
     for name, frame in run(spark, args).items():
-        sinks.write_json(frame, f"{args.out}/{name}")
+        write(name, frame, f"{args.out}/{name}")
         print(f"{args.out}/{name}")
 
 

@@ -5,6 +5,7 @@ Files are listed and read by Spark, so any store that Spark reads will do.
 
 from __future__ import annotations
 
+import csv
 import io
 import wave
 
@@ -12,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemark import model
 from tidemark.operators.intervals import running_offsets
@@ -61,7 +64,7 @@ def source_of(use_proxy: bool) -> Column:
 def redirect_proxies(chunks: DataFrame, cached: DataFrame) -> DataFrame:
     """Proxies replaced by cached files (path) of the same name; others are kept."""
     name = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
-    local = cached.select(name("path").alias("__name"), F.col("path").alias("__local"))
+    local = cached.groupBy(name("path").alias("__name")).agg(F.min("path").alias("__local"))  # of files of one name, the first by path
     out = chunks.withColumn("__name", name("proxy_path")).join(local, "__name", "left")
     return out.withColumn("proxy_path", F.coalesce("__local", "proxy_path")).drop("__name", "__local")
 
@@ -118,14 +121,14 @@ def _strategy_of_path() -> Column:
 def read_events_json(spark: SparkSession, path: str) -> DataFrame:
     """Intervals of events.json arrays with the strategy (directory) and idx (place in a file, from 1)."""
     text = spark.read.text(path, wholetext=True).select("value", _strategy_of_path().alias("strategy"))
-    rows = text.select("strategy", F.posexplode(F.from_json("value", f"array<struct<{', '.join(_typed(model.EVENTS_JSON))}>>")).alias("pos", "e"))
+    parsed = F.from_json("value", f"array<struct<{', '.join(_typed(model.EVENTS_JSON))}>>")
+    whole = F.coalesce(F.when(F.trim("value").rlike(r"(?s)^\s*\[.*\]\s*$"), parsed), F.raise_error(F.concat(F.lit("not one array of events: "), "strategy")))
+    rows = text.select("strategy", F.posexplode(whole).alias("pos", "e"))
     return rows.select("strategy", (F.col("pos") + 1).cast("long").alias("idx"), "e.*")
 
 
 def _typed(ddl: str) -> list[str]:
     """Fields of a schema as name: type, for a nested type."""
-    from pyspark.sql.types import StructType
-
     return [f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(ddl)]
 
 
@@ -138,6 +141,53 @@ def read_sheets(spark: SparkSession, path: str) -> DataFrame:
     return clean.withColumns({c: F.col(c).cast("double") for c in numbers} | {c: F.coalesce(c, F.lit("")) for c in ("verdict", "notes")})
 
 
+SHEET_ROW = "strategy string, idx long, clip_file string, start_seconds double, end_seconds double, duration_seconds double, max_peak_score double, verdict string, notes string, guess string, guess_basis string, ai_caption string, extra map<string, string>"
+
+
+def read_review_root(spark: SparkSession, root: str, file: str = "review_sheet.csv") -> DataFrame:
+    """All sheets one directory below a root, each by its own header, with the place of a row in its sheet from 1.
+
+    Directories without a sheet have no rows; a column that a sheet lacks is null, the
+    verdict and notes empty; further columns are in ``extra``. A byte-order mark, quoted
+    line ends and numbers that aren't are passed over (a null number).
+    """
+    schema = StructType.fromDDL(SHEET_ROW)
+    own = [f.name for f in schema if f.name not in ("strategy", "idx", "extra")]
+    numbers = {f.name for f in schema if f.dataType.simpleString() == "double"}
+
+    def number(text: str | None):
+        try:
+            return float(text) if text not in (None, "") else None
+        except ValueError:
+            return None
+
+    def read(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                found = []
+                for idx, row in enumerate(csv.DictReader(io.StringIO(content.decode("utf-8-sig"), newline="")), 1):
+                    row = {(k or "").strip(): v for k, v in row.items()}
+                    line = {"strategy": path.split("/")[-2], "idx": idx}
+                    for name in own:
+                        line[name] = number(row.get(name)) if name in numbers else row.get(name)
+                    line["verdict"], line["notes"] = line["verdict"] or "", line["notes"] or ""
+                    line["extra"] = [(k, v) for k, v in row.items() if k and k not in own and isinstance(v, str)]
+                    found.append(line)
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, to_arrow_schema(schema))
+
+    ship(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file).load(root).select("path", "content")
+    return files.mapInArrow(read, schema)
+
+
+def with_events(sheets: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows of sheets and the events of the same place in the same directory; a sheet longer than its events is an error."""
+    both = sheets.join(events.select("strategy", "idx", "peaks"), ["strategy", "idx"], "left")
+    gone = F.when(F.col("peaks").isNull(), F.raise_error(F.concat(F.lit("no event for "), "strategy", F.lit("/"), "clip_file"))).otherwise(F.lit(False))
+    return both.where(~gone)
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(model.GOLDEN).option("multiLine", True).json(path).select(F.col("time_seconds").alias("at"), "sources")
 

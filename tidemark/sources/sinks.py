@@ -5,34 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import half_even
 from tidemark.functions.text import clip_name, fixed, flagged_name, safe_caption
+from tidemark.operators.ranges import points_in_intervals
+from tidemark.sources.directories import write_arrays, write_tables
 
 
 def events_json(intervals: DataFrame, peaks: str = "peaks", keys: tuple[str, ...] = ()) -> DataFrame:
     """start, end, duration (of the unrounded ends) and peaks, rounded as they are stored."""
-    shown = F.transform(peaks, lambda p: F.struct(F.round(p["time_seconds"], 2).alias("time_seconds"), F.round(p["score"], 4).alias("score")))
-    length = F.round(F.col("end") - F.col("start"), 2)
-    return intervals.select(*keys, F.round("start", 2).alias("start_seconds"), F.round("end", 2).alias("end_seconds"), length.alias("duration_seconds"), shown.alias("peaks"))
+    shown = F.transform(peaks, lambda p: F.struct(half_even(p["time_seconds"], 2).alias("time_seconds"), half_even(p["score"], 4).alias("score")))
+    length = half_even(F.col("end") - F.col("start"), 2)
+    return intervals.select(*keys, half_even(F.col("start"), 2).alias("start_seconds"), half_even(F.col("end"), 2).alias("end_seconds"), length.alias("duration_seconds"), shown.alias("peaks"))
 
 
 def review_sheet(intervals: DataFrame, keys: list[str], unit: float = 1.0, score: str = "max_value", extra: list[str] = []) -> DataFrame:  # noqa: B006
     """A row for each interval to be judged; ``extra`` are guess columns, kept as they are."""
-    at = lambda c: F.round(c / F.lit(unit), 2)
+    at = lambda c: half_even(c / F.lit(unit), 2)
     return intervals.select(
         *keys, clip_name(F.col("idx")).alias("clip_file"), at(F.col("start")).alias("start_seconds"), at(F.col("end")).alias("end_seconds"),
-        at(F.col("end") - F.col("start")).alias("duration_seconds"), F.round(F.coalesce(score, F.lit(0.0)), 4).alias("max_peak_score"),
+        at(F.col("end") - F.col("start")).alias("duration_seconds"), half_even(F.coalesce(score, F.lit(0.0)), 4).alias("max_peak_score"),
         F.lit("").alias("verdict"), F.lit("").alias("notes"), *extra,
     )
 
 
 def golden_json(golden: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    return golden.select(*keys, F.round("at", 2).alias("time_seconds"), "sources")
+    return golden.select(*keys, half_even(F.col("at"), 2).alias("time_seconds"), "sources")
 
 
 def vision_log(entries: DataFrame) -> DataFrame:
     """kind, window, verdict (null stays null) and whether the interval was kept."""
-    v = F.when(F.col("verdict").isNotNull(), F.col("verdict").withField("confidence", F.round("verdict.confidence", 3)))
-    return entries.select("kind", F.round("start", 2).alias("start_seconds"), F.round("end", 2).alias("end_seconds"), v.alias("verdict"), "kept")
+    v = F.when(F.col("verdict").isNotNull(), F.col("verdict").withField("confidence", half_even(F.col("verdict.confidence"), 3)))
+    return entries.select("kind", half_even(F.col("start"), 2).alias("start_seconds"), half_even(F.col("end"), 2).alias("end_seconds"), v.alias("verdict"), "kept")
 
 
 def audit_report(rows: DataFrame) -> DataFrame:
@@ -128,11 +131,11 @@ def routed_clips(clips: DataFrame, keep: Column) -> DataFrame:
     return clips.withColumn("path", F.when(keep, name).otherwise(F.concat(F.lit("pruned/"), name)))
 
 
-def plot_frame(trace: DataFrame, slices: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """A trace with whether each frame lies in a slice of its chunk."""
+def plot_frame(trace: DataFrame, slices: DataFrame, keys: list[str], at: str, width=60.0) -> DataFrame:
+    """A trace with whether each frame lies in a slice of its chunk; ``width`` as in range joins."""
     own = slices.select(*keys, "local_start", "local_end")
-    hit = trace.join(own, [*[trace[k] == own[k] for k in keys], trace[at] >= own["local_start"], trace[at] <= own["local_end"]], "left_semi").select(*keys, at).withColumn("shaded", F.lit(True))
-    return trace.join(hit.distinct(), [*keys, at], "left").withColumn("shaded", F.coalesce("shaded", F.lit(False)))
+    hit = points_in_intervals(trace.select(*keys, at).distinct(), own, keys, at, "local_start", "local_end", width, "left_semi").withColumn("shaded", F.lit(True))
+    return trace.join(hit, [*keys, at], "left").withColumn("shaded", F.coalesce("shaded", F.lit(False)))
 
 
 def posts(picks: DataFrame, cap_bytes: int) -> DataFrame:
@@ -148,6 +151,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_sheets(df: DataFrame, path: str) -> None:
-    """A sheet for each strategy, in directories strategy=..."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').partitionBy("strategy").csv(path)
+def write_events(events: DataFrame, path: str, directory: Column) -> None:
+    """An events.json of one array in each directory, as ``recordings.read_events_json`` scans them."""
+    shown = [c for c in ("start_seconds", "end_seconds", "duration_seconds", "peaks") if c in events.columns]
+    place = [F.col("idx" if "idx" in events.columns else "start_seconds").alias("_place")]
+    write_arrays(events.select(*shown, *place, directory.alias("_directory")), path, F.col("_directory"), ["_place"])
+
+
+def write_sheets(sheets: DataFrame, path: str, directory: Column, order: str = "clip_file") -> None:
+    """A review_sheet.csv in each directory, as ``recordings.read_review_root`` scans them."""
+    shown = [c for c in sheets.columns if c not in ("recording_id", "strategy", "idx")]
+    place = F.coalesce(F.regexp_extract(order, "([0-9]+)", 1).try_cast("long"), F.lit(0)).alias("_place")
+    write_tables(sheets.select(*shown, place, F.col(order).alias("_name"), directory.alias("_directory")), path, F.col("_directory"), ["_place", "_name"])
