@@ -17,7 +17,7 @@ from tidemark import model
 from tidemark.functions.text import clip_name
 from tidemark.operators import verdicts
 from tidemark.plans import pipelines
-from tidemark.sources import recordings, sinks
+from tidemark.sources import audio, recordings, sinks
 
 REC = ["recording_id"]
 
@@ -65,12 +65,14 @@ def settings_of(args) -> model.Settings:
 
 
 def chunks_and_samples(spark: SparkSession, settings: model.Settings) -> tuple[DataFrame, DataFrame]:
-    """Chunks of a folder of WAV files named like chunks, and their samples."""
+    """Chunks of a folder of WAV files named like chunks, and their samples at the settings' rate."""
     source = settings.input.source_dir
     chunks = recordings.discover(spark, source, "WAV")
-    chunks = recordings.with_durations(chunks, recordings.wav_durations(spark, f"{source}/*.[wW][aA][vV]"))
-    samples = recordings.wav_samples(spark, f"{source}/*.[wW][aA][vV]").join(chunks.select("source_path", *REC, "sequence"), "source_path")
-    return chunks, samples
+    chunks = recordings.with_durations(chunks, audio.wav_durations(spark, f"{source}/*.[wW][aA][vV]"))
+    named = chunks.select(recordings.plain_path(F.col("source_path")).alias("source_path"), *REC, "sequence")
+    samples = audio.read_wav(spark, source)
+    samples = samples.withColumn("source_path", recordings.plain_path(F.col("source_path"))).join(named, "source_path")
+    return chunks, audio.at_rate(samples, [*REC, "sequence"], settings.audio.sample_rate)
 
 
 def replies(spark: SparkSession, path: str | None, parse) -> callable:

@@ -8,16 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clip_name
 from tidemark.model import GOLDEN_CLUSTER_SECONDS, PRESETS, SWEEP_THRESHOLDS, Settings, preset
-from tidemark.operators import cache, golden, intervals, peaks, scoring, signal, verdicts
-from tidemark.package import ship
+from tidemark.operators import cache, golden, intervals, peaks, scoring, segments, signal, verdicts
 from tidemark.sources import sinks
+from tidemark.written import keep
 
 CHUNK = ["recording_id", "sequence"]
 WIDTH = 60.0  # seconds of a range join's buckets
@@ -30,62 +28,65 @@ def _frame_sizes(settings: Settings, rate: int, kind: str) -> tuple[int, int, in
     return max(least, int(own.window_seconds * rate)), max(1, int(own.hop_seconds * rate)), signal.odd_size(own.baseline_window_seconds, own.hop_seconds)
 
 
-def rms_trace(samples: DataFrame, settings: Settings) -> DataFrame:
-    """t, value (dBFS) and threshold of each frame of a chunk; times are frame starts."""
+def trace(samples: DataFrame, settings: Settings, kind: str, block_size: int | None = None) -> DataFrame:
+    """t, value, baseline and mad of each frame of a chunk, by segments of it.
+
+    kind: rms_energy (dBFS, times of frame starts) or onset_flux (times of frame centres).
+    The baseline starts anew in each chunk. ``block_size``: samples of a block, of a second
+    by default.
+    """
     rate = settings.audio.sample_rate
-    window, hop, size = _frame_sizes(settings, rate, "rms_energy")
+    window, hop, size = _frame_sizes(settings, rate, kind)
+    frames = segments.rms_frames if kind == "rms_energy" else segments.flux_frames
+    found = frames(samples, CHUNK, window, hop, block_size or rate)
+    found = signal.rolling_threshold(found, CHUNK, ["frame_idx"], "value", size, 0.0, index="frame_idx")
+    return found.select(*CHUNK, "frame_idx", (F.col("at") / rate).alias("t"), "value", "baseline", "mad")
 
-    def frames(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = (len(x) - window) // hop + 1
-        if n < 1:
-            return np.zeros(0), np.zeros(0)
-        power = np.concatenate([[0.0], np.cumsum(x.astype(float) ** 2)])
-        at = np.arange(n) * hop
-        rms = np.sqrt(np.maximum(power[at + window] - power[at], 0) / window + signal.EPS)
-        return at / rate, 20 * np.log10(rms + signal.EPS)
 
-    return _trace(samples, frames, size, settings.detection.rms_energy.threshold_sigma)
+def with_threshold(found: DataFrame, sigma: float) -> DataFrame:
+    return found.select(*CHUNK, "frame_idx", "t", "value", (F.col("baseline") + sigma * F.col("mad") * signal.MAD_SCALE).alias("threshold"))
 
 
-def flux_trace(samples: DataFrame, settings: Settings) -> DataFrame:
-    """t, value (spectral flux) and threshold of each frame of a chunk; times are frame centres."""
-    rate = settings.audio.sample_rate
-    window, hop, size = _frame_sizes(settings, rate, "onset_flux")
+def rms_trace(samples: DataFrame, settings: Settings) -> DataFrame:
+    """t, value (dBFS) and threshold of each frame of a chunk."""
+    return with_threshold(trace(samples, settings, "rms_energy"), settings.detection.rms_energy.threshold_sigma)
 
-    def frames(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = min(window, len(x))  # a short input shortens the window, and the hop with it
-        step = hop - (window - size)
-        if size < 2 or step < 1:
-            return np.zeros(0), np.zeros(0)
-        at, magnitude = signal.stft_magnitudes(x, size, step)
-        return at / rate, np.maximum(np.diff(magnitude, axis=0, prepend=magnitude[:1]), 0).sum(1)
 
-    return _trace(samples, frames, size, settings.detection.onset_flux.threshold_sigma)
+def flux_trace(samples: DataFrame, settings: Settings) -> DataFrame:
+    """t, value (spectral flux) and threshold of each frame of a chunk."""
+    return with_threshold(trace(samples, settings, "onset_flux"), settings.detection.onset_flux.threshold_sigma)
 
 
-def _trace(samples: DataFrame, frames: Callable, size: int, sigma: float) -> DataFrame:
-    """A chunk is a group: the baseline starts anew in each."""
+#: What each strategy looks at.
+SIGNALS = {"rms_energy": ("rms_energy",), "onset_flux": ("onset_flux",), "combined": ("onset_flux", "rms_energy")}
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate(pdf.sort_values("block_idx")["block"].to_list())
-        t, v = frames(x)
-        base = signal.rolling_median(v, size) if len(v) else v
-        mad = signal.rolling_median(np.abs(v - base), size) if len(v) else v
-        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "sequence": pdf["sequence"].iloc[0], "frame_idx": np.arange(len(v)), "t": t, "value": v, "threshold": base + sigma * mad * signal.MAD_SCALE})
 
-    ship(samples.sparkSession)
-    return samples.groupBy(*CHUNK).applyInPandas(one, "recording_id string, sequence int, frame_idx long, t double, value double, threshold double")
+def traces(samples: DataFrame, wanted: list[Settings]) -> dict[tuple, DataFrame]:
+    """The traces that some settings need, each made once and written: thresholds differ later, frames don't."""
+    found: dict[tuple, DataFrame] = {}
+    for s in wanted:
+        for kind in SIGNALS.get(s.detection.strategy, ()):
+            key = (kind, s.audio.sample_rate, *_frame_sizes(s, s.audio.sample_rate, kind))
+            if key not in found:
+                found[key] = keep(trace(samples, s, kind), f"trace-{kind}")
+    return found
 
 
-def chunk_peaks(samples: DataFrame, settings: Settings) -> DataFrame:
-    """Peaks (t, score) on each chunk's own axis, by the settings' strategy."""
+def chunk_peaks(samples: DataFrame, settings: Settings, made: dict[tuple, DataFrame] | None = None) -> DataFrame:
+    """Peaks (t, score) on each chunk's own axis, by the settings' strategy; from ``traces`` where they are given."""
     s, d = settings, settings.detection
+
+    def own(kind: str) -> DataFrame:
+        sigma = getattr(d, kind).threshold_sigma
+        key = (kind, s.audio.sample_rate, *_frame_sizes(s, s.audio.sample_rate, kind))
+        return with_threshold(made[key] if made else trace(samples, s, kind), sigma)
+
     if d.strategy == "rms_energy":
-        found = peaks.analyze("rms_energy", rms_trace(samples, s), CHUNK, ["frame_idx"], d.rms_energy.min_score_dbfs, d.rms_energy.min_absolute_dbfs)
+        found = peaks.analyze("rms_energy", own("rms_energy"), CHUNK, ["frame_idx"], d.rms_energy.min_score_dbfs, d.rms_energy.min_absolute_dbfs)
     elif d.strategy == "onset_flux":
-        found = peaks.analyze("onset_flux", flux_trace(samples, s), CHUNK, ["frame_idx"], d.onset_flux.min_score)
+        found = peaks.analyze("onset_flux", own("onset_flux"), CHUNK, ["frame_idx"], d.onset_flux.min_score)
     else:
-        found = peaks.analyze(d.strategy, flux_trace(samples, s), rms_trace(samples, s), CHUNK, "t", d.combined.window_before_seconds, d.combined.window_after_seconds, WIDTH, d.onset_flux.min_score, d.rms_energy.min_score_dbfs, d.rms_energy.min_absolute_dbfs)
+        found = peaks.analyze(d.strategy, own("onset_flux"), own("rms_energy"), CHUNK, "t", d.combined.window_before_seconds, d.combined.window_after_seconds, WIDTH, d.onset_flux.min_score, d.rms_energy.min_score_dbfs, d.rms_energy.min_absolute_dbfs)
     return found.select(*CHUNK, "t", "score")
 
 
@@ -94,10 +95,10 @@ def after_warmup(found: DataFrame, at: str, warmup) -> DataFrame:
     return found.where(F.col(at) >= warmup)
 
 
-def detect(samples: DataFrame, chunks: DataFrame, settings: Settings) -> DataFrame:
+def detect(samples: DataFrame, chunks: DataFrame, settings: Settings, made: dict[tuple, DataFrame] | None = None) -> DataFrame:
     """Merged intervals (idx, start, end, peaks) of each recording, on its common axis."""
     tl = settings.timeline
-    local = chunk_peaks(samples, settings)
+    local = chunk_peaks(samples, settings, made)
     glob = local.join(chunks.select(*CHUNK, "global_start_seconds"), CHUNK).withColumn("time_seconds", F.col("global_start_seconds") + F.col("t"))
     glob = after_warmup(glob, "time_seconds", tl.warmup_seconds).select("recording_id", "time_seconds", "score")
     padded = intervals.pad_peaks(glob, "time_seconds", tl.lookback_seconds, tl.post_peak_seconds)
@@ -107,10 +108,14 @@ def detect(samples: DataFrame, chunks: DataFrame, settings: Settings) -> DataFra
 
 
 def batch_review(samples: DataFrame, chunks: DataFrame, settings: Settings, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Intervals of every preset (strategy), and the pieces of what none covers."""
-    found = None
-    for name in names or list(PRESETS):  # a handful of presets: one plan of a union
-        own = detect(samples, chunks, preset(settings, name)).withColumn("strategy", F.lit(name))
+    """Intervals of every preset (strategy), and the pieces of what none covers.
+
+    Samples are read once for each distinct signal, not for each preset.
+    """
+    named = {name: preset(settings, name) for name in names or list(PRESETS)}
+    made, found = traces(samples, list(named.values())), None
+    for name, own in named.items():  # a handful of presets: one plan of a union
+        own = detect(samples, chunks, own, made).withColumn("strategy", F.lit(name))
         found = own if found is None else found.unionByName(own)
     total = chunks.groupBy("recording_id").agg(F.sum("duration_seconds").alias("total"))
     union = intervals.merge_intervals(found.select("recording_id", "start", "end"), ["recording_id"], 0.0, 0.0)
@@ -177,7 +182,7 @@ def refine(found: DataFrame, gaps: DataFrame, confirm: Callable[[DataFrame], Dat
 def vision_compare(found: DataFrame, cached: DataFrame, classify: Callable[[DataFrame], DataFrame], reference: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """A sweep of the drop threshold over cached verdicts; only missing ones are asked for. Also the new cache."""
     rows = cache.resume(found, cached.withColumnsRenamed({"start_seconds": "start", "end_seconds": "end"}), "idx", {"start": 0.5}, "verdict")
-    asked = classify(cache.todo(rows, "verdict").drop("verdict"))
+    asked = keep(classify(cache.todo(rows, "verdict").drop("verdict")), "verdicts")  # asked for once
     every = rows.where(F.col("verdict").isNotNull()).unionByName(asked, allowMissingColumns=True)
     steps = found.sparkSession.createDataFrame([(x,) for x in SWEEP_THRESHOLDS], "threshold double")
     judged = every.select(*keys, "start", "end", "verdict.is_event", "verdict.confidence")
@@ -195,9 +200,9 @@ def label_audit(rows: DataFrame, cached: DataFrame, describe: Callable, judge: C
     got = cache.resume(got, cached, "idx", {}, "judge")
     done = got.where(F.col("describe").isNotNull() & F.col("judge").isNotNull())
     described = got.where("describe is null").drop("describe", "judge")
-    described = describe(described).withColumn("judge", F.lit(None).cast(dict(cached.dtypes)["judge"])) if describe else got.where("describe is null")
+    described = keep(describe(described), "descriptions").withColumn("judge", F.lit(None).cast(dict(cached.dtypes)["judge"])) if describe else got.where("describe is null")
     todo = got.where("describe is not null and judge is null").unionByName(described)
-    judged = judge(todo.drop("judge"))
+    judged = keep(judge(todo.drop("judge")), "judgements")
     every = done.unionByName(judged)
     flagged = every.where(verdicts.is_flagged(F.col("judge.agreement"), F.col("judge.distance_score"), settings.label_audit.flag_distance_threshold))
     order = F.coalesce("judge.distance_score", F.lit(1.0)).desc()
@@ -207,7 +212,7 @@ def label_audit(rows: DataFrame, cached: DataFrame, describe: Callable, judge: C
 def describe_only(rows: DataFrame, cached: DataFrame, describe: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Rows with a description, asked for only where the cache has none, and the new cache; nothing is judged."""
     got = cache.resume(rows, cached, "idx", {"strategy": 0, "clip_file": 0}, "describe")
-    asked = describe(cache.todo(got, "describe").drop("describe"))
+    asked = keep(describe(cache.todo(got, "describe").drop("describe")), "descriptions")
     every = got.where("describe is not null").unionByName(asked)
     fresh = asked.where("describe is not null").select(*cached.columns)
     return every, cache.upsert(cached, fresh, ["idx"])

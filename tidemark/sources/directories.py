@@ -22,6 +22,8 @@ from tidemark.package import ship
 
 def filesystem(path: str) -> tuple[filesystems.FileSystem, str]:
     """The file system of a path or URI, and the path on it."""
+    if path.startswith("file:"):
+        return filesystems.LocalFileSystem(), "/" + path[5:].lstrip("/")
     if ":/" in path:
         return filesystems.FileSystem.from_uri(path)
     return filesystems.LocalFileSystem(), path

@@ -7,9 +7,7 @@ from __future__ import annotations
 
 import csv
 import io
-import wave
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,48 +67,9 @@ def redirect_proxies(chunks: DataFrame, cached: DataFrame) -> DataFrame:
     return out.withColumn("proxy_path", F.coalesce("__local", "proxy_path")).drop("__name", "__local")
 
 
-def wav_info(data: bytes) -> tuple[int, int, int]:
-    """Sample rate, channels and frames of a WAV file."""
-    with wave.open(io.BytesIO(data)) as w:
-        return w.getframerate(), w.getnchannels(), w.getnframes()
-
-
-def wav_durations(spark: SparkSession, paths: str) -> DataFrame:
-    """source_path and duration_seconds of WAV files, from their headers."""
-
-    def read(batches):
-        for batch in batches:
-            found = [wav_info(x.as_py()) for x in batch.column("content")]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([n / r for r, _, n in found], pa.float64())], ["source_path", "duration_seconds"])
-
-    ship(spark)
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(read, "source_path string, duration_seconds double")
-
-
-def wav_samples(spark: SparkSession, paths: str, block_seconds: float = 1.0) -> DataFrame:
-    """source_path, sample_rate, block_idx and block: samples as floats in [-1, 1), channels averaged.
-
-    A chunk becomes blocks, never one row a sample.
-    """
-
-    def read(batches):
-        for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content")):
-                with wave.open(io.BytesIO(content.as_py())) as w:
-                    rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
-                    if width not in (1, 2, 4):
-                        raise ValueError(f"{path}: samples of 8, 16 or 32 bits are needed")
-                    size, k = max(1, int(rate * block_seconds)), 0
-                    while raw := w.readframes(size):
-                        whole = np.frombuffer(raw, {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype(np.float32)
-                        whole = (whole - 128) / 128 if width == 1 else whole / (1 << (8 * width - 1))
-                        block = whole.reshape(-1, channels).mean(1, dtype=np.float32)
-                        yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([rate], pa.int32()), pa.array([k], pa.int64()), pa.array([block], pa.list_(pa.float32()))], ["source_path", "sample_rate", "block_idx", "block"])
-                        k += 1
-
-    ship(spark)
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(read, "source_path string, sample_rate int, block_idx long, block array<float>")
+def plain_path(path: Column) -> Column:
+    """A path as others name it too: local ones without their scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
 def _strategy_of_path() -> Column:
