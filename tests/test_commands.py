@@ -33,11 +33,35 @@ def folder(tmp_path_factory):
     said.write_text("\n".join(json.dumps({"clip_file": f"clip_00{k}.mp4", "reply": r}) for k, r in ((1, '{"is_event": false, "confidence": 0.9}'), (2, '{"is_event": true, "confidence": "0.8", "caption": "a/b"}'))))
     gold = top.parent / "golden.json"
     gold.write_text(json.dumps([{"time_seconds": 45.0, "sources": ["x"]}, {"time_seconds": 90.0, "sources": []}, {"time_seconds": 119.0, "sources": []}], indent=1))
-    return str(top), str(config), str(said), str(gold)
+    return str(top), str(config), str(said), str(gold), str(top.parent / "out")
 
 
 def command(spark, folder, *rest):
-    return cli.run(spark, cli.parser().parse_args(["--config", folder[1], "--source-dir", folder[0], *rest]))
+    return cli.run(spark, cli.parser().parse_args(["--config", folder[1], "--source-dir", folder[0], "--out", folder[4], *rest]))
+
+
+def test_written_commands_are_read_back(spark, folder, tmp_path):
+    out = str(tmp_path / "written")
+    for name in ("detect", "batch-review", "review-sheet"):
+        args = cli.parser().parse_args(["--config", folder[1], "--source-dir", folder[0], "--out", out, name])
+        for key, frame in cli.run(spark, args).items():
+            cli.write(key, frame, f"{out}/{name}/{key}")
+    events = recordings.read_events_json(spark, f"{out}/detect/events/*/events.json")
+    assert [(r["idx"], len(r["peaks"])) for r in events.orderBy("idx").collect()] == [(1, 1), (2, 1), (3, 1)]
+    sheet = recordings.read_review_root(spark, f"{out}/review-sheet/sheet")
+    assert [r["start_seconds"] for r in sheet.orderBy("idx").collect()] == [r["start_seconds"] for r in events.orderBy("idx").collect()]
+    by = {r["strategy"]: r["n"] for r in recordings.read_events_json(spark, f"{out}/batch-review/events/*/*/events.json").groupBy("strategy").agg(F.count("*").alias("n")).collect()}
+    assert by["crowd_loose"] == 3
+
+
+def test_comparisons_go_on_from_the_cache(spark, folder, tmp_path):
+    cache, none = ["--cache", str(tmp_path / "cache")], tmp_path / "none.json"
+    none.write_text("")
+    full = command(spark, folder, *cache, "vision-compare", "--golden", folder[3], "--replies", folder[2])["sweep"].collect()
+    again = command(spark, folder, *cache, "vision-compare", "--golden", folder[3], "--replies", str(none))["sweep"].collect()  # nothing is told now
+    assert full == again
+    fresh = command(spark, folder, "--cache", str(tmp_path / "other"), "vision-compare", "--golden", folder[3], "--replies", str(none))["sweep"].collect()
+    assert fresh != full
 
 
 def test_detect_and_render(spark, folder):

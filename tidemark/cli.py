@@ -18,8 +18,10 @@ from tidemark.functions.text import clip_name
 from tidemark.operators import verdicts
 from tidemark.plans import pipelines
 from tidemark.sources import audio, recordings, sinks
+from tidemark.sources.log import CacheLog
 
 REC = ["recording_id"]
+CLIP = "idx long, strategy string, clip_file string"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--source-dir")
     top.add_argument("--strategy")
     top.add_argument("--out", default="output")
+    top.add_argument("--cache", help="folder of what models have said; beside the results where not given")
     sub = top.add_subparsers(dest="command", required=True)
     for name in ("detect", "render", "batch-review", "export"):
         sub.add_parser(name)
@@ -88,8 +91,14 @@ def replies(spark: SparkSession, path: str | None, parse) -> callable:
     return say
 
 
+def cache_of(spark: SparkSession, args, name: str, columns: str, parsed: dict) -> CacheLog:
+    """The log of what a model has said of each clip."""
+    schema = spark.createDataFrame([], columns).withColumns(parsed).schema if parsed else columns
+    return CacheLog(spark, f"{args.cache or args.out + '/cache'}/{name}", schema, ["idx"])
+
+
 def run(spark: SparkSession, args) -> dict[str, DataFrame]:
-    """The command's results by name; nothing is written yet."""
+    """The command's results by name; only what models say is written already, to the cache."""
     s, c = settings_of(args), args.command
     if c == "score":
         scores, lines = pipelines.score(recordings.read_sheets(spark, args.sheets).withColumn("recording_id", F.lit("")), REC)
@@ -105,9 +114,9 @@ def run(spark: SparkSession, args) -> dict[str, DataFrame]:
         return {"picks": pipelines.export_picks(sheet, wanted, done)}
     if c == "label-audit":
         rows = recordings.read_sheets(spark, args.sheets).withColumns({"idx": F.xxhash64("strategy", "clip_file"), "start": F.col("start_seconds"), "end": F.col("end_seconds")})
-        empty = rows.limit(0).select("idx", "strategy", "clip_file").withColumns({"describe": verdicts.parse_describe(F.lit("")), "judge": verdicts.parse_judge(F.lit(""))})
+        log = cache_of(spark, args, "audit", CLIP, {"describe": verdicts.parse_describe(F.lit("")), "judge": verdicts.parse_judge(F.lit(""))})
         say, judge = replies(spark, args.replies, verdicts.parse_describe), replies(spark, args.judgements, verdicts.parse_judge)
-        every, flagged = pipelines.label_audit(rows, empty, lambda r: say(r, "describe"), lambda r: judge(r, "judge"), s, args.limit)
+        every, flagged = pipelines.label_audit(rows, log.read(), lambda r: say(r, "describe"), lambda r: judge(r, "judge"), s, args.limit, log)
         return {"audit": sinks.audit_report(every), "flagged": sinks.audit_report(flagged)}
     chunks, samples = chunks_and_samples(spark, s)
     if c == "batch-review":
@@ -134,14 +143,15 @@ def run(spark: SparkSession, args) -> dict[str, DataFrame]:
         if args.lrf_cache_dir:
             chunks = recordings.redirect_proxies(chunks, spark.read.format("binaryFile").load(args.lrf_cache_dir).select("path"))
         say = replies(spark, args.replies, verdicts.parse_describe)
-        cached = spark.createDataFrame([], "idx long, strategy string, clip_file string").withColumn("describe", verdicts.parse_describe(F.lit("")))
-        return pipelines.pre_label(found, chunks, cached, lambda r: say(r, "describe"), s)
+        log = cache_of(spark, args, "descriptions", CLIP, {"describe": verdicts.parse_describe(F.lit(""))})
+        out = pipelines.pre_label(found, chunks, log.read(), lambda r: say(r, "describe"), s, log)
+        return {k: v for k, v in out.items() if k != "cache"}
     gold = recordings.read_golden(spark, args.golden).join(found.select(*REC).distinct())  # of one recording
     say = replies(spark, args.replies, verdicts.parse_verdict)
     if c == "vision-compare":
-        cached = spark.createDataFrame([], model.VERDICT_CACHE)
-        table, fresh = pipelines.vision_compare(found, cached, lambda r: say(r, "verdict"), gold, REC)
-        return {"sweep": sinks.sweep_lines(table).orderBy("no"), "cache": fresh}
+        log = cache_of(spark, args, "verdicts", model.VERDICT_CACHE, {})
+        table, _ = pipelines.vision_compare(found, log.read(), lambda r: say(r, "verdict"), gold, REC, log)
+        return {"sweep": sinks.sweep_lines(table).orderBy("no")}
     game = chunks.agg(F.sum("duration_seconds")).first()[0] or 0.0
     kept = None
     if args.replies:

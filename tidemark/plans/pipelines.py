@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import clip_name
 from tidemark.model import GOLDEN_CLUSTER_SECONDS, PRESETS, SWEEP_THRESHOLDS, Settings, preset
 from tidemark.operators import cache, golden, intervals, peaks, scoring, segments, signal, verdicts
-from tidemark.sources import sinks
+from tidemark.sources import outbox, sinks
+from tidemark.sources.log import CacheLog
 from tidemark.written import keep
 
 CHUNK = ["recording_id", "sequence"]
@@ -179,8 +180,11 @@ def refine(found: DataFrame, gaps: DataFrame, confirm: Callable[[DataFrame], Dat
     return merged, sinks.vision_log(log)
 
 
-def vision_compare(found: DataFrame, cached: DataFrame, classify: Callable[[DataFrame], DataFrame], reference: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """A sweep of the drop threshold over cached verdicts; only missing ones are asked for. Also the new cache."""
+def vision_compare(found: DataFrame, cached: DataFrame, classify: Callable[[DataFrame], DataFrame], reference: DataFrame, keys: list[str], log: CacheLog | None = None) -> tuple[DataFrame, DataFrame]:
+    """A sweep of the drop threshold over cached verdicts; only missing ones are asked for. Also the new cache.
+
+    New verdicts are committed to ``log``, where one is given.
+    """
     rows = cache.resume(found, cached.withColumnsRenamed({"start_seconds": "start", "end_seconds": "end"}), "idx", {"start": 0.5}, "verdict")
     asked = keep(classify(cache.todo(rows, "verdict").drop("verdict")), "verdicts")  # asked for once
     every = rows.where(F.col("verdict").isNotNull()).unionByName(asked, allowMissingColumns=True)
@@ -188,11 +192,16 @@ def vision_compare(found: DataFrame, cached: DataFrame, classify: Callable[[Data
     judged = every.select(*keys, "start", "end", "verdict.is_event", "verdict.confidence")
     table = scoring.sweep(judged, steps, reference, keys, WIDTH)
     fresh = asked.where(F.col("verdict").isNotNull()).select("idx", F.col("start").alias("start_seconds"), F.col("end").alias("end_seconds"), "verdict")
+    if log:
+        log.append(fresh)
     return table, cache.upsert(cached, fresh, ["idx"])
 
 
-def label_audit(rows: DataFrame, cached: DataFrame, describe: Callable, judge: Callable, settings: Settings, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """All labelled rows with a description and a judgement, furthest apart first, and the flagged ones."""
+def label_audit(rows: DataFrame, cached: DataFrame, describe: Callable, judge: Callable, settings: Settings, limit: int | None = None, log: CacheLog | None = None) -> tuple[DataFrame, DataFrame]:
+    """All labelled rows with a description and a judgement, furthest apart first, and the flagged ones.
+
+    New descriptions are committed to ``log`` before any is judged, and judgements after.
+    """
     labelled = rows.where(F.trim("verdict") != "").withColumn("verdict", scoring.normal_verdict(F.col("verdict")))
     if limit is not None:
         labelled = labelled.orderBy("idx").limit(limit)
@@ -201,27 +210,33 @@ def label_audit(rows: DataFrame, cached: DataFrame, describe: Callable, judge: C
     done = got.where(F.col("describe").isNotNull() & F.col("judge").isNotNull())
     described = got.where("describe is null").drop("describe", "judge")
     described = keep(describe(described), "descriptions").withColumn("judge", F.lit(None).cast(dict(cached.dtypes)["judge"])) if describe else got.where("describe is null")
+    if log:
+        log.append(described.where("describe is not null").select(*cached.columns))
     todo = got.where("describe is not null and judge is null").unionByName(described)
     judged = keep(judge(todo.drop("judge")), "judgements")
+    if log:
+        log.append(judged.where("judge is not null").select(*cached.columns))
     every = done.unionByName(judged)
     flagged = every.where(verdicts.is_flagged(F.col("judge.agreement"), F.col("judge.distance_score"), settings.label_audit.flag_distance_threshold))
     order = F.coalesce("judge.distance_score", F.lit(1.0)).desc()
     return every.orderBy(order, "idx"), flagged.orderBy(order, "idx")
 
 
-def describe_only(rows: DataFrame, cached: DataFrame, describe: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def describe_only(rows: DataFrame, cached: DataFrame, describe: Callable[[DataFrame], DataFrame], log: CacheLog | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows with a description, asked for only where the cache has none, and the new cache; nothing is judged."""
     got = cache.resume(rows, cached, "idx", {"strategy": 0, "clip_file": 0}, "describe")
     asked = keep(describe(cache.todo(got, "describe").drop("describe")), "descriptions")
     every = got.where("describe is not null").unionByName(asked)
     fresh = asked.where("describe is not null").select(*cached.columns)
+    if log:
+        log.append(fresh)
     return every, cache.upsert(cached, fresh, ["idx"])
 
 
-def pre_label(found: DataFrame, chunks: DataFrame, cached: DataFrame, describe: Callable[[DataFrame], DataFrame], settings: Settings) -> dict[str, DataFrame]:
+def pre_label(found: DataFrame, chunks: DataFrame, cached: DataFrame, describe: Callable[[DataFrame], DataFrame], settings: Settings, log: CacheLog | None = None) -> dict[str, DataFrame]:
     """For a recording without labels: events, clips to encode, a sheet with descriptions, and the new cache."""
     rows = found.withColumns({"strategy": F.lit("candidates"), "clip_file": clip_name(F.col("idx"))})
-    described, fresh = describe_only(rows, cached, describe)
+    described, fresh = describe_only(rows, cached, describe, log)
     review = settings.review
     clips = sinks.encode_manifest(render(found, chunks, settings.input.use_lrf_for_detection), review.max_width, review.fps, review.crf, review.preset)
     sheet = sinks.with_ai_columns(sinks.review_sheet(rows, ["recording_id"]), described, ["recording_id", "clip_file"])
@@ -273,4 +288,13 @@ def export_picks(sheet: DataFrame, wanted: DataFrame, written: DataFrame) -> Dat
 
 
 def post_picks(picks: DataFrame, sent: DataFrame, settings: Settings) -> DataFrame:
-    return sinks.posts(cache.outbox(picks, sent, ["clip_file"]), int(settings.telegram.max_file_size_mb * 1024 * 1024))
+    return sinks.posts(cache.outbox(picks, sent, ["clip_file"]), _cap(settings))
+
+
+def _cap(settings: Settings) -> int:
+    return int(settings.telegram.max_file_size_mb * 1024 * 1024)
+
+
+def post_all(picks: DataFrame, send: Callable[[dict], int], path: str, settings: Settings, dry_run: bool = False) -> DataFrame:
+    """Send the picks (clip_file, size, caption ...) by ``send``, each once ever; what became of each."""
+    return outbox.post(picks, send, path, _cap(settings), settings.telegram.max_retries, dry_run)
