@@ -163,7 +163,7 @@ SELECT tr.rec, CAST(tr.day AS BIGINT) AS day, event_id, EXISTS (SELECT 1 FROM x
 def plot_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     trace = _events(spark, sf_dir).select("rec", F.floor(F.col("t") / DAY).alias("day"), "event_id", (F.col("t") % DAY).alias("local"))
     own = interval_chunk_slices(spark, sf_dir).where("strategy = 'error'")
-    return sinks.plot_frame(trace, own, ["rec", "day"], "local").select("rec", "day", "event_id", "shaded")
+    return sinks.plot_frame(trace, own, ["rec", "day"], "local", WIDTH).select("rec", "day", "event_id", "shaded")
 
 
 @query(f"""WITH {_MERGED}, v AS (SELECT rec, idx, s // {SECOND} AS s, idx % 11 <> 0 AND (idx % 121) / 100.0 <= 1 AS ok, idx % 3 = 0 AS is_event, (idx % 121) / 100.0 AS confidence FROM merged WHERE strategy = 'error'),

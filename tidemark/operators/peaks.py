@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import scan
-from tidemark.operators.ranges import points_in_intervals
+from tidemark.operators.ranges import levels_for, points_in_intervals
 
 
 def rms_mask(value: str, threshold: str, min_score: float, floor: float) -> Column:
@@ -42,7 +42,7 @@ def run_apexes(trace: DataFrame, keys: list[str], order: list[str], mask: Column
 def corroborated(events: DataFrame, others: DataFrame, keys: list[str], at: str, before, after, width) -> DataFrame:
     """Events with one of ``others`` in [at - before, at + after], both ends included."""
     windows = others.select(*keys, (F.col(at) - after).alias("start"), (F.col(at) + before).alias("end"))
-    return points_in_intervals(events, windows, keys, at, "start", "end", width, "left_semi")
+    return points_in_intervals(events, windows, keys, at, "start", "end", width, "left_semi", levels_for(before + after, width))
 
 
 #: Strategy name -> function of a trace (and its settings) that returns peaks.
