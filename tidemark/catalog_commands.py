@@ -283,3 +283,6 @@ def golden_from_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     fn = gaps.select(*sheet, F.when(F.col("idx") % 2 == 0, "FN").otherwise("TN").alias("verdict"), note.alias("notes"))
     out = pipelines.golden_from_sheets(tp.unionByName(fn), nested.select(*KEYS, "idx", peaks.alias("peaks")), ["rec"], 43200.0)
     return out.select("rec", "cluster", F.round("at", 3).alias("at"), F.array_join("sources", ",").alias("sources"))
+
+
+from tidemark import catalog_signals  # noqa: E402, F401  registers the queries of whole commands

@@ -120,7 +120,7 @@ def run(spark: SparkSession, args) -> dict[str, DataFrame]:
         return {"audit": sinks.audit_report(every), "flagged": sinks.audit_report(flagged)}
     chunks, samples = chunks_and_samples(spark, s)
     if c == "batch-review":
-        found, negatives = pipelines.batch_review(samples, chunks, s)
+        found, negatives = pipelines.batch_review(samples, chunks, s, named=model.load_presets(s, args.presets) if args.presets else None)
         return {"events": sinks.events_json(found, keys=("recording_id", "strategy", "idx")), "negatives": negatives, "skim": sinks.skim_manifest(chunks, REC, recordings.source_of(True))}
     found = pipelines.detect(samples, chunks, s)
     if c == "detect":

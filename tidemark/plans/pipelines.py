@@ -108,12 +108,13 @@ def detect(samples: DataFrame, chunks: DataFrame, settings: Settings, made: dict
     return out.withColumn("max_value", F.array_max(F.transform("peaks", lambda p: p["score"])))
 
 
-def batch_review(samples: DataFrame, chunks: DataFrame, settings: Settings, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def batch_review(samples: DataFrame, chunks: DataFrame, settings: Settings, names: list[str] | None = None, named: dict[str, Settings] | None = None) -> tuple[DataFrame, DataFrame]:
     """Intervals of every preset (strategy), and the pieces of what none covers.
 
-    Samples are read once for each distinct signal, not for each preset.
+    Samples are read once for each distinct signal, not for each preset. ``named`` are
+    settings in the place of the built-in presets'.
     """
-    named = {name: preset(settings, name) for name in names or list(PRESETS)}
+    named = named or {name: preset(settings, name) for name in names or list(PRESETS)}
     made, found = traces(samples, list(named.values())), None
     for name, own in named.items():  # a handful of presets: one plan of a union
         own = detect(samples, chunks, own, made).withColumn("strategy", F.lit(name))
