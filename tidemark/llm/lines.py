@@ -39,6 +39,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 10
 
 SHARD_KEYS, COMPACT = 400_000, 8
+#: A key is hot with more than this part of all references, so there are no more hot keys than that.
+HOT_PART = 4096
 
 _KEYS = "h1 long, h2 long, n_refs long, keeper long, last long"
 _COUNTS = f"{_KEYS}, level int, version int"
@@ -144,6 +146,17 @@ class LineIndex:
         r, t = self.refs, self.tombstones.select(F.col("doc_id").alias("id"), F.col("version").alias("until"))
         return r.join(t, (r["doc_id"] == t["id"]) & (r["version"] < t["until"]), "left_anti")
 
+    def _refs_of(self, keys: DataFrame, *columns: str) -> DataFrame:
+        """The live references of some keys (h1, h2, n_refs), with columns of theirs.
+
+        Hot keys, HOT_PART at most, are broadcast; a common line's references stay where they are.
+        """
+        refs, n = self._live_refs(), keys.agg(F.sum("n_refs")).first()[0] or 0
+        is_hot = F.col("n_refs") * HOT_PART > n
+        hot, rest = (keys.where(own).select("h1", "h2", *columns) for own in (is_hot, ~is_hot))
+        cold = refs.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"])
+        return refs.join(F.broadcast(hot), ["h1", "h2"]).unionByName(cold)
+
     def live(self) -> DataFrame:
         """h1, h2, n_refs, keeper, last, level: each live key's latest state."""
         if self.changes <= 1:
@@ -194,8 +207,8 @@ class LineIndex:
         dead = ids.withColumn("version", F.lit(self.version))
         self.tombstones = dead if self.tombstones is None else self.tombstones.unionByName(dead)
         # Keys whose smallest or largest document went look for it among the references left.
-        ends = state.where("n_refs > 0 and (low = keeper or high = last)").select("h1", "h2")
-        ends = self._live_refs().join(ends, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("new_keeper"), F.max("doc_id").alias("new_last"))
+        ends = state.where("n_refs > 0 and (low = keeper or high = last)").select("h1", "h2", "n_refs")
+        ends = self._refs_of(ends).groupBy("h1", "h2").agg(F.min("doc_id").alias("new_keeper"), F.max("doc_id").alias("new_last"))
         found = state.join(ends, ["h1", "h2"], "left").select("h1", "h2", "n_refs", F.coalesce("new_keeper", "keeper").alias("keeper"), F.coalesce("new_last", "last").alias("last"), "level")
         found = self._save(found, "counts")
         self._refit(self._save(self._step(found.where("n_refs = 0"), _take, _PUT), "put"))
@@ -219,8 +232,8 @@ class LineIndex:
 
     def repeated(self) -> DataFrame:
         """The lines to drop, by document and text: those of keys in two documents or more, but for the smallest doc_id's."""
-        shared = self._save(self.live().where("keeper != last").select("h1", "h2", "keeper"), "shared")
-        hits = self._live_refs().join(shared, ["h1", "h2"]).where("doc_id != keeper")
+        shared = self._save(self.live().where("keeper != last").select("h1", "h2", "n_refs", "keeper"), "shared")
+        hits = self._refs_of(shared, "keeper").where("doc_id != keeper")
         return hits.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("gone"))
 
     def strike(self, docs: DataFrame) -> DataFrame:
