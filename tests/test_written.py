@@ -80,3 +80,34 @@ def test_cached_files_of_one_name_give_one_chunk(spark):
     chunks = spark.createDataFrame([("r", "d/a.LRF"), ("r", None)], "recording_id string, proxy_path string")
     cached = spark.createDataFrame([("x/a.LRF",), ("y/a.LRF",)], "path string")
     assert sorted(r["proxy_path"] or "" for r in recordings.redirect_proxies(chunks, cached).collect()) == ["", "x/a.LRF"]
+
+
+def test_sheets_of_all_directories(spark, found, tmp_path):
+    from tidemark import cli
+    from tidemark.plans import pipelines
+
+    root, out = str(tmp_path / "root"), str(tmp_path / "out")
+    sinks.write_events(sinks.events_json(found, keys=("strategy", "idx")), root, F.col("strategy"))
+    (tmp_path / "root" / "bare").mkdir()
+    prior = tmp_path / "prior" / "old"
+    prior.mkdir(parents=True)
+    prior.joinpath("review_sheet.csv").write_text("clip_file,start_seconds,end_seconds,verdict,notes\nclip_001.mp4,6,7.5,tp,\nclip_002.mp4,20,30,fp,dull\nclip_003.mp4,21,22,fn,\n")
+    cli.main(["--out", out, "review-sheet", "--root", root, "--prior-root", str(tmp_path / "prior")])
+    rows = {(r["strategy"], r["idx"]): r for r in recordings.read_review_root(spark, root).collect()}
+    assert len(rows) == 600 and not (tmp_path / "root" / "bare" / "review_sheet.csv").exists()
+    assert (rows["s6", 1]["start_seconds"], rows["s6", 1]["guess"], rows["s6", 1]["guess_basis"]) == (6.0, "TP", "old=TP")
+    assert (rows["s0", 4]["start_seconds"], rows["s0", 4]["guess"], rows["s0", 4]["guess_basis"]) == (21.0, "AMBIGUOUS", "old=FP (dull); old=FN")
+    assert rows["s5", 9]["guess_basis"] == "no overlapping prior label" and rows["s0", 1]["verdict"] == ""
+    plain = pipelines.all_review_sheets(recordings.read_events_json(spark, f"{root}/*/events.json"))
+    assert "guess" not in plain.columns and plain.count() == 600
+
+
+def test_manifests_of_parts(spark):
+    part = "array<struct<sequence: int, source: string, local_start: double, duration: double>>"
+    clips = spark.createDataFrame([("r", 1, [(1, "a", 5.0, 10.0)], "clip_001.mp4"), ("r", 2, [(1, "it's", 50.0, 9.0), (2, "b", 0.0, 1.0)], "it's.mp4"), ("r", 3, [(1, "c", 0.0, 0.0)], "clip_003.mp4")], f"rec string, idx long, parts {part}, clip_file string")
+    got = {r["idx"]: r for r in sinks.join_manifest(clips, True).collect()}
+    assert (got[1]["join_by"], got[1]["part_files"], got[1]["file_list"]) == ("rename", ["clip_001.mp4"], None)
+    assert (got[2]["join_by"], got[2]["file_list"]) == ("reencode", "file 'it'\\''s_part0.mp4'\nfile 'it'\\''s_part1.mp4'\n")
+    stills = sinks.frame_manifest(clips, ["rec"], 4, 320).orderBy("idx", "frame").collect()
+    assert [(r["idx"], r["file"], r["source"], r["at"]) for r in stills] == [(1, f"frame_00{i}.jpg", "a", 5 + 2.5 * (i + 0.5)) for i in range(4)] + [(2, "frame_000.jpg", "it's", 51.125), (2, "frame_001.jpg", "it's", 53.375), (2, "frame_002.jpg", "it's", 55.625), (2, "frame_003.jpg", "it's", 57.875)]
+    assert sinks.frame_manifest(clips, ["rec"], 0, 320).count() == 0

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.catalog import _CONF, _EV, _JUDGED, _MERGED, AFTER, BEFORE, GAP, HOUR, _events, _golden, _merged, _table, query
+from tidemark.catalog import _CONF, _EV, _JUDGED, _MERGED, AFTER, BEFORE, DAY, GAP, HOUR, _events, _golden, _merged, _table, interval_chunk_slices, query
 from tidemark.model import Settings, overlay
 from tidemark.operators import intervals, peaks, scan, segments, signal, verdicts
 from tidemark.plans import pipelines
+from tidemark.sources import sinks
 
 RATE, WINDOW, HOP, SIZE = 64, 32, 16, 25
 _TIMES = {"lookback_seconds": 1.0, "post_peak_seconds": 1.0, "min_gap_seconds": 0.5, "min_interval_seconds": 0.5, "warmup_seconds": 2.0}
@@ -182,3 +183,35 @@ def one_timeline_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("cluster").cast("long").alias("cluster"), "i")
 
 
+
+
+_SLICES = f"""{_MERGED}, ch AS (SELECT rec, d AS day, d * {DAY} AS cs, (d + 1) * {DAY} AS ce FROM (SELECT DISTINCT rec, t // {DAY} AS d FROM ev)),
+sl AS (
+  SELECT m.rec, m.idx, c.day, greatest(m.s, cs) - cs AS ls, least(m.e, ce) - greatest(m.s, cs) AS d, row_number() OVER (PARTITION BY m.rec, m.idx ORDER BY c.day) - 1 AS i, count(*) OVER (PARTITION BY m.rec, m.idx) AS n
+  FROM merged m JOIN ch c ON m.rec = c.rec AND least(m.e, ce) > greatest(m.s, cs) WHERE m.strategy = 'error')"""
+
+
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = interval_chunk_slices(spark, sf_dir).where("strategy = 'error'").withColumnRenamed("day", "sequence")
+    return sinks.clip_manifest(own, ["rec"], F.concat(F.lit("it's "), F.col("sequence").cast("string")))
+
+
+@query(f"""WITH {_SLICES}, p AS (SELECT *, printf('clip_%03d', idx) AS stem FROM sl)
+SELECT rec, idx, CASE WHEN any_value(n) = 1 THEN 'rename' ELSE 'copy' END AS join_by, string_agg(CASE WHEN n = 1 THEN stem || '.mp4' ELSE stem || '_part' || i || '.mp4' END, ',' ORDER BY i) AS part_files,
+  CASE WHEN any_value(n) > 1 THEN string_agg('file ''' || stem || '_part' || i || '.mp4''' || chr(10), '' ORDER BY i) END AS file_list FROM p GROUP BY rec, idx""")
+def join_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.join_manifest(_clips(spark, sf_dir)).select("rec", "idx", "join_by", F.array_join("part_files", ",").alias("part_files"), "file_list")
+
+
+@query(f"""WITH RECURSIVE {_SLICES}, t AS (SELECT *, sum(d) OVER (PARTITION BY rec, idx) AS total FROM sl),
+share AS (SELECT *, CAST(greatest(1, round_even(7.0::DOUBLE * d / total, 0)) AS BIGINT) AS want FROM t),
+al AS (
+  SELECT rec, idx, i, n, day, ls, d, CASE WHEN i = n - 1 THEN 7 ELSE least(7, want) END AS got, CASE WHEN i = n - 1 THEN 7 ELSE least(7, want) END AS used FROM share WHERE i = 0
+  UNION ALL
+  SELECT s.rec, s.idx, s.i, s.n, s.day, s.ls, s.d, greatest(0, CASE WHEN s.i = s.n - 1 THEN 7 - a.used ELSE least(7 - a.used, s.want) END), a.used + greatest(0, CASE WHEN s.i = s.n - 1 THEN 7 - a.used ELSE least(7 - a.used, s.want) END)
+  FROM al a JOIN share s ON s.rec = a.rec AND s.idx = a.idx AND s.i = a.i + 1),
+st AS (SELECT *, unnest(range(0, got)) AS j FROM al)
+SELECT rec, idx, CAST(row_number() OVER (PARTITION BY rec, idx ORDER BY i, j) - 1 AS INTEGER) AS frame, 'it''s ' || day AS source, round(ls + d::DOUBLE / got * (j + 0.5), 0) AS at FROM st""")
+def frame_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stills for a model, over the parts of each clip."""
+    return sinks.frame_manifest(_clips(spark, sf_dir), ["rec"], 7, 640).select("rec", "idx", "frame", "source", F.round("at", 0).alias("at"))

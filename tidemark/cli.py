@@ -19,6 +19,7 @@ from tidemark.operators import verdicts
 from tidemark.plans import pipelines
 from tidemark.sources import audio, recordings, sinks
 from tidemark.sources.log import CacheLog
+from tidemark.written import hadoop
 
 REC = ["recording_id"]
 CLIP = "idx long, strategy string, clip_file string"
@@ -37,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
         sub.add_parser(name)
     sheet = sub.add_parser("review-sheet")
     sheet.add_argument("--prior-root")
+    sheet.add_argument("--root", help="sheets for all directories with events, written beside them")
     for name in ("score", "label-audit"):
         sub.add_parser(name).add_argument("--sheets", required=True, help="path or pattern of review sheets")
     sub.choices["label-audit"].add_argument("--replies")
@@ -97,14 +99,24 @@ def cache_of(spark: SparkSession, args, name: str, columns: str, parsed: dict) -
     return CacheLog(spark, f"{args.cache or args.out + '/cache'}/{name}", schema, ["idx"])
 
 
+def sheets_of(spark: SparkSession, path: str) -> DataFrame:
+    """The sheets of a review root's directories, or those that a path or pattern names."""
+    if not any(c in path for c in "*?[{"):
+        at, system = hadoop(spark, path)
+        if system.exists(at) and system.getFileStatus(at).isDirectory():
+            return recordings.read_review_root(spark, path)
+    rows = recordings.read_sheets(spark, path)
+    return rows.withColumn("idx", F.coalesce(F.regexp_extract("clip_file", "([0-9]+)", 1).try_cast("long"), F.lit(0)))
+
+
 def run(spark: SparkSession, args) -> dict[str, DataFrame]:
     """The command's results by name; only what models say is written already, to the cache."""
     s, c = settings_of(args), args.command
     if c == "score":
-        scores, lines = pipelines.score(recordings.read_sheets(spark, args.sheets).withColumn("recording_id", F.lit("")), REC)
+        scores, lines = pipelines.score(sheets_of(spark, args.sheets).withColumn("recording_id", F.lit("")), REC)
         return {"scores": scores, "report": lines.orderBy("no")}
     if c in ("export-picks", "telegram-post"):
-        sheet = recordings.read_sheets(spark, args.sheet).withColumn("idx", F.regexp_extract("clip_file", "([0-9]+)", 1).cast("long"))
+        sheet = sheets_of(spark, args.sheet)
         wanted = spark.createDataFrame([(x,) for x in args.clips], "clip_file string")
         none = spark.createDataFrame([], "clip_file string")
         if c == "telegram-post":
@@ -113,11 +125,15 @@ def run(spark: SparkSession, args) -> dict[str, DataFrame]:
         done = spark.read.format("binaryFile").load(args.done).select(F.regexp_extract("path", "([^/]*)$", 1).alias("clip_file")) if args.done else none
         return {"picks": pipelines.export_picks(sheet, wanted, done)}
     if c == "label-audit":
-        rows = recordings.read_sheets(spark, args.sheets).withColumns({"idx": F.xxhash64("strategy", "clip_file"), "start": F.col("start_seconds"), "end": F.col("end_seconds")})
+        rows = sheets_of(spark, args.sheets).withColumns({"idx": F.xxhash64("strategy", "clip_file"), "start": F.col("start_seconds"), "end": F.col("end_seconds")})
         log = cache_of(spark, args, "audit", CLIP, {"describe": verdicts.parse_describe(F.lit("")), "judge": verdicts.parse_judge(F.lit(""))})
         say, judge = replies(spark, args.replies, verdicts.parse_describe), replies(spark, args.judgements, verdicts.parse_judge)
         every, flagged = pipelines.label_audit(rows, log.read(), lambda r: say(r, "describe"), lambda r: judge(r, "judge"), s, args.limit, log)
         return {"audit": sinks.audit_report(every), "flagged": sinks.audit_report(flagged)}
+    if c == "review-sheet" and args.root:
+        events = recordings.read_events_json(spark, f"{args.root}/*/events.json")
+        prior = pipelines.prior_labels(sheets_of(spark, args.prior_root)) if args.prior_root else None
+        return {"sheet": pipelines.all_review_sheets(events, prior)}
     chunks, samples = chunks_and_samples(spark, s)
     if c == "batch-review":
         found, negatives = pipelines.batch_review(samples, chunks, s, named=model.load_presets(s, args.presets) if args.presets else None)
@@ -132,8 +148,7 @@ def run(spark: SparkSession, args) -> dict[str, DataFrame]:
     if c == "review-sheet":
         prior = None
         if args.prior_root:
-            sheets = recordings.read_sheets(spark, args.prior_root)
-            prior = sheets.select(F.col("strategy").alias("source"), F.xxhash64("clip_file").alias("idx"), F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"), "verdict", "notes").join(found.select(*REC).distinct())
+            prior = pipelines.prior_labels(sheets_of(spark, args.prior_root)).join(found.select(*REC).distinct())
         return {"sheet": pipelines.review_sheets(found, REC, prior)}
     if c == "vision-highlights":
         say = replies(spark, args.replies, verdicts.parse_verdict)
@@ -176,7 +191,8 @@ def main(arguments: list[str] | None = None) -> None:
     args = parser().parse_args(arguments)
     spark = SparkSession.builder.appName(f"tidemark {args.command}").getOrCreate()
     for name, frame in run(spark, args).items():
-        write(name, frame, f"{args.out}/{name}")
+        to = getattr(args, "root", None) if name == "sheet" else None
+        write(name, frame, to or f"{args.out}/{name}")
         print(f"{args.out}/{name}")
 
 

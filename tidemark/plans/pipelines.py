@@ -140,6 +140,23 @@ def review_sheets(found: DataFrame, keys: list[str], prior: DataFrame | None = N
     return sinks.review_sheet(scoring.prior_guess(found, prior, [k for k in keys if k != "strategy"], WIDTH), keys, extra=["guess", "guess_basis"])
 
 
+def prior_labels(sheets: DataFrame) -> DataFrame:
+    """Rows of an earlier round's sheets as labels: source, idx (the place in a sheet), start, end, verdict, notes."""
+    return sheets.select(F.col("strategy").alias("source"), "idx", F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"), "verdict", "notes")
+
+
+def all_review_sheets(events: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """A sheet for every directory (strategy) that has events; with guesses where prior labels are given."""
+    peak = F.array_max(F.transform("peaks", lambda p: p["score"]))
+    found = events.select("strategy", "idx", F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"), peak.alias("max_value"), F.lit(0).alias("game"), F.col("idx").alias("place"))
+    if prior is None:
+        return sinks.review_sheet(found, ["strategy", "place"])
+    # A guess is looked up by its row, so rows of all directories need numbers of their own.
+    row = F.struct("strategy", "place")
+    guessed = scoring.prior_guess(found.withColumn("idx", row), prior.withColumn("game", F.lit(0)), ["game"], WIDTH)
+    return sinks.review_sheet(guessed.withColumn("idx", F.col("place")), ["strategy", "place"], extra=["guess", "guess_basis"])
+
+
 def score(sheets: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Strategies' scores, and the report's lines; sheets of ``negatives`` give the missed ones.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import half_even
 from tidemark.functions.text import clip_name, fixed, flagged_name, safe_caption
+from tidemark.operators import verdicts
 from tidemark.operators.ranges import points_in_intervals
 from tidemark.sources.directories import write_arrays, write_tables
 
@@ -112,6 +113,38 @@ def clip_manifest(slices: DataFrame, keys: list[str], source: Column) -> DataFra
     return slices.groupBy(*keys, "idx").agg(F.array_sort(F.collect_list(part)).alias("parts")).withColumn("clip_file", clip_name(F.col("idx")))
 
 
+def join_manifest(clips: DataFrame, reencode: bool = False) -> DataFrame:
+    """How a clip's parts become one file: a single part is renamed, others are joined by a list of files.
+
+    Parts of a clip with several are named after it; quotes in the list's names are escaped
+    as shells do.
+    """
+    stem = F.regexp_replace("clip_file", r"\.[^.]*$", "")
+    names = F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.concat(stem, F.lit("_part"), i.cast("string"), F.lit(".mp4")))
+    quoted = lambda n: F.concat(F.lit("file '"), F.replace(n, F.lit("'"), F.lit("'\\''")), F.lit("'\n"))
+    one = F.size("parts") == 1
+    return clips.withColumns({
+        "part_files": F.when(one, F.array("clip_file")).otherwise(names),
+        "join_by": F.when(one, "rename").when(F.lit(reencode), "reencode").otherwise("copy"),
+        "file_list": F.when(~one, F.array_join(F.transform(names, quoted), "")),
+    })
+
+
+def frame_manifest(clips: DataFrame, keys: list[str], count: int, max_width: int) -> DataFrame:
+    """A row for each still of a clip, evenly spaced over its parts in proportion to their lengths.
+
+    frame (from 0), source, at (seconds into it), file and max_width. A clip without a
+    length, or a count of 0, has none.
+    """
+    length = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["duration"].cast("double"))
+    each = F.transform(F.arrays_zip("parts", verdicts.allocate_frames(F.transform("parts", lambda p: p["duration"]), count).alias("n")), lambda x: F.struct(x["parts"].alias("p"), x["n"].alias("n")))
+    at = lambda x, i: F.when(x["p"]["duration"] > 0, x["p"]["duration"].cast("double") / x["n"]).otherwise(0.0) * (i + 0.5) + x["p"]["local_start"]
+    stills = lambda x: F.when(x["n"] > 0, F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: F.struct(x["p"]["source"].alias("source"), at(x, i).alias("at")))).otherwise(F.array().cast("array<struct<source: string, at: double>>"))
+    rows = clips.where(length > 0) if count > 0 else clips.where("false")
+    rows = rows.select(*keys, "idx", F.posexplode(F.flatten(F.transform(each, stills))).alias("frame", "still"))
+    return rows.select(*keys, "idx", "frame", "still.source", "still.at", F.format_string("frame_%03d.jpg", "frame").alias("file"), F.lit(max_width).alias("max_width"))
+
+
 def encode_manifest(clips: DataFrame, width: int, fps: float, crf: int, preset: str) -> DataFrame:
     return clips.withColumn("encode", F.struct(F.lit(width).alias("width"), F.lit(fps).alias("fps"), F.lit(crf).alias("crf"), F.lit(preset).alias("preset")))
 
@@ -160,6 +193,6 @@ def write_events(events: DataFrame, path: str, directory: Column) -> None:
 
 def write_sheets(sheets: DataFrame, path: str, directory: Column, order: str = "clip_file") -> None:
     """A review_sheet.csv in each directory, as ``recordings.read_review_root`` scans them."""
-    shown = [c for c in sheets.columns if c not in ("recording_id", "strategy", "idx")]
+    shown = [c for c in sheets.columns if c not in ("recording_id", "strategy", "idx", "place")]
     place = F.coalesce(F.regexp_extract(order, "([0-9]+)", 1).try_cast("long"), F.lit(0)).alias("_place")
     write_tables(sheets.select(*shown, place, F.col(order).alias("_name"), directory.alias("_directory")), path, F.col("_directory"), ["_place", "_name"])
