@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontamination import leaks
 from tidemark.llm.infill import fill_in_middle, restored
 from tidemark.llm.language import fit_language, identify
-from tidemark.llm.licenses import scan_licenses
+from tidemark.llm.licenses import Template, scan_licenses, templates
 from tidemark.llm.lines import line_index
 from tidemark.llm.media import copies, render_vectors
 from tidemark.llm.packing import pack, pieces
@@ -172,3 +172,75 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
 FROM parts
 """
+
+
+ORACLE_SQL["op2_repeats"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+st AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d)),
+first AS (SELECT s, min(doc_id) AS least FROM st GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT st.doc_id, i FROM st JOIN first ON st.s = first.s WHERE first.least < st.doc_id),
+fl AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS f FROM hit),
+il AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM fl),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM il GROUP BY doc_id, run),
+pieces AS (
+  SELECT r.doc_id, r.a, r.b, substr(d.h, 2 * coalesce(lag(r.b) OVER w, 0) + 1, 2 * (r.a - coalesce(lag(r.b) OVER w, 0))) AS piece
+  FROM runs r JOIN d ON r.doc_id = d.doc_id WINDOW w AS (PARTITION BY r.doc_id ORDER BY r.a)),
+gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(piece, '' ORDER BY a) AS head, max(b) AS last FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
+"""
+
+ORACLE_SQL["op9_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.y FROM reach r JOIN sides l ON r.b = l.x)
+SELECT r.a AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+"""
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+def _license_sql(known: list[Template]) -> str:
+    """The same votes, diagonals and agreements over the templates' words."""
+    tpl = _values((t, x.label, len(x.words), x.slack, x.base) for t, x in enumerate(known))
+    grams = _values((t, i, " ".join(x.words[i : i + 3])) for t, x in enumerate(known) for i in range(len(x.words) - 2))
+    telling = _values((t, p) for t, x in enumerate(known) for p in x.telling)
+    return rf"""
+WITH tpl AS (SELECT * FROM (VALUES {tpl}) t(template, label, size, slack, base)),
+grams AS (SELECT * FROM (VALUES {grams}) t(template, pt, gram)),
+telling AS (SELECT * FROM (VALUES {telling}) t(template, p)),
+w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT doc_id, i - 1 AS pos, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+v AS (SELECT DISTINCT doc_id, template, pos - pt AS diagonal, pos, pt FROM g JOIN grams USING (gram)),
+fl AS (SELECT v.*, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, v.template ORDER BY diagonal, pos) <= slack THEN 0 ELSE 1 END AS f FROM v JOIN tpl ON v.template = tpl.template),
+il AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, template ORDER BY diagonal, pos ROWS UNBOUNDED PRECEDING) AS place FROM fl),
+cov AS (SELECT doc_id, template, place, count(DISTINCT pt + j) AS covered FROM il, range(0, 3) r(j) GROUP BY 1, 2, 3),
+told AS (
+  SELECT i.doc_id, i.template, i.place, count(DISTINCT t.p) AS told FROM il i JOIN telling t ON i.template = t.template AND i.pt > t.p - 3 AND i.pt <= greatest(t.p - 1, 0) GROUP BY 1, 2, 3),
+ext AS (SELECT doc_id, template, place, min(pos) AS s, max(pos) + 3 AS e FROM il GROUP BY 1, 2, 3),
+pl AS (
+  SELECT ext.*, label, base, covered::DOUBLE / greatest(size, e - s) AS agreement, coalesce(told, 0) AS told, (SELECT count(*) FROM telling t WHERE t.template = ext.template) AS needed
+  FROM ext JOIN cov USING (doc_id, template, place) LEFT JOIN told USING (doc_id, template, place) JOIN tpl ON ext.template = tpl.template),
+ok AS (SELECT * FROM pl WHERE agreement >= CASE WHEN base THEN 1.0 ELSE 0.8 END AND told = needed),
+sc AS (SELECT doc_id, max(agreement) AS score FROM pl GROUP BY doc_id),
+su AS (
+  SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(s) FILTER (WHERE base) AS first_word, max(s) FILTER (WHERE base) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM ok GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM w LEFT JOIN su ON w.doc_id = su.doc_id LEFT JOIN sc ON w.doc_id = sc.doc_id
+"""
+
+
+ORACLE_SQL["op12_licenses"] = _license_sql(templates())
