@@ -51,6 +51,7 @@ def test_bursts_are_found(spark):
     samples, chunks = recording(spark, [(90, [20, 40, 70])])
     s = settings(detection={"strategy": "rms_energy"})
     times = [r["t"] for r in pipelines.chunk_peaks(samples, s).orderBy("t").collect()]
+    assert times == [r["t"] for r in pipelines.chunk_peaks(samples, s, rows_per_range=50).orderBy("t").collect()]
     assert len(times) == 3 and all(abs(t - b) < 0.6 for t, b in zip(times, [20, 40, 70]))
     flux = settings(detection={"strategy": "onset_flux", "onset_flux": {"min_score": 0.3}})
     times = [r["t"] for r in pipelines.chunk_peaks(samples, flux).orderBy("t").collect()]

@@ -58,3 +58,32 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(out)
     assert key(got) == key(want) and len(key(want)) > 20
     assert got.select(F.countDistinct("rec", "run")).first()[0] == got.count()
+
+
+def test_arriving_files_equal_the_batch(spark, tmp_path):
+    import wave
+
+    from tidemark.model import Settings, overlay
+    from tidemark.plans import pipelines
+    from tidemark.sources import audio
+    from tidemark.streaming.chunks import arriving_peaks
+
+    rate, folder, hidden = 2000, tmp_path / "recording", tmp_path / "hidden"
+    folder.mkdir(), hidden.mkdir()
+    settings = overlay(Settings(), {"audio": {"sample_rate": rate}, "detection": {"strategy": "rms_energy", "rms_energy": {"threshold_sigma": 1.0, "min_score_dbfs": 0.5, "baseline_window_seconds": 5.0}}})
+    rng, rows = np.random.default_rng(4), []
+    for k, seconds in ((1, 90), (2, 33), (3, 0.2)):
+        n = int(seconds * rate)
+        x = (rng.normal(0, 0.05, n) * (1 + 3 * (np.arange(n) // 600 % 17 == 8))).clip(-1, 1)  # a burst every five seconds
+        name = f"DJI_2024010112000{k}_000{k}_D.wav"
+        with wave.open(str(hidden / name), "wb") as w:
+            w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+            w.writeframes((x * 32767).astype("<i2").tobytes())
+        (hidden / "other.wav").write_bytes(b"")
+        (hidden / name).rename(folder / name)
+        q = write_peaks(arriving_peaks(spark, f"file://{folder}", settings), str(tmp_path / "peaks"), str(tmp_path / "checkpoint"))
+        assert q.awaitTermination(120) and q.exception() is None
+    samples = audio.read_wav(spark, str(folder)).withColumn("sequence", F.regexp_extract("source_path", r"_(\d+)_D", 1).cast("int")).withColumn("recording_id", F.lit("r"))
+    want = sorted((r["sequence"], round(r["t"], 6), round(r["score"], 6)) for r in pipelines.chunk_peaks(samples, settings).collect())
+    got = sorted((r["sequence"], round(r["t"], 6), round(r["score"], 6)) for r in spark.read.parquet(str(tmp_path / "peaks")).collect())
+    assert got == want and len(want) > 10 and {s for s, _, _ in want} == {1, 2}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import clip_name
 from tidemark.model import GOLDEN_CLUSTER_SECONDS, PRESETS, SWEEP_THRESHOLDS, Settings, preset
-from tidemark.operators import cache, golden, intervals, peaks, scoring, segments, signal, verdicts
+from tidemark.operators import cache, golden, intervals, peaks, scan, scoring, segments, signal, verdicts
 from tidemark.sources import outbox, sinks
 from tidemark.sources.log import CacheLog
 from tidemark.written import keep
@@ -73,9 +73,14 @@ def traces(samples: DataFrame, wanted: list[Settings]) -> dict[tuple, DataFrame]
     return found
 
 
-def chunk_peaks(samples: DataFrame, settings: Settings, made: dict[tuple, DataFrame] | None = None) -> DataFrame:
-    """Peaks (t, score) on each chunk's own axis, by the settings' strategy; from ``traces`` where they are given."""
+def chunk_peaks(samples: DataFrame, settings: Settings, made: dict[tuple, DataFrame] | None = None, rows_per_range: int | None = None) -> DataFrame:
+    """Peaks (t, score) on each chunk's own axis, by the settings' strategy; from ``traces`` where they are given.
+
+    ``rows_per_range`` cuts the traces of longer chunks into ranges (see ``scan``), so that
+    the runs of a chunk that goes on for days are found by many tasks.
+    """
     s, d = settings, settings.detection
+    cut = lambda found: scan.long_ranges(found, CHUNK, "frame_idx", rows_per_range) if rows_per_range else None
 
     def own(kind: str) -> DataFrame:
         sigma = getattr(d, kind).threshold_sigma
@@ -83,9 +88,11 @@ def chunk_peaks(samples: DataFrame, settings: Settings, made: dict[tuple, DataFr
         return with_threshold(made[key] if made else trace(samples, s, kind), sigma)
 
     if d.strategy == "rms_energy":
-        found = peaks.analyze("rms_energy", own("rms_energy"), CHUNK, ["frame_idx"], d.rms_energy.min_score_dbfs, d.rms_energy.min_absolute_dbfs)
+        one = own("rms_energy")
+        found = peaks.analyze("rms_energy", one, CHUNK, ["frame_idx"], d.rms_energy.min_score_dbfs, d.rms_energy.min_absolute_dbfs, cut(one))
     elif d.strategy == "onset_flux":
-        found = peaks.analyze("onset_flux", own("onset_flux"), CHUNK, ["frame_idx"], d.onset_flux.min_score)
+        one = own("onset_flux")
+        found = peaks.analyze("onset_flux", one, CHUNK, ["frame_idx"], d.onset_flux.min_score, cut(one))
     else:
         found = peaks.analyze(d.strategy, own("onset_flux"), own("rms_energy"), CHUNK, "t", d.combined.window_before_seconds, d.combined.window_after_seconds, WIDTH, d.onset_flux.min_score, d.rms_energy.min_score_dbfs, d.rms_energy.min_absolute_dbfs)
     return found.select(*CHUNK, "t", "score")
