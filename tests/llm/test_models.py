@@ -226,5 +226,5 @@ def test_queries_are_registered():
     import __spark_entry__
     from tidemark.llm.queries import QUERIES
 
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
