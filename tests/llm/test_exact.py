@@ -96,6 +96,26 @@ def test_repeats(spark, docs):
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_of_hot_triggers(spark, docs):
+    """A short passage in ever other surroundings, and every trigger as a hot one."""
+    from tidemark.llm.repeats import GRAM, LENGTH, hot_triggers, remove_repeats
+
+    rng = np.random.default_rng(7)
+    rows = docs[0][:80]
+    short = "the same forty bytes stand in every text"
+    for i in range(400):
+        left, right = ("".join(map(chr, rng.integers(97, 123, 40))) for _ in "ab")
+        rows = rows + [(9000 + i, left + short + (right if i % 4 else rows[-1][1][-40:]))]
+    rows = rows + [(20_000, short * 30), (20_001, "x" + short * 4), (20_001, "y" * 70)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = hot_triggers(df.where("doc_id is not null"), LENGTH, GRAM, 1, 64)
+    assert 0 < len(found) <= 64
+    want = brute_repeats(rows)
+    for given in ({"sampled": 1, "hot_share": 64}, {"sampled": 1, "hot_share": 1 << 20}, {}):
+        got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in remove_repeats(df, whole=False, **given).collect())
+        assert got == want
+
+
 def brute_lines(rows):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(UPPER)
     held = {}

@@ -20,7 +20,14 @@ the smallest document of each. As a repeat is decided by its first ``length`` by
 deeper order is needed, and phrases that the dictionary resolves are never sorted.
 
 Phrases, spans and texts travel as compressed blocks of numpy columns by shard. A shard
-sorts what it has in memory: 40 bytes a phrase with a common trigger hash.
+sorts what it has in memory: 40 bytes a phrase.
+
+Hot triggers. Before phrases travel, a task settles those that an earlier document of its
+own block has too, so copies of a phrase arrive once a block. A short passage that many
+documents hold in different surroundings makes different phrases of one trigger; such
+triggers are found in a sample of the texts. Phrases of a hot trigger go to shards by their
+own bytes, and its strings are compared one by one, by shards of string hashes, settled by
+block in the same way. The sample decides where rows travel, never a result.
 
 Nulls and odd input: a null text is empty; texts under ``length`` bytes lose nothing.
 Rows that share a doc_id are one document and don't repeat each other. A row with a null
@@ -47,7 +54,10 @@ CHUNK = 40_000
 _PHRASE = np.dtype([("key", "<u8"), ("text", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("n", "u1"), ("off", "u1")])
 _SPAN = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("n", "u1")])
 _WANT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("n", "u1"), ("off", "u1")])
+_STRING = np.dtype([("hash", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4")])
 _48 = U((1 << 48) - 1)
+#: What a block holds. Rows before texts, which are read last.
+SPANS, WANTED, TEXT, PHRASES, STRINGS = range(5)
 _ROW = "kind int, shard long, doc_id long, payload binary"
 
 
@@ -129,36 +139,105 @@ def phrases(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int
     return out
 
 
-def _parse(length: int, gram: int, shards: np.ndarray):
+def _parsed(batches, length: int, gram: int):
+    """All phrases of a task's texts, in blocks."""
+    held, n = [], 0
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        data, offsets = raw(batch.column("text"))
+        for lo, hi in blocks(offsets):
+            held.append(phrases(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ids[lo:hi], length, gram))
+            n += len(held[-1])
+            if n >= FLUSH:
+                yield np.concatenate(held)
+                held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
+def later(rows: np.ndarray, names: tuple[str, str]) -> np.ndarray:
+    """Whether a row of a smaller doc_id has the same two values.
+
+    Rows meet by one hash of both values. Where unlike values share it, some equal ones may
+    not meet; they are left for the shard that they travel to.
+    """
+    a, b = (rows[f] for f in names)
+    order = np.argsort(mix(a) ^ b)
+    a, b, doc = a[order], b[order], rows["doc"][order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    out = np.empty(len(rows), bool)
+    out[order] = doc > np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1] if len(rows) else False
+    return out
+
+
+def among(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array ``hot``."""
+    if not len(hot):
+        return np.zeros(len(keys), bool)
+    return hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+
+
+def hot_triggers(docs: DataFrame, length: int, gram: int, sampled: int, share: int) -> np.ndarray:
+    """Triggers with at least 1 / ``share`` of the distinct phrases of one text in ``sampled``: ``share`` at most.
+
+    A block names triggers with a quarter of that share in it, all triggers if it is small.
+    """
+
+    def counted(batches):
+        for rows in _parsed(batches, length, gram):
+            keys, n = np.unique(rows["key"][~later(rows, ("key", "text"))], return_counts=True)
+            many = n * (4 * share) >= n.sum()
+            total = int(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[many].astype(np.int64), -1)), pa.array(np.append(n[many], total))], ["key", "n"])
+
+    part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("hot")), F.lit(sampled)) == 0).mapInArrow(counted, "key long, n long")
+    top = part.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(share + 1).collect()
+    total = max((r["n"] for r in top if r["key"] < 0), default=0)
+    return np.sort(np.array([r["key"] for r in top if r["key"] >= 0 and r["n"] > 1 and r["n"] * share >= total], np.int64)).astype(U)
+
+
+def _gone(rows: np.ndarray, shards: np.ndarray) -> pa.RecordBatch:
+    """Whole phrases as spans, by document."""
+    out = np.empty(len(rows), _SPAN)
+    for f in _SPAN.names:
+        out[f] = rows[f]
+    return _sent(out, out["doc"], SPANS, shards)
+
+
+def _parse(length: int, gram: int, shards: np.ndarray, hot: np.ndarray):
+    """Phrases by trigger, or by their own bytes under a hot one; spans of those that an earlier text of the block has."""
+
     def parse(batches):
-        held, n = [], 0
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            data, offsets = raw(batch.column("text"))
-            for lo, hi in blocks(offsets):
-                held.append(phrases(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ids[lo:hi], length, gram))
-                n += len(held[-1])
-                if n >= FLUSH:
-                    rows = np.concatenate(held)
-                    yield _sent(rows, rows["key"], 0, shards)
-                    held, n = [], 0
-        if n:
-            rows = np.concatenate(held)
-            yield _sent(rows, rows["key"], 0, shards)
+        for rows in _parsed(batches, length, gram):
+            gone = later(rows, ("key", "text"))
+            yield _gone(rows[gone], shards)
+            rows = rows[~gone]
+            yield _sent(rows, np.where(among(rows["key"], hot), rows["key"] ^ mix(rows["text"]), rows["key"]), PHRASES, shards)
 
     return parse
 
 
-def _blocks(batches, dtype: np.dtype) -> np.ndarray:
-    parts = [unpack(p.as_py(), dtype) for batch in batches for p in batch.column("payload")]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+def _blocks(batches, kinds: dict[int, np.dtype], held: dict[int, np.ndarray]):
+    """Collect the rows of some kinds into ``held`` and pass the other blocks on."""
+    parts: dict[int, list] = {k: [np.zeros(0, dtype)] for k, dtype in kinds.items()}
+    for batch in batches:
+        own = batch.column("kind").to_numpy()
+        payload = batch.column("payload")
+        for i in np.flatnonzero(np.isin(own, list(kinds))).tolist():
+            parts[own[i]].append(unpack(payload[i].as_py(), kinds[own[i]]))
+        yield batch.filter(pa.array(~np.isin(own, list(kinds))))
+    for k in kinds:
+        held[k] = np.concatenate(parts.pop(k))
 
 
-def _dictionary(shards: np.ndarray):
-    """Phrases that go as a whole (kind 0, by document), and those to be fetched (kind 1)."""
+def _dictionary(shards: np.ndarray, hot: np.ndarray):
+    """Phrases that go as a whole, as spans by document, and those to be fetched."""
 
     def dictionary(batches):
-        rows = _blocks(batches, _PHRASE)
+        held: dict[int, np.ndarray] = {}
+        yield from _blocks(batches, {PHRASES: _PHRASE}, held)
+        rows = held.pop(PHRASES)
         if not len(rows):
             return
         rows = rows[np.lexsort((rows["doc"], rows["text"], rows["key"]))]
@@ -172,25 +251,21 @@ def _dictionary(shards: np.ndarray):
         whole = doc > earliest[of_text]
         low = np.minimum.reduceat(doc, np.flatnonzero(new_key))
         high = np.maximum.reduceat(earliest[of_text], np.flatnonzero(new_key))
-        want = ~whole & (high > low)[of_key]
+        want = ~whole & ((high > low)[of_key] | among(key, hot))  # a hot trigger's phrases are in many shards
         for lo in range(0, len(rows), FLUSH):
             cut = slice(lo, lo + FLUSH)
-            spans = rows[cut][whole[cut]]
-            gone = np.empty(len(spans), _SPAN)
-            for f in _SPAN.names:
-                gone[f] = spans[f]
-            yield _sent(gone, gone["doc"], 0, shards)
+            yield _gone(rows[cut][whole[cut]], shards)
             open_ = rows[cut][want[cut]]
             asked = np.empty(len(open_), _WANT)
             for f in _WANT.names:
                 asked[f] = open_[f]
-            yield _sent(asked, asked["doc"], 1, shards)
+            yield _sent(asked, asked["doc"], WANTED, shards)
 
     return dictionary
 
 
 def _texts(shards: np.ndarray):
-    """Texts as compressed rows of kind 2, by document."""
+    """Texts as compressed rows, by document."""
 
     def texts(batches):
         pack_ = zstandard.ZstdCompressor(level=1)
@@ -200,7 +275,7 @@ def _texts(shards: np.ndarray):
             data, offsets = raw(batch.column("text"))
             blobs = [pack_.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
             n = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array([2] * n, pa.int32()), pa.array(at, pa.int64()), ids, pa.array(blobs, pa.binary())], ["kind", "shard", "doc_id", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([TEXT] * n, pa.int32()), pa.array(at, pa.int64()), ids, pa.array(blobs, pa.binary())], ["kind", "shard", "doc_id", "payload"])
 
     return texts
 
@@ -212,7 +287,7 @@ def _with_texts(batches, dtype: np.dtype):
         kinds, ids, payloads = batch.column("kind").to_numpy(), batch.column("doc_id"), batch.column("payload")
         for i in range(len(kinds)):
             blob = payloads[i].as_py()
-            if kinds[i] < 2:
+            if kinds[i] != TEXT:
                 parts.append(unpack(blob, dtype))
                 continue
             if rows is None:
@@ -227,9 +302,53 @@ def _with_texts(batches, dtype: np.dtype):
             yield doc, text, own
 
 
-def _fetch(length: int, gram: int, shards: np.ndarray):
+def _runs(rows: np.ndarray, hit: np.ndarray, shards: np.ndarray) -> pa.RecordBatch:
+    """Runs of hit places in phrases as spans, by document."""
+    before = np.zeros_like(hit)
+    before[:, 1:] = hit[:, :-1]
+    after = np.zeros_like(hit)
+    after[:, :-1] = hit[:, 1:]
+    who, first = np.nonzero(hit & ~before)
+    _, last = np.nonzero(hit & ~after)
+    gone = np.empty(len(who), _SPAN)
+    gone["doc"], gone["tag"] = rows["doc"][who], rows["tag"][who]
+    gone["start"], gone["n"] = rows["start"][who] + first, last - first + 1
+    return _sent(gone, gone["doc"], SPANS, shards)
+
+
+def strings(rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every string of fetched phrases by its hash, with the phrase and the place in it."""
+    width = rows["u"].shape[1]
+    total = np.zeros((len(rows), width + 1), U)
+    np.cumsum(_BYTE[rows["u"]] * powers(width), 1, out=total[:, 1:])
+    hashes = mix((total[:, length:] - total[:, :-length]) * powers(width - length + 1, True))
+    who, place = np.nonzero(np.arange(hashes.shape[1]) < rows["n"].astype(int)[:, None])
+    out = np.empty(len(who), _STRING)
+    out["hash"] = hashes[who, place]
+    for f in ("key", "doc", "tag"):
+        out[f] = rows[f][who]
+    out["start"] = rows["start"][who] + place
+    return out, who, place
+
+
+def _fetch(length: int, gram: int, shards: np.ndarray, hot: np.ndarray):
     wide = _bytes_dtype(length, gram)
 
+    def sent(rows):
+        apart = among(rows["key"], hot)
+        own = rows[~apart]
+        yield _sent(own, own["key"], PHRASES, shards)
+        rows = rows[apart]
+        for lo in range(0, len(rows), CHUNK):
+            own = rows[lo : lo + CHUNK]
+            out, who, place = strings(own, length)
+            gone = later(out, ("hash", "key"))
+            hit = np.zeros((len(own), 256), bool)
+            hit[who[gone], place[gone]] = True
+            yield _runs(own, hit, shards)
+            out = out[~gone]
+            yield _sent(out, out["hash"], STRINGS, shards)
+
     def fetch(batches):
         held, n = [], 0
         for _, text, own in _with_texts(batches, _WANT):
@@ -244,12 +363,10 @@ def _fetch(length: int, gram: int, shards: np.ndarray):
             held.append(out)
             n += len(out)
             if n >= 200_000:
-                rows = np.concatenate(held)
-                yield _sent(rows, rows["key"], 0, shards)
+                yield from sent(np.concatenate(held))
                 held, n = [], 0
         if n:
-            rows = np.concatenate(held)
-            yield _sent(rows, rows["key"], 0, shards)
+            yield from sent(np.concatenate(held))
 
     return fetch
 
@@ -273,8 +390,8 @@ def repeated_starts(rows: np.ndarray, length: int = LENGTH) -> np.ndarray:
         new[1:] = (strings[1:] != strings[:-1]).any(1)
         doc = rows["doc"][own[order]]
         low = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
-        later = own[order][doc > low]
-        hit[later, j[later]] = True
+        after = own[order][doc > low]
+        hit[after, j[after]] = True
     return hit
 
 
@@ -282,7 +399,15 @@ def _resolve(length: int, gram: int, shards: np.ndarray):
     wide = _bytes_dtype(length, gram)
 
     def resolve(batches):
-        rows = _blocks(batches, wide)
+        held: dict[int, np.ndarray] = {}
+        yield from _blocks(batches, {PHRASES: wide, STRINGS: _STRING}, held)
+        rows = held.pop(STRINGS)
+        rows = rows[np.lexsort((rows["doc"], rows["key"], rows["hash"]))]
+        if len(rows):
+            new = np.concatenate([[True], (rows["hash"][1:] != rows["hash"][:-1]) | (rows["key"][1:] != rows["key"][:-1])])
+            rows = rows[rows["doc"] > rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]]
+            yield _runs(rows, np.ones((len(rows), 1), bool), shards)
+        rows = held.pop(PHRASES)
         if not len(rows):
             return
         rows = rows[np.argsort(rows["key"], kind="stable")]
@@ -292,17 +417,7 @@ def _resolve(length: int, gram: int, shards: np.ndarray):
             k = np.searchsorted(starts, lo + CHUNK, "left")
             hi = int(starts[k]) if k < len(starts) else len(rows)
             own = rows[lo:hi]
-            hit = repeated_starts(own, length)
-            before = np.zeros_like(hit)
-            before[:, 1:] = hit[:, :-1]
-            after = np.zeros_like(hit)
-            after[:, :-1] = hit[:, 1:]
-            who, first = np.nonzero(hit & ~before)
-            _, last = np.nonzero(hit & ~after)
-            gone = np.empty(len(who), _SPAN)
-            gone["doc"], gone["tag"] = own["doc"][who], own["tag"][who]
-            gone["start"], gone["n"] = own["start"][who] + first, last - first + 1
-            yield _sent(gone, gone["doc"], 0, shards)
+            yield _runs(own, repeated_starts(own, length), shards)
             lo = hi
 
     return resolve
@@ -347,8 +462,11 @@ def _strike(length: int, whole: bool):
     return strike
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whole: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and ``kept``: the bytes left, or their SHA-256 if not ``whole``."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whole: bool = True, sampled: int = 64, hot_share: int = 1 << 13) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and ``kept``: the bytes left, or their SHA-256 if not ``whole``.
+
+    ``sampled`` and ``hot_share`` say which triggers travel as hot ones (``hot_triggers``).
+    """
     spark = docs.sparkSession
     prepare(spark)
     work = Workspace(spark, "repeats")
@@ -356,6 +474,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whol
     known = rows.where("doc_id is not null")
     n = partitions(spark, 2 * input_bytes(docs), 32 << 20)
     shards = shard_labels(n)
+    hot = hot_triggers(known, length, gram, sampled, hot_share)
 
     def by_shard(df: DataFrame) -> DataFrame:
         return df.repartition(n, "shard")
@@ -363,15 +482,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whol
     def by_text(df: DataFrame) -> DataFrame:
         return by_shard(df.unionByName(known.mapInArrow(_texts(shards), _ROW))).sortWithinPartitions("kind")
 
-    parsed = by_shard(known.mapInArrow(_parse(length, gram, shards), _ROW)).mapInArrow(_dictionary(shards), _ROW)
+    parsed = by_shard(known.mapInArrow(_parse(length, gram, shards, hot), _ROW)).mapInArrow(_dictionary(shards, hot), _ROW)
     found = work.save(parsed, "dictionary")
     del parsed
     settle(spark)
-    asked = by_text(found.where("kind = 1")).mapInArrow(_fetch(length, gram, shards), _ROW)
+    asked = by_text(found.where(F.col("kind") == WANTED)).mapInArrow(_fetch(length, gram, shards, hot), _ROW)
     partial = work.save(by_shard(asked).mapInArrow(_resolve(length, gram, shards), _ROW), "partial")
     del asked
     settle(spark)
-    gone = found.where("kind = 0").unionByName(partial)
+    gone = found.where(F.col("kind") == SPANS).unionByName(partial)
     kept = "binary" if whole else "string"
     out = by_text(gone).mapInArrow(_strike(length, whole), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kept}")
     text = F.coalesce("text", F.lit("")).cast("binary")
