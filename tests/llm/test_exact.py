@@ -99,6 +99,7 @@ def test_repeats(spark, docs):
 def test_repeats_of_hot_triggers(spark, docs):
     """A short passage in ever other surroundings, and every trigger as a hot one."""
     from tidemark.llm.repeats import GRAM, LENGTH, hot_triggers, remove_repeats
+    from tidemark.llm.runtime import Workspace
 
     rng = np.random.default_rng(7)
     rows = docs[0][:80]
@@ -108,7 +109,7 @@ def test_repeats_of_hot_triggers(spark, docs):
         rows = rows + [(9000 + i, left + short + (right if i % 4 else rows[-1][1][-40:]))]
     rows = rows + [(20_000, short * 30), (20_001, "x" + short * 4), (20_001, "y" * 70)]
     df = spark.createDataFrame(rows, SCHEMA)
-    found = hot_triggers(df.where("doc_id is not null"), LENGTH, GRAM, 1, 64)
+    found = hot_triggers(df.where("doc_id is not null"), Workspace(spark, "hot"), LENGTH, GRAM, 1, 64)
     assert 0 < len(found) <= 64
     want = brute_repeats(rows)
     for given in ({"sampled": 1, "hot_share": 64}, {"sampled": 1, "hot_share": 1 << 20}, {}):

@@ -178,7 +178,7 @@ def among(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
 
 
-def hot_triggers(docs: DataFrame, length: int, gram: int, sampled: int, share: int) -> np.ndarray:
+def hot_triggers(docs: DataFrame, work: Workspace, length: int, gram: int, sampled: int, share: int) -> np.ndarray:
     """Triggers with at least 1 / ``share`` of the distinct phrases of one text in ``sampled``: ``share`` at most.
 
     A block names triggers with a quarter of that share in it, all triggers if it is small.
@@ -192,9 +192,10 @@ def hot_triggers(docs: DataFrame, length: int, gram: int, sampled: int, share: i
             yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[many].astype(np.int64), -1)), pa.array(np.append(n[many], total))], ["key", "n"])
 
     part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("hot")), F.lit(sampled)) == 0).mapInArrow(counted, "key long, n long")
-    top = part.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(share + 1).collect()
-    total = max((r["n"] for r in top if r["key"] < 0), default=0)
-    return np.sort(np.array([r["key"] for r in top if r["key"] >= 0 and r["n"] > 1 and r["n"] * share >= total], np.int64)).astype(U)
+    counts = work.save(part.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "triggers")
+    total = counts.where("key = -1").agg(F.max("n")).head()[0] or 0
+    top = counts.where((F.col("key") >= 0) & (F.col("n") * share >= total)).select("key").collect()  # share rows at most
+    return np.sort(np.array([r["key"] for r in top], np.int64)).astype(U)
 
 
 def _gone(rows: np.ndarray, shards: np.ndarray) -> pa.RecordBatch:
@@ -474,7 +475,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whol
     known = rows.where("doc_id is not null")
     n = partitions(spark, 2 * input_bytes(docs), 32 << 20)
     shards = shard_labels(n)
-    hot = hot_triggers(known, length, gram, sampled, hot_share)
+    hot = hot_triggers(known, work, length, gram, sampled, hot_share)
 
     def by_shard(df: DataFrame) -> DataFrame:
         return df.repartition(n, "shard")
