@@ -1,9 +1,11 @@
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import half_even
+from tidemark.plans import pipelines
 from tidemark.sources import recordings, sinks
 
 
@@ -56,6 +58,33 @@ def test_sheets_written_are_read_back(spark, found, tmp_path):
         recordings.with_events(got, events).collect()
 
 
+def test_reference_events_of_a_review_root(spark, tmp_path):
+    """Directories with blanks and signs, without either file, with sheets longer or shorter than their events."""
+    head = "clip_file,start_seconds,end_seconds,verdict,notes\n"
+
+    def directory(name, rows, events):
+        (tmp_path / name).mkdir()
+        if rows is not None:
+            lines = [f"clip_{i:03d}.mp4,{s},{s + 11},{v},{n}\n" for i, (s, v, n) in enumerate(rows, 1)]
+            (tmp_path / name / "review_sheet.csv").write_text(head + "".join(lines))
+        if events is not None:
+            shown = [{"start_seconds": s, "end_seconds": s + 11, "duration_seconds": 11, "peaks": [{"time_seconds": t, "score": v} for t, v in peaks]} for s, peaks in events]
+            (tmp_path / name / "events.json").write_text(json.dumps(shown))
+
+    assert pipelines.golden_of_root(spark, str(tmp_path)).collect() == []
+    directory("loud 50%25 + ä", [(100.0, " tp ", ""), (200.0, "FP", ""), (500.0, "TP", ""), (700.0, "TP", "")], [(100.0, [(104.0, 1.0), (105.5, 2.0), (107.0, 2.0)]), (200.0, [(201.0, 9.0)]), (500.0, [])])
+    directory("crowd", [(101.0, "TP", "")], [(101.0, [(106.5, 1.0)]), (600.0, [(601.0, 1.0)])])
+    directory("no events", [(800.0, "TP", "")], None)
+    directory("no sheet", None, [(900.0, [(901.0, 1.0)])])
+    directory("negatives", [(300.0, "fn", "20 seconds in there was a shot"), (400.0, "TN", "")], [(300.0, [(301.0, 1.0)])])
+    got = [(r["at"], r["sources"]) for r in pipelines.golden_of_root(spark, str(tmp_path)).collect()]
+    assert got == [(106.0, ["loud 50%25 + ä/clip_001.mp4", "crowd/clip_001.mp4"]), (320.0, ["negatives/clip_001.mp4"])]
+    both = recordings.paired(recordings.read_review_root(spark, str(tmp_path)), recordings.read_root_events(spark, str(tmp_path)))
+    assert sorted((r["strategy"], r["idx"], len(r["peaks"])) for r in both.collect()) == [("crowd", 1, 1), ("loud 50%25 + ä", 1, 3), ("loud 50%25 + ä", 2, 1), ("loud 50%25 + ä", 3, 0), ("negatives", 1, 1)]
+    sheets = recordings.read_sheets(spark, f"{tmp_path}/*/review_sheet.csv")
+    assert {r["strategy"] for r in sheets.collect()} == {"crowd", "loud 50%25 + ä", "negatives", "no events"}
+
+
 def test_lines_instead_of_an_array_are_an_error(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "events.json").write_text('{"start_seconds": 1.0}\n{"start_seconds": 2.0}\n')

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clip_name
 from tidemark.model import GOLDEN_CLUSTER_SECONDS, PRESETS, SWEEP_THRESHOLDS, Settings, preset
 from tidemark.operators import cache, golden, intervals, peaks, scan, scoring, segments, signal, verdicts
-from tidemark.sources import outbox, sinks
+from tidemark.sources import outbox, recordings, sinks
 from tidemark.sources.log import CacheLog
 from tidemark.written import keep
 
@@ -176,17 +176,28 @@ def score(sheets: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 
 
 def golden_from_sheets(sheets: DataFrame, events: DataFrame, keys: list[str], window: float = GOLDEN_CLUSTER_SECONDS) -> DataFrame:
-    """Reference events: strongest peaks of TP clips (their middle without one), and missed times."""
+    """Reference events: strongest peaks of TP clips, and missed times. A clip without peaks gives none."""
     v = scoring.normal_verdict(F.col("verdict"))
     tp = sheets.where((v == "TP") & (F.col("strategy") != "negatives"))
-    listed = tp.join(events.select(*keys, "strategy", "idx", "peaks"), [*keys, "strategy", "idx"])
+    listed = tp.join(events.where(F.size("peaks") > 0).select(*keys, "strategy", "idx", "peaks"), [*keys, "strategy", "idx"])
     top = F.element_at(F.array_sort("peaks", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0)), 1)["time_seconds"]
-    anchors = listed.select(*keys, F.coalesce(F.when(F.size("peaks") > 0, top), (F.col("start_seconds") + F.col("end_seconds")) / 2).alias("at"), F.concat_ws("/", "strategy", "clip_file").alias("source"))
+    anchors = listed.select(*keys, top.alias("at"), F.concat_ws("/", "strategy", "clip_file").alias("source"))
     fn = golden.missed_times(sheets.where((v == "FN") & (F.col("strategy") == "negatives")), "start_seconds", "notes")
     missed = fn.select(*keys, "at", F.concat_ws("/", "strategy", "clip_file").alias("source"))
     return golden.build_golden(anchors.unionByName(missed), keys, "at", "source", window)
 
 
+def golden_of_root(spark: SparkSession, root: str, window: float = GOLDEN_CLUSTER_SECONDS) -> DataFrame:
+    """Reference events of a review root: at and sources, by time.
+
+    Sheets meet the events of their directory by place; directories that lack either file
+    say nothing, but for ``negatives``, whose notes tell what was missed.
+    """
+    sheets = recordings.read_review_root(spark, root).withColumn("recording_id", F.lit(""))
+    events = recordings.read_root_events(spark, root).withColumn("recording_id", F.lit(""))
+    return golden_from_sheets(sheets, events, ["recording_id"], window).select("at", "sources").orderBy("at")
+
+
 def refine(found: DataFrame, gaps: DataFrame, confirm: Callable[[DataFrame], DataFrame], scan: Callable[[DataFrame], DataFrame], keys: list[str], settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Intervals after a model's look: confirmed ones and those found in gaps; and the log.
 

@@ -73,13 +73,24 @@ def plain_path(path: Column) -> Column:
 
 
 def _strategy_of_path() -> Column:
-    """The directory a file lies in."""
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1)
+    """The directory a file lies in, by its plain name: the path is given with escapes."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))  # a plus stands for itself in paths
+
+
+def read_root_events(spark: SparkSession, root: str) -> DataFrame:
+    """The events of all directories below a root; those without an events.json have none."""
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "events.json")
+    return _events(read.text(root, wholetext=True))
 
 
 def read_events_json(spark: SparkSession, path: str) -> DataFrame:
     """Intervals of events.json arrays with the strategy (directory) and idx (place in a file, from 1)."""
-    text = spark.read.text(path, wholetext=True).select("value", _strategy_of_path().alias("strategy"))
+    return _events(spark.read.text(path, wholetext=True))
+
+
+def _events(files: DataFrame) -> DataFrame:
+    text = files.select("value", _strategy_of_path().alias("strategy"))
     parsed = F.from_json("value", f"array<struct<{', '.join(_typed(model.EVENTS_JSON))}>>")
     whole = F.coalesce(F.when(F.trim("value").rlike(r"(?s)^\s*\[.*\]\s*$"), parsed), F.raise_error(F.concat(F.lit("not one array of events: "), "strategy")))
     rows = text.select("strategy", F.posexplode(whole).alias("pos", "e"))
@@ -140,6 +151,15 @@ def read_review_root(spark: SparkSession, root: str, file: str = "review_sheet.c
     return files.mapInArrow(read, schema)
 
 
+def paired(sheets: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows of sheets with the peaks of the event of the same place in the same directory, as far as both go.
+
+    A directory without events, and what one of the two has more, fall away; ``with_events``
+    is for those who take that as an error.
+    """
+    return sheets.join(events.select("strategy", "idx", F.coalesce("peaks", F.array().cast(events.schema["peaks"].dataType)).alias("peaks")), ["strategy", "idx"])
+
+
 def with_events(sheets: DataFrame, events: DataFrame) -> DataFrame:
     """Rows of sheets and the events of the same place in the same directory; a sheet longer than its events is an error."""
     both = sheets.join(events.select("strategy", "idx", "peaks"), ["strategy", "idx"], "left")
