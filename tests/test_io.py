@@ -51,6 +51,13 @@ def test_chunks_and_samples(spark, tmp_path):
         recordings.discover(spark, str(tmp_path / "none"))
 
 
+def test_proxies_of_one_name_give_one_chunk(spark):
+    a, b = "r/DJI_20240101110000_0001_D", "r/DJI_20240101120000_0002_D"
+    listed = spark.createDataFrame([(x,) for x in (a + ".MP4", a + ".MP4", a + ".LRF", a + ".LRF", b + ".MP4", b + ".lrf", b + ".LRF")], "path string")
+    found = sorted((r["source_path"], r["proxy_path"]) for r in recordings.chunks_of(listed).collect())
+    assert found == [(a + ".MP4", a + ".LRF")] * 2 + [(b + ".MP4", b + ".LRF")]
+
+
 def test_sheets_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("loose", 1, 1.0, 2.5, 0.123456), ("loose", 1000, 5.0, 6.0, None)], "strategy string, idx long, start double, end double, max_value double")
     sinks.write_csv(sinks.review_sheet(rows, ["strategy"]).drop("strategy"), str(tmp_path / "loose/sheet.csv"))

@@ -23,12 +23,15 @@ CHUNK_NAME = r"DJI_(\d{14})_(\d+)_D"
 
 
 def chunks_of(listed: DataFrame, suffix: str = "MP4", proxy: str = "LRF") -> DataFrame:
-    """Chunks among listed files (path), with the proxy of the same name beside each where there is one."""
+    """Chunks among listed files (path), a row for each, with the proxy of the same name beside it where there is one.
+
+    Of proxies of one name (listed twice, or ending in LRF and lrf) it is the first by path.
+    """
     stem = F.regexp_extract("path", r"([^/]*)\.[^./]+$", 1)
     named = listed.withColumns({"stem": stem, "kind": F.upper(F.regexp_extract("path", r"\.([^./]+)$", 1)), "parent": F.regexp_extract("path", r"^(.*)/[^/]*$", 1)})
     named = named.where(F.col("stem").rlike(f"^{CHUNK_NAME}$"))
     own = named.where(F.col("kind") == suffix)
-    other = named.where(F.col("kind") == proxy).select("parent", "stem", F.col("path").alias("proxy_path"))
+    other = named.where(F.col("kind") == proxy).groupBy("parent", "stem").agg(F.min("path").alias("proxy_path"))
     return own.join(other, ["parent", "stem"], "left").select(
         F.col("parent").alias("recording_id"), F.regexp_extract("stem", CHUNK_NAME, 2).cast("int").alias("sequence"),
         F.to_timestamp(F.regexp_extract("stem", CHUNK_NAME, 1), "yyyyMMddHHmmss").alias("start_time"), F.col("path").alias("source_path"), "proxy_path",
