@@ -141,6 +141,22 @@ def test_vision_compare_asks_only_for_what_is_missing(spark):
     assert asked == [1] and kept[0.6] == 1 and kept[0.65] == 2 and fresh.count() == 2
 
 
+def test_vision_compare_of_long_microseconds_fills_few_buckets(spark, tmp_path, monkeypatch):
+    from tidemark import catalog
+    from tidemark.operators import ranges
+
+    start = "timestamp_ntz '2024-01-03 00:00:00'"
+    events = spark.range(24).selectExpr("id as event_id", f"{start} + make_interval(0, 0, 0, 0, cast(id div 2 * 30 as int), 0, 0) as ts", "0L as user_id", "if(id % 2 = 0, 'error', 'purchase') as event_type", "1.0D as value", "'' as props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    bucketed, listed = ranges.bucketed, []
+    monkeypatch.setattr(ranges, "bucketed", lambda intervals, *args, **named: listed.append((intervals, bucketed(intervals, *args, **named))) or listed[-1][1])
+    table = catalog.QUERIES["vision_compare"](spark, str(tmp_path))
+    assert len(listed) == 2
+    for intervals, rows in listed:
+        assert 0 < rows.count() <= (ranges.FACTOR + 1) * intervals.count()
+    assert {(r["total"], r["found"]) for r in table.where("threshold > 1").collect()} == {(12, 12)}
+
+
 def test_scan_events_without_a_frame_keep_their_verdict(spark):
     v = spark.range(1).select(verdicts.parse_verdict(F.lit('{"is_event": true, "confidence": 0.9}'), True).alias("v"))
     at = verdicts.scan_peak(F.lit(0.0), F.lit(5.0), F.col("v.is_event"), F.col("v.confidence"), F.col("v.frame_index"), 5, 0.75)

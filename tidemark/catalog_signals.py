@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.catalog import _CONF, _EV, _JUDGED, _MERGED, AFTER, BEFORE, DAY, GAP, HOUR, _events, _golden, _merged, _table, interval_chunk_slices, query
+from tidemark.catalog import _CONF, _EV, _JUDGED, _MERGED, AFTER, BEFORE, DAY, GAP, HOUR, WIDTH, _events, _golden, _merged, _table, interval_chunk_slices, query
 from tidemark.model import Settings, overlay
 from tidemark.operators import intervals, peaks, scan, segments, signal, verdicts
 from tidemark.plans import pipelines
@@ -121,7 +121,7 @@ def vision_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct((second % 3 == 0).alias("is_event"), ((second % 101).cast("double") / 100).alias("confidence"), F.lit(None).cast("int").alias("frame_index"), F.lit("").alias("rationale"), F.lit("").alias("caption"))
     found = _merged(spark, sf_dir).where("strategy = 'error'").select("rec", (F.col("rec") * 100000 + F.col("idx")).alias("idx"), "start", "end", (F.col("idx") % 4 == 0).alias("fresh"))
     cached = found.where("not fresh").select("idx", F.col("start").alias("start_seconds"), F.col("end").alias("end_seconds"), one.alias("verdict"))
-    table, after = pipelines.vision_compare(found, cached, lambda rows: rows.withColumn("verdict", one), _golden(spark, sf_dir), ["rec"])
+    table, after = pipelines.vision_compare(found, cached, lambda rows: rows.withColumn("verdict", one), _golden(spark, sf_dir), ["rec"], width=WIDTH)
     new = after.join(cached.select("idx"), "idx", "left_anti").agg(F.count(F.lit(1)).alias("asked"))
     return table.select("threshold", "total", "kept", "found").join(F.broadcast(new))  # one row
 
